@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import condition
+from .sizing import small_side
 
 
 def with_occupancy(df: DataFrame) -> DataFrame:
@@ -100,17 +101,36 @@ def summary(df: DataFrame, keys: Sequence[str], metrics: Sequence[str]) -> DataF
 
 
 def histogram(df: DataFrame, keys: Sequence[str], x: str, bins: int = 10) -> DataFrame:
-    """Equal-width bins between each key's extremes, the last bin closed, empty bins left out."""
-    from .sizing import small_side
+    """Equal-width bins between each key's extremes, the last bin closed, empty bins included.
 
-    keys = list(keys)
-    limits = small_side(df.groupBy(*keys).agg(F.min(x).alias("_lo"), F.max(x).alias("_hi")))
+    A key with a single value gets a range of one around it.
+    """
+    keys, seen = list(keys), df.filter(F.col(x).isNotNull())
+    single = F.when(F.min(x) == F.max(x), 0.5).otherwise(0.0)
+    limits = small_side(
+        seen.groupBy(*[F.col(k).alias(f"_{k}") for k in keys]).agg(
+            (F.min(x) - single).alias("_lo"), (F.max(x) + single).alias("_hi")
+        )
+    )
     width = F.col("_hi") - F.col("_lo")
-    slot = F.least(F.floor(F.try_divide(F.col(x) - F.col("_lo"), width) * bins), F.lit(bins - 1))
-    return (
-        df.join(limits, keys)
-        .groupBy(*keys, "_lo", "_hi", F.coalesce(slot, F.lit(0)).cast("int").alias("bin"))
+    slot = F.least(F.floor((F.col(x) - F.col("_lo")) / width * bins), F.lit(bins - 1))
+    match = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]
+    filled = (
+        seen.join(limits, match)
+        .groupBy(*keys, "_lo", "_hi", slot.cast("int").alias("bin"))
         .agg(F.count(F.lit(1)).alias("rows"))
+    )
+    every = limits.select(
+        *[F.col(f"_{k}").alias(k) for k in keys],
+        "_lo",
+        "_hi",
+        F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin"),
+        F.lit(0).cast("bigint").alias("rows"),
+    )
+    return (
+        filled.unionByName(every)
+        .groupBy(*keys, "_lo", "_hi", "bin")
+        .agg(F.sum("rows").alias("rows"))
         .select(
             *keys,
             "bin",

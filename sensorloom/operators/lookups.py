@@ -103,9 +103,12 @@ def asof_join(
         F.col("_row").isNotNull()
     )
     earlier = Window.partitionBy(*keys).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    touched = rows.select(*keys, "_slice").distinct()
+    newest = kept.groupBy(*keys, "_slice").agg(F.max("_signal").alias("_newest"))
     carried = (
-        both.groupBy(*keys, "_slice")
-        .agg(F.max("_signal").alias("_newest"))
+        touched.unionByName(newest, allowMissingColumns=True)
+        .groupBy(*keys, "_slice")
+        .agg(F.max("_newest").alias("_newest"))
         .withColumn("_carried", F.last("_newest", ignorenulls=True).over(earlier))
         .select(*keys, "_slice", "_carried")
     )

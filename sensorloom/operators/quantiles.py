@@ -1,9 +1,10 @@
 """Exact order statistics per key, without gathering a key in one task.
 
-A mergeable sketch brackets the wanted rank of every key; one more pass counts the rows
-below the bracket and keeps only the values inside it. What remains to be sorted per key
-is about ``2 * MARGIN`` of the sketch error, so a key with a third of all rows is as cheap
-as a small one. The sketch only narrows the search: the value returned is exact.
+A mergeable sketch gives bounds that the wanted rank of every key must lie between. While
+too many rows remain between the bounds, the next pass sketches only those. The last pass
+counts the rows below the bounds and sorts the distinct values inside them. Every pass is
+a scan with partial aggregation, so a key that holds a third of the rows costs no more
+than any other. The sketch only narrows the search: the value returned is exact.
 """
 
 from __future__ import annotations
@@ -15,140 +16,156 @@ from pyspark.sql import functions as F
 
 from .sizing import small_side
 
-MARGIN = 4.0
-
-
-def _brackets(
-    df: DataFrame, keys: Sequence[str], value: str, probs: Sequence[float], accuracy: int, small: int
-) -> DataFrame:
-    """Per key: row count and, for each probability, the bounds its rank must lie in.
-
-    Keys of at most ``small`` rows get open bounds: they are sorted whole.
-    """
-    slack = MARGIN / accuracy
-    ends = [min(1.0, max(0.0, p + d)) for p in probs for d in (-slack, slack)]
-    sketch = F.approx_percentile(value, [float(e) for e in ends], accuracy)
-    stats = df.groupBy(*keys).agg(
-        F.count(value).alias("_n"),
-        F.min(value).alias("_min"),
-        F.max(value).alias("_max"),
-        sketch.alias("_sketch"),
-    )
-    whole = F.col("_n") <= small
-    bounds = []
-    for i, _ in enumerate(probs):
-        low_open = whole | F.lit(ends[2 * i] <= 0.0)
-        high_open = whole | F.lit(ends[2 * i + 1] >= 1.0)
-        bounds.append(
-            F.struct(
-                F.when(low_open, F.col("_min")).otherwise(F.col("_sketch")[2 * i]).alias("low"),
-                F.when(high_open, F.col("_max")).otherwise(F.col("_sketch")[2 * i + 1]).alias("high"),
-            )
-        )
-    return stats.select(*keys, "_n", F.array(*bounds).alias("_bounds"))
+# The sketch is read at CELLS + 1 evenly spaced points. One cell is wider than the sketch
+# error (1 / ACCURACY), so one spare cell on each side makes the bounds certain.
+CELLS = 1000
+ACCURACY = 10_000
+SPARE = 1
+# Share of the rows that can remain between bounds after one pass.
+KEPT = (2 * SPARE + 3) / CELLS
+# Below this many rows a key is sorted whole; above, the sketch decides what is sorted.
+FEW = 10 * CELLS
+# Rows of one key that one task may sort. More of them cost another narrowing pass.
+SMALL = 10_000_000
+
+
+def _grid(x: Column | str) -> Column:
+    return F.approx_percentile(x, [i / CELLS for i in range(CELLS + 1)], ACCURACY)
+
+
+def _tightened(stats: DataFrame, keys: Sequence[str], pairs: int) -> DataFrame:
+    """Bounds and rank pairs per key, tighter wherever more than ``FEW`` rows are inside."""
+    columns = []
+    for i in range(pairs):
+        inside, below = F.col(f"_inside{i}"), F.col(f"_below{i}")
+        share = F.lit(CELLS) / inside
+        low_cell = (F.floor((F.col(f"_first{i}") - below) * share) - SPARE).cast("int")
+        high_cell = (F.ceil((F.col(f"_second{i}") + 1 - below) * share) + SPARE).cast("int")
+        wide, low, high, grid = inside > FEW, F.col(f"_low{i}"), F.col(f"_high{i}"), f"_grid{i}"
+        columns += [
+            F.col(f"_first{i}"),
+            F.col(f"_second{i}"),
+            F.when(wide & (low_cell > 0), F.get(grid, low_cell)).otherwise(low).alias(f"_low{i}"),
+            F.when(wide & (high_cell < CELLS), F.get(grid, high_cell)).otherwise(high).alias(f"_high{i}"),
+            F.when(wide, inside * KEPT).otherwise(inside).alias(f"_expected{i}"),
+        ]
+    return stats.select(*keys, "_n", *columns)
+
+
+def _beside(rows: DataFrame, bounds: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Every row with the bounds of its key; NULL keys match each other."""
+    side = bounds.select(*[F.col(k).alias(f"_key_{k}") for k in keys], *bounds.columns[len(keys) :])
+    match = [F.col(k).eqNullSafe(F.col(f"_key_{k}")) for k in keys]
+    return rows.join(side, match).drop(*[f"_key_{k}" for k in keys])
+
+
+def _between(i: int) -> Column:
+    low, high = F.col(f"_low{i}"), F.col(f"_high{i}")
+    x = F.col("_x")
+    return (low.isNull() | (x >= low)) & (high.isNull() | (x <= high))
+
+
+def _any(tests: Sequence[Column]) -> Column:
+    out = tests[0]
+    for test in tests[1:]:
+        out = out | test
+    return out
 
 
 def _at_ranks(
     df: DataFrame,
     keys: Sequence[str],
     value: str,
-    probs: Sequence[float],
     ranks: Sequence[tuple[Column, Column]],
-    accuracy: int,
     small: int,
 ) -> DataFrame:
-    """One row per key and probability index: ``_n`` and the values at the two ranks asked for.
+    """One row per key: ``_n`` and, for rank pair i, the values ``_a{i}`` and ``_b{i}`` at its ranks.
 
-    ``ranks`` gives, for each probability, two zero-based ranks as expressions of ``_n``.
+    ``ranks`` holds pairs of zero-based ranks as expressions of the row count ``_n``.
     """
-    keys = list(keys)
+    keys, pairs, small = list(keys), len(ranks), max(small, FEW)
     rows = df.filter(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("_x"))
-    brackets = small_side(_brackets(rows, keys, "_x", probs, accuracy, small))
-    match = [F.col("_b." + k).eqNullSafe(F.col("_r." + k)) for k in keys]
-    joined = rows.alias("_r").join(brackets.alias("_b"), match) if keys else rows.join(brackets)
-    kept = [F.col("_r." + k).alias(k) for k in keys]
-
-    def candidate(i: int) -> Column:
-        bound = F.col("_bounds")[i]
-        return F.struct(
-            F.lit(i).alias("i"),
-            F.when(F.col("_x") >= bound["low"], F.col("_x")).alias("x"),
-            (F.col("_x") <= bound["high"]).alias("keep"),
+    stats = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), _grid("_x").alias("_grid"))
+    for i, (first, second) in enumerate(ranks):
+        nothing = F.lit(None).cast("double")
+        stats = stats.withColumns(
+            {
+                f"_first{i}": first.cast("bigint"),
+                f"_second{i}": second.cast("bigint"),
+                f"_low{i}": nothing,
+                f"_high{i}": nothing,
+                f"_below{i}": F.lit(0),
+                f"_inside{i}": F.col("_n"),
+                f"_grid{i}": F.col("_grid"),
+            }
         )
-
+    bounds = small_side(_tightened(stats, keys, pairs))
+    widest = F.max(F.greatest(*[F.col(f"_expected{i}") for i in range(pairs)], F.lit(0)))
+    while (bounds.agg(widest).first()[0] or 0) > small:
+        inside = [F.when(_between(i), F.col("_x")) for i in range(pairs)]
+        held = [c for c in bounds.columns if not c.startswith("_expected")]
+        measures = []
+        for i in range(pairs):
+            measures += [
+                F.count_if(F.col("_x") < F.col(f"_low{i}")).alias(f"_below{i}"),
+                F.count(inside[i]).alias(f"_inside{i}"),
+                _grid(inside[i]).alias(f"_grid{i}"),
+            ]
+        measured = _beside(rows, bounds, keys).groupBy(*held).agg(*measures)
+        bounds = small_side(_tightened(measured, keys, pairs))
+
+    # Rows between two bounds only count: they are put, as one entry, before the next lower bound.
+    kept = _any([_between(i) for i in range(pairs)])
+    next_low = [F.when(F.col(f"_low{i}") > F.col("_x"), F.col(f"_low{i}")) for i in range(pairs)]
+    at = F.when(kept, F.col("_x")).otherwise(F.least(*next_low) if pairs > 1 else next_low[0])
     counted = (
-        joined.select(*kept, "_n", F.col("_x"), "_bounds")
-        .select(*keys, "_n", F.explode(F.array(*[candidate(i) for i in range(len(probs))])).alias("c"))
-        .filter("c.keep")
-        .groupBy(*keys, "_n", F.col("c.i").alias("_i"), F.col("c.x").alias("_x"))
+        _beside(rows, bounds, keys)
+        .select(*keys, at.alias("_x"), kept.alias("_kept"))
+        .filter(F.col("_x").isNotNull())
+        .groupBy(*keys, "_x", "_kept")
         .agg(F.count(F.lit(1)).alias("_c"))
     )
-    ordered = Window.partitionBy(*keys, "_i").orderBy(F.col("_x").asc_nulls_first())
+    ordered = Window.partitionBy(*keys).orderBy("_x", "_kept")
     upto = F.sum("_c").over(ordered.rowsBetween(Window.unboundedPreceding, 0))
 
-    def pick(which: int) -> Column:
-        rank = F.lit(None)
-        for i, pair in enumerate(ranks):
-            rank = F.when(F.col("_i") == i, pair[which].cast("bigint")).otherwise(rank)
-        return F.max(F.when((F.col("_from") <= rank) & (rank < F.col("_upto")), F.col("_x")))
-
-    return (
-        counted.withColumn("_upto", upto)
-        .withColumn("_from", F.col("_upto") - F.col("_c"))
-        .groupBy(*keys, "_n", "_i")
-        .agg(pick(0).alias("_low"), pick(1).alias("_high"))
-        .withColumn(
-            "_low",
-            F.when(F.col("_low").isNull(), F.raise_error(F.lit("rank outside its bracket"))).otherwise(
-                F.col("_low")
-            ),
-        )
-    )
-
+    def pick(rank: str) -> Column:
+        here = (F.col("_upto") - F.col("_c") <= F.col(rank)) & (F.col(rank) < F.col("_upto"))
+        found = F.max(F.when(here & F.col("_kept"), F.col("_x")))
+        return F.when(found.isNull(), F.raise_error(F.lit("rank outside its bounds"))).otherwise(found)
 
-def _spread(found: DataFrame, keys: Sequence[str], names: Sequence[str], value: Column) -> DataFrame:
-    """One row per key with a named column per probability."""
-    columns = [F.max(F.when(F.col("_i") == i, value)).alias(name) for i, name in enumerate(names)]
-    return found.groupBy(*keys, F.col("_n").alias("rows")).agg(*columns)
+    picks = []
+    for i in range(pairs):
+        picks += [pick(f"_first{i}").alias(f"_a{i}"), pick(f"_second{i}").alias(f"_b{i}")]
+    return _beside(counted.withColumn("_upto", upto), bounds, keys).groupBy(*keys, "_n").agg(*picks)
 
 
 def percentiles(
-    df: DataFrame,
-    keys: Sequence[str],
-    value: str,
-    probs: dict[str, float],
-    accuracy: int = 10_000,
-    small: int = 100_000,
+    df: DataFrame, keys: Sequence[str], value: str, probs: dict[str, float], small: int = SMALL
 ) -> DataFrame:
     """Exact percentiles with linear interpolation. Columns: keys, ``rows``, one per name."""
-    levels = list(probs.values())
-    position = [(F.col("_n") - 1) * F.lit(p) for p in levels]
-    ranks = [(F.floor(h), F.least(F.floor(h) + 1, F.col("_n") - 1)) for h in position]
-    found = _at_ranks(df, keys, value, levels, ranks, accuracy, small)
-    share = F.lit(0.0)
-    for i, h in enumerate(position):
-        share = F.when(F.col("_i") == i, h - F.floor(h)).otherwise(share)
-    between = F.col("_low") + (F.coalesce(F.col("_high"), F.col("_low")) - F.col("_low")) * share
-    return _spread(found, keys, list(probs), between)
+    last = F.col("_n") - 1
+    position = [last * F.lit(p) for p in probs.values()]
+    ranks = [(F.floor(h), F.least(F.floor(h) + 1, last)) for h in position]
+    found = _at_ranks(df, keys, value, ranks, small)
+    between = [
+        (F.col(f"_a{i}") + (F.col(f"_b{i}") - F.col(f"_a{i}")) * (h - F.floor(h))).alias(name)
+        for i, (name, h) in enumerate(zip(probs, position))
+    ]
+    return found.select(*keys, F.col("_n").alias("rows"), *between)
 
 
 def nearest_ranks(
-    df: DataFrame,
-    keys: Sequence[str],
-    value: str,
-    probs: dict[str, float],
-    accuracy: int = 10_000,
-    small: int = 100_000,
+    df: DataFrame, keys: Sequence[str], value: str, probs: dict[str, float], small: int = SMALL
 ) -> DataFrame:
     """The value at zero-based position ``floor(p * n)`` of the sorted values."""
-    levels = list(probs.values())
-    at = [F.least(F.floor(F.lit(p) * F.col("_n")), F.col("_n") - 1) for p in levels]
-    found = _at_ranks(df, keys, value, levels, [(r, r) for r in at], accuracy, small)
-    return _spread(found, keys, list(probs), F.col("_low"))
+    at = [F.least(F.floor(F.lit(p) * F.col("_n")), F.col("_n") - 1) for p in probs.values()]
+    found = _at_ranks(df, keys, value, [(r, r) for r in at], small)
+    picked = [F.col(f"_a{i}").alias(name) for i, name in enumerate(probs)]
+    return found.select(*keys, F.col("_n").alias("rows"), *picked)
 
 
 def approx_percentiles(
-    df: DataFrame, keys: Sequence[str], value: str, probs: dict[str, float], accuracy: int = 10_000
+    df: DataFrame, keys: Sequence[str], value: str, probs: dict[str, float], accuracy: int = ACCURACY
 ) -> DataFrame:
     """One-pass estimate for dashboards, rank error at most 1 / accuracy."""
     sketch = F.approx_percentile(value, [float(p) for p in probs.values()], accuracy)

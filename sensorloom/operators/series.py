@@ -91,37 +91,28 @@ def threshold(
 
     The threshold is a percentile of the newest ``history`` velocities. It is taken when
     the fifth velocity arrives and again at every ``every``-th sample, and holds in
-    between. Only those refresh rows gather velocities: each is matched with the few
-    blocks of ``history`` it can reach, never with the whole series.
+    between. The frame only gathers; sorting and interpolation run on the refresh rows.
     """
-    keys = list(keys)
-    enough = F.col("step_no") >= MIN_SAMPLES
     first = F.col("step").isNotNull() & (F.col("step_no") == MIN_SAMPLES)
-    due = enough & (first | (F.col("sample_no") % every == 0))
-    block = lambda no: F.floor(no / history)
-    refresh = moves.filter(due).select(
-        *keys,
-        F.col("sample_no").alias("refresh_no"),
-        F.col("step_no").alias("newest"),
-        F.explode(
-            F.array_distinct(
-                F.array(
-                    block(F.greatest(F.col("step_no") - history, F.lit(0))), block(F.col("step_no") - 1)
-                )
-            )
-        ).alias("block"),
-    )
-    steps = moves.filter(F.col("step").isNotNull()).select(
-        *keys, "step", "step_no", block(F.col("step_no") - 1).alias("block")
-    )
-    levels = (
-        refresh.join(steps, [*keys, "block"])
-        .filter((F.col("step_no") <= F.col("newest")) & (F.col("step_no") > F.col("newest") - history))
-        .groupBy(*keys, "refresh_no")
-        .agg(F.percentile("step", F.lit(percentile)).alias("burst_threshold"))
+    due = (F.col("step_no") >= MIN_SAMPLES) & (first | (F.col("sample_no") % every == 0))
+    newest = Window.partitionBy(*keys).orderBy("step_no").rangeBetween(-(history - 1), 0)
+    level = F.when(due, sorted_percentile(F.sort_array("_recent"), percentile))
+    return (
+        moves.withColumn("_recent", F.collect_list("step").over(newest))
+        .withColumn("_level", level)
+        .drop("_recent")
+        .withColumn("burst_threshold", F.last("_level", ignorenulls=True).over(so_far(keys, ts)))
+        .drop("_level")
     )
-    latest = F.last(F.when(due, F.col("sample_no")), ignorenulls=True).over(so_far(keys, ts))
-    return moves.withColumn("refresh_no", latest).join(levels, [*keys, "refresh_no"], "left")
+
+
+def sorted_percentile(values: Column, p: float) -> Column:
+    """Linear interpolation between the two nearest entries of a sorted array."""
+    at = (F.size(values) - 1) * F.lit(p)
+    low = F.floor(at).cast("int")
+    below = F.get(values, low)
+    above = F.coalesce(F.get(values, low + 1), below)
+    return below + (above - below) * (at - low)
 
 
 def burst_probability(moves: DataFrame, keys: Sequence[str], span: int = TREND_SPAN) -> DataFrame:

@@ -65,10 +65,12 @@ def summary_stats(spark, folder):
 
 @query(
     "value_histogram",
-    """SELECT policy, bin, round(lo + (hi - lo) * bin / 10, 6) AS bin_from, round(lo + (hi - lo) * (bin + 1) / 10, 6) AS bin_to, count(*) AS rows
-       FROM (SELECT policy, lo, hi, CAST(least(floor((latency_ms - lo) / (hi - lo) * 10), 9) AS INT) AS bin
-             FROM (SELECT policy, latency_ms, min(latency_ms) OVER (PARTITION BY policy) AS lo, max(latency_ms) OVER (PARTITION BY policy) AS hi
-                   FROM policy_runs) a) b GROUP BY policy, bin, lo, hi""",
+    """+ lim AS (SELECT policy, min(latency_ms) AS lo, max(latency_ms) AS hi FROM policy_runs GROUP BY policy),
+       hits AS (SELECT policy, CAST(least(floor((latency_ms - lo) / (hi - lo) * 10), 9) AS INT) AS bin, count(*) AS rows
+                FROM policy_runs JOIN lim USING (policy) GROUP BY 1, 2),
+       bins AS (SELECT policy, lo, hi, CAST(b AS INT) AS bin FROM lim, range(10) r(b))
+       SELECT policy, bin, round(lo + (hi - lo) * bin / 10, 6) AS bin_from, round(lo + (hi - lo) * (bin + 1) / 10, 6) AS bin_to,
+              coalesce(rows, 0) AS rows FROM bins LEFT JOIN hits USING (policy, bin)""",
     views=("policy_runs",),
 )
 def value_histogram(spark, folder):
