@@ -81,7 +81,7 @@ def raw_view(spark, folder):
     views=("readings",),
 )
 def congestion_level(spark, folder):
-    traffic = views.readings(spark, folder).filter(F.col("sensor_type") == "traffic")
+    traffic = views.readings(spark, folder, "traffic")
     level = condition.congestion(F.col("vehicle_count"), F.col("average_speed_kmh"))
     return neutral(
         traffic.groupBy("city", level.alias("congestion_level")).agg(
@@ -98,7 +98,7 @@ def congestion_level(spark, folder):
     views=("readings",),
 )
 def parking_occupancy(spark, folder):
-    parking = views.readings(spark, folder).filter(F.col("sensor_type") == "parking")
+    parking = views.readings(spark, folder, "parking")
     return aggregates.with_occupancy(parking).select(
         "event_id",
         "sensor_id",

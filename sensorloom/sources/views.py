@@ -28,11 +28,18 @@ def events(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "events")
 
 
-def as_readings(ev: DataFrame) -> DataFrame:
-    """Smart-city readings: three kinds share one schema, absent metrics are NULL."""
+SENSOR_FEEDS = {"traffic": "click", "pollution": "view", "parking": "purchase"}
+
+
+def as_readings(ev: DataFrame, *sensor_types: str) -> DataFrame:
+    """Smart-city readings: three kinds share one schema, absent metrics are NULL.
+
+    With ``sensor_types`` only those feeds are read; the choice reaches the scan.
+    """
     kind = F.col("event_type")
     spots = _mod("event_id", 7, 151)
-    return ev.filter(kind.isin("click", "view", "purchase")).select(
+    feeds = [SENSOR_FEEDS[t] for t in sensor_types or SENSOR_FEEDS]
+    return ev.filter(kind.isin(*feeds)).select(
         "event_id",
         "ts",
         F.concat(F.lit("SC-"), F.col("user_id").cast("string")).alias("sensor_id"),
@@ -55,8 +62,8 @@ def as_readings(ev: DataFrame) -> DataFrame:
     )
 
 
-def readings(spark: SparkSession, folder: str) -> DataFrame:
-    return as_readings(events(spark, folder))
+def readings(spark: SparkSession, folder: str, *sensor_types: str) -> DataFrame:
+    return as_readings(events(spark, folder), *sensor_types)
 
 
 def as_vitals(ev: DataFrame) -> DataFrame:
