@@ -116,8 +116,17 @@ CLAMPS = {
 }
 
 
-def scenarios(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(SCENARIOS, "scenario string, alpha double, beta double, gamma double")
+def scenarios_from_yaml(path: str) -> list[tuple[str, float, float, float]]:
+    """Scenario weights from a settings file that maps each name to alpha, beta and gamma."""
+    import yaml
+
+    with open(path) as file:
+        named = yaml.safe_load(file)
+    return [(name, float(w["alpha"]), float(w["beta"]), float(w["gamma"])) for name, w in named.items()]
+
+
+def scenarios(spark: SparkSession, rows: list[tuple] | None = None) -> DataFrame:
+    return spark.createDataFrame(rows or SCENARIOS, "scenario string, alpha double, beta double, gamma double")
 
 
 def topic_map(spark: SparkSession) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -48,22 +49,31 @@ def sepsis() -> Column:
     return signs[0] & signs[1] & signs[2] & signs[3]
 
 
-def alerts(rules: Sequence[Rule], with_sepsis: bool = False) -> Column:
-    """Array of (label, metric, value), one entry for each rule that fires, in rule order."""
-
-    def entry(label: str, metric: str) -> Column:
-        return F.struct(
-            F.lit(label).alias("label"), F.lit(metric).alias("metric"), F.col(metric).alias("value")
-        )
-
-    found = [F.when(breaks(r), entry(r.label, r.metric)) for r in rules]
-    if with_sepsis:
-        found.append(F.when(sepsis(), entry("Sepsis Risk", "spo2")))
-    return F.filter(F.array(*found), lambda a: a.isNotNull())
+def raised(rules: Sequence[Rule]) -> Column:
+    """Whether any rule fires."""
+    return reduce(lambda a, b: a | b, [breaks(r) for r in rules])
 
 
 def alert_labels(rules: Sequence[Rule], with_sepsis: bool = False) -> Column:
-    return F.transform(alerts(rules, with_sepsis), lambda a: a["label"])
+    """Labels of the rules that fire, in rule order. Plain functions only, no lambda per element."""
+    found = [F.when(breaks(r), F.lit(r.label)).otherwise(F.lit("")) for r in rules]
+    if with_sepsis:
+        found.append(F.when(sepsis(), F.lit("Sepsis Risk")).otherwise(F.lit("")))
+    return F.array_remove(F.array(*found), "")
+
+
+def alert_entries(rules: Sequence[Rule]) -> Column:
+    """Array of (label, metric, value), one entry per rule; the label is NULL where it does not fire."""
+    return F.array(
+        *[
+            F.struct(
+                F.when(breaks(r), F.lit(r.label)).alias("label"),
+                F.lit(r.metric).alias("metric"),
+                F.col(r.metric).alias("value"),
+            )
+            for r in rules
+        ]
+    )
 
 
 def leading_alert(labels: Column) -> Column:

@@ -21,10 +21,10 @@ def route(df: DataFrame, topic: str = "topic") -> DataFrame:
     )
 
 
-def with_scenario(df: DataFrame, name: Column) -> DataFrame:
+def with_scenario(df: DataFrame, name: Column, settings: list[tuple] | None = None) -> DataFrame:
     """Adds ``scenario``, ``alpha``, ``beta``, ``gamma``; an unknown name takes the default."""
-    dim = dimensions.scenarios(df.sparkSession)
-    known = [s[0] for s in dimensions.SCENARIOS]
+    dim = dimensions.scenarios(df.sparkSession, settings)
+    known = [s[0] for s in settings or dimensions.SCENARIOS]
     chosen = F.when(name.isin(known), name).otherwise(F.lit(dimensions.DEFAULT_SCENARIO))
     return df.withColumn("scenario", chosen).join(F.broadcast(dim), "scenario", "left")
 
@@ -76,26 +76,33 @@ def asof_join(
     ts: str,
     columns: Sequence[str],
     slice_seconds: int = 3600,
+    salts: int = 4,
 ) -> DataFrame:
     """Each left row with the newest right row of its key at or before its time.
 
-    Both sides are cut into (key, time slice) groups, so a hot key is spread over as many
-    tasks as it has slices. Inside a slice the newest right row is carried forward; for
-    rows before the first one of their slice it comes from the nearest earlier slice, found
-    on a table of one row per key and slice. No inequality join, no key in one task.
+    Both sides are cut into (key, time slice) groups, and the left rows of a group are
+    spread over ``salts`` parts that each see all right rows of the slice. So neither a hot
+    key nor a hot slice ends in one task, at the price of ``salts`` copies of the right
+    side, which is meant to be the thinner one. Inside a part the newest right row is
+    carried forward; for rows before the first one of their slice it comes from the nearest
+    earlier slice, found on a table of one row per key and slice.
     """
-    keys = list(keys)
+    keys, group = list(keys), [*keys, "_slice"]
     cut = F.floor(F.unix_seconds(F.col(ts).cast("timestamp")) / slice_seconds).alias("_slice")
     signal = F.struct(F.col(ts).alias("at"), *columns)
     kept = right.dropna(subset=[*keys, ts]).select(*keys, F.col(ts), cut, signal.alias("_signal"))
-    signal_type = kept.schema["_signal"].dataType
-    row = F.struct(*left.columns)
     rows = left.select(
-        *keys, F.col(ts), cut, F.lit(None).cast(signal_type).alias("_signal"), row.alias("_row")
+        *keys,
+        F.col(ts),
+        cut,
+        F.pmod(F.xxhash64(*left.columns), F.lit(salts)).cast("int").alias("_salt"),
+        F.lit(None).cast(kept.schema["_signal"].dataType).alias("_signal"),
+        F.struct(*left.columns).alias("_row"),
     )
-    both = rows.unionByName(kept.withColumn("_row", F.lit(None).cast(rows.schema["_row"].dataType)))
+    copies = kept.withColumn("_salt", F.explode(F.array(*[F.lit(i) for i in range(salts)])))
+    both = rows.unionByName(copies.withColumn("_row", F.lit(None).cast(rows.schema["_row"].dataType)))
     upto = (
-        Window.partitionBy(*keys, "_slice")
+        Window.partitionBy(*group, "_salt")
         .orderBy(ts, F.col("_signal").isNull(), "_signal")
         .rowsBetween(Window.unboundedPreceding, 0)
     )
@@ -103,18 +110,18 @@ def asof_join(
         F.col("_row").isNotNull()
     )
     earlier = Window.partitionBy(*keys).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
-    touched = rows.select(*keys, "_slice").distinct()
-    newest = kept.groupBy(*keys, "_slice").agg(F.max("_signal").alias("_newest"))
+    newest = kept.groupBy(*group).agg(F.max("_signal").alias("_newest"))
+    touched = rows.select(*group).distinct()
     carried = (
         touched.unionByName(newest, allowMissingColumns=True)
-        .groupBy(*keys, "_slice")
+        .groupBy(*group)
         .agg(F.max("_newest").alias("_newest"))
         .withColumn("_carried", F.last("_newest", ignorenulls=True).over(earlier))
-        .select(*keys, "_slice", "_carried")
+        .filter(F.col("_carried").isNotNull())
+        .select(*group, F.explode(F.array(*[F.lit(i) for i in range(salts)])).alias("_salt"), "_carried")
     )
-    found = F.coalesce("_near", "_carried")
     return (
-        near.join(carried, [*keys, "_slice"], "left")
-        .withColumn("_found", found)
+        near.join(carried, [*group, "_salt"], "left")
+        .withColumn("_found", F.coalesce("_near", "_carried"))
         .select("_row.*", *[F.col(f"_found.{c}").alias(c) for c in columns])
     )

@@ -275,7 +275,7 @@ def dead_letter(spark, folder):
 )
 def alert_envelope(spark, folder):
     rows = views.vitals(spark, folder)
-    raised = F.size(condition.alert_labels(dimensions.RULES["base"])) > 0
+    raised = condition.raised(dimensions.RULES["base"])
     priority = F.when(condition.sepsis(), "critical").otherwise("normal")
     alerts = messages.as_alert(rows.withColumn("raised", raised).filter("raised"), priority, F.col("ts"))
     return neutral(

@@ -219,9 +219,10 @@ def _labels_sql(low_hr: int, high_hr: int, sbp: int, sepsis: bool) -> str:
     views=("vitals",),
 )
 def vitals_alerts(spark, folder):
-    labels = condition.alert_labels(dimensions.RULES["base"])
-    rows = views.vitals(spark, folder).withColumn("_labels", labels).filter(F.size("_labels") > 0)
-    return rows.select("event_id", "patient_id", "ward", F.array_join("_labels", "|").alias("alerts"))
+    rules = dimensions.RULES["base"]
+    labels = F.array_join(condition.alert_labels(rules), "|")
+    rows = views.vitals(spark, folder).filter(condition.raised(rules))
+    return rows.select("event_id", "patient_id", "ward", labels.alias("alerts"))
 
 
 @query(
@@ -230,9 +231,10 @@ def vitals_alerts(spark, folder):
     views=("vitals",),
 )
 def vitals_alerts_strict(spark, folder):
-    labels = condition.alert_labels(dimensions.RULES["strict"], with_sepsis=True)
-    rows = views.vitals(spark, folder).withColumn("_labels", labels).filter(F.size("_labels") > 0)
-    return rows.select("event_id", "patient_id", "ward", F.array_join("_labels", "|").alias("alerts"))
+    rules = dimensions.RULES["strict"]
+    labels = F.array_join(condition.alert_labels(rules, with_sepsis=True), "|")
+    rows = views.vitals(spark, folder).filter(condition.raised(rules) | condition.sepsis())
+    return rows.select("event_id", "patient_id", "ward", labels.alias("alerts"))
 
 
 @query(
@@ -246,7 +248,7 @@ def vitals_alerts_strict(spark, folder):
 def rule_variants(spark, folder):
     """Patients alerted per ward under each rule set."""
     counts = [
-        F.count_if(F.size(condition.alerts(dimensions.RULES[r])) > 0).alias(r)
+        F.count_if(condition.raised(dimensions.RULES[r])).alias(r)
         for r in ("base", "strict", "capacity")
     ]
     return views.vitals(spark, folder).groupBy("ward").agg(*counts)
@@ -277,8 +279,10 @@ def alert_priority(spark, folder):
     views=("vitals",),
 )
 def alerts_long(spark, folder):
-    found = condition.alerts(dimensions.RULES["base"])
-    return views.vitals(spark, folder).select("event_id", "patient_id", F.inline(found))
+    rules = dimensions.RULES["base"]
+    alerted = views.vitals(spark, folder).filter(condition.raised(rules))
+    entries = alerted.select("event_id", "patient_id", F.inline(condition.alert_entries(rules)))
+    return entries.filter(F.col("label").isNotNull())
 
 
 @query(
@@ -289,7 +293,7 @@ def alerts_long(spark, folder):
     views=("vitals",),
 )
 def alert_rate_by_ward(spark, folder):
-    raised = F.size(condition.alerts(dimensions.RULES["base"])) > 0
+    raised = condition.raised(dimensions.RULES["base"])
     return neutral(
         views.vitals(spark, folder)
         .select("ward", raised.alias("raised"))

@@ -13,6 +13,8 @@ RUNTIME_CONF = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    # Generated methods above this size are never compiled by the JVM; interpret the plan instead.
+    "spark.sql.codegen.hugeMethodLimit": "8000",
 }
 
 

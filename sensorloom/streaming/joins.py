@@ -14,17 +14,28 @@ def edge_interval_join(
     lookback: str = "10 minutes",
     delay: str = "10 seconds",
     how: str = "leftOuter",
+    salts: int = 8,
 ) -> DataFrame:
     """Each reading with the signals of its key in the ``lookback`` before it.
 
     Both sides carry a watermark and the time condition is an interval, so state is dropped
     once the interval has passed. A reading without a signal comes out with NULLs when the
-    watermark has passed it. ``newest_signal`` reduces the result to one row per reading.
+    watermark has passed it. Readings of one key are spread over ``salts`` state partitions
+    and the few signals are copied to each, so a hot key is shared between tasks. For one
+    row per reading keep the newest ``signal_ts`` with ``aggregates.latest_per_key``.
     """
-    left = readings.withWatermark(ts, delay).alias("r")
-    right = signals.withColumnRenamed(ts, "signal_ts").withWatermark("signal_ts", delay).alias("s")
+    salt = F.pmod(F.xxhash64(*readings.columns), F.lit(salts)).cast("int")
+    copies = F.explode(F.array(*[F.lit(i) for i in range(salts)]))
+    left = readings.withColumn("_salt", salt).withWatermark(ts, delay).alias("r")
+    right = (
+        signals.withColumnRenamed(ts, "signal_ts")
+        .withColumn("_salt", copies)
+        .withWatermark("signal_ts", delay)
+        .alias("s")
+    )
     match = F.expr(
-        f"r.{key} = s.{key} AND s.signal_ts <= r.{ts} AND s.signal_ts >= r.{ts} - INTERVAL {lookback}"
+        f"r.{key} = s.{key} AND r._salt = s._salt "
+        f"AND s.signal_ts <= r.{ts} AND s.signal_ts >= r.{ts} - INTERVAL {lookback}"
     )
-    columns = [F.col(f"s.{c}") for c in right.columns if c != key]
-    return left.join(right, match, how).select("r.*", *columns)
+    columns = [F.col(f"s.{c}") for c in right.columns if c not in (key, "_salt")]
+    return left.join(right, match, how).select(*[F.col(f"r.{c}") for c in readings.columns], *columns)

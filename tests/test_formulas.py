@@ -317,6 +317,16 @@ def test_unknown_scenario_and_topic_take_defaults(spark):
     assert [r["target_topic"] for r in lookups.route(topics).collect()] == ["iot-unknown-raw"] * 2
 
 
+def test_scenarios_from_a_settings_file(spark, tmp_path):
+    pytest.importorskip("yaml")
+    path = tmp_path / "scenarios.yaml"
+    path.write_text("night:\n  alpha: 0.8\n  beta: 0.1\n  gamma: 0.1\nbalanced:\n  alpha: 0.3\n  beta: 0.3\n  gamma: 0.4\n")
+    settings = dimensions.scenarios_from_yaml(str(path))
+    names = spark.createDataFrame([("night",), ("smart_city_budget",)], "n string")
+    got = lookups.with_scenario(names, F.col("n"), settings).select("n", "scenario", "gamma").collect()
+    assert [tuple(r) for r in got] == [("night", "night", 0.1), ("smart_city_budget", "balanced", 0.4)]
+
+
 def test_no_predictions_is_zero_accuracy(spark):
     rows = spark.createDataFrame(
         [("k", "maintain", 150.0, 0.0, 1), ("k", "maintain", 50.0, 0.0, 1)],

@@ -144,7 +144,8 @@ def test_unfinished_episode_is_left_out(spark):
     assert scored[0]["weight_shift"] == pytest.approx(0.17 + 0.03 + 0.14)
 
 
-def test_asof_join_equals_search(spark):
+@pytest.mark.parametrize("salts, slice_seconds", [(1, 3600), (4, 3600), (3, 10**9)])
+def test_asof_join_equals_search(spark, salts, slice_seconds):
     r = random.Random(11)
     # One patient holds most rows on both sides, and many hours have no signal.
     keys = ["hot"] * 6 + ["a", "b", None]
@@ -155,10 +156,9 @@ def test_asof_join_equals_search(spark):
     ]
     ldf = spark.createDataFrame(left, "id int, k string, ts timestamp")
     rdf = spark.createDataFrame(right, "k string, ts timestamp, load double, alarm boolean")
-    got = {
-        row["id"]: row["load"] for row in lookups.asof_join(ldf, rdf, ["k"], "ts", ["load", "alarm"]).collect()
-    }
-    assert len(got) == len(left)
+    joined = lookups.asof_join(ldf, rdf, ["k"], "ts", ["load", "alarm"], slice_seconds, salts).collect()
+    got = {row["id"]: row["load"] for row in joined}
+    assert len(got) == len(joined) == len(left)
     for i, k, t in left:
         past = [(s, load) for key, s, load, _ in right if k is not None and key == k and s <= t]
         assert got[i] == (max(past)[1] if past else None)

@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 from test_series import NAMES, expected_features, walk
 
 from sensorloom import schemas, session
-from sensorloom.operators import aggregates, series
+from sensorloom.operators import aggregates, batches, messages, series
 from sensorloom.sinks.files import read_batches
+from sensorloom.sinks.topics import SinkConfig, stream_records
 from sensorloom.sources import tables, views
 from sensorloom.sources.topics import SourceConfig, stream_files, stream_topics
 from sensorloom.streaming import batch_log, joins, lifecycle, routing, stateful, windows
@@ -178,7 +179,8 @@ def test_rates_chain_into_features(spark, folder, four_files, tmp_path):
         assert np.allclose([r[n] for n in NAMES], twin[(r["event_type"], r["bucket"])], atol=1e-9)
 
 
-def test_left_outer_join_reports_unmatched_readings(spark, tmp_path):
+@pytest.mark.parametrize("salts", [1, 8])
+def test_left_outer_join_reports_unmatched_readings(spark, tmp_path, salts):
     t = datetime(2024, 1, 1)
     readings = [(i, "p", t + timedelta(minutes=10 * i)) for i in range(8)]
     signals = [("p", t + timedelta(minutes=m), float(m), False) for m in (0, 9, 15, 65)]
@@ -197,7 +199,7 @@ def test_left_outer_join_reports_unmatched_readings(spark, tmp_path):
     )
     left = stream_files(spark, f"{tmp_path}/r", "id int, patient_id string, ts timestamp", files_per_trigger=1)
     right = stream_files(spark, f"{tmp_path}/s", schemas.EDGE_SIGNAL, files_per_trigger=1)
-    joined = joins.edge_interval_join(left, right, "patient_id", lookback="10 minutes")
+    joined = joins.edge_interval_join(left, right, "patient_id", lookback="10 minutes", salts=salts)
     writer = joined.writeStream.format("parquet").option("path", f"{tmp_path}/out").outputMode("append")
     lifecycle.run(writer, "outer", f"{tmp_path}/cp")
     got = aggregates.latest_per_key(spark.read.parquet(f"{tmp_path}/out"), ["id"], "signal_ts")
@@ -256,8 +258,6 @@ def test_two_queries_from_one_parse(spark, folder, tmp_path, capfd):
         schema="topic string, key string, value string, timestamp timestamp_ntz, offset bigint",
         max_files_per_trigger=1,
     )
-    from sensorloom.operators import messages
-
     flat = messages.flatten_city(messages.decode(stream_topics(spark, source)))
     raw = lifecycle.show_appended(
         flat.select("sensor_id", "vehicle_count"), "raw_view", f"{tmp_path}/cp-raw", every=None
@@ -303,6 +303,33 @@ def test_listener_writes_one_record_per_batch(spark, four_files, tmp_path):
     assert log.agg(F.sum("message_count"), F.countDistinct("batch_id")).first()[:] == (1000, 4)
 
 
+def test_episodes_survive_a_restart(spark, folder, tmp_path):
+    """Six batches in two runs of one query make three episodes of two batches."""
+    ev = tables.table(spark, folder, "events")
+    logs = []
+    for part in range(6):
+        write_file(ev.filter(F.col("event_id") % 6 == part), tmp_path / "in", part)
+        if part in (2, 5):
+            rows = events(spark, f"{tmp_path}/in").select("event_id")
+            writer = rows.writeStream.format("noop").outputMode("append")
+            logs.append(batch_log.progress_table(spark, lifecycle.run(writer, "eps", f"{tmp_path}/cp")))
+    log = logs[0].unionByName(logs[1])
+    eps = batches.episodes(batch_log.as_batches(log, executors=2), ["query_id"], "batch_id", length=2)
+    got = eps.orderBy("episode").collect()
+    assert [(r["episode"], r["steps"], r["total_cost"]) for r in got] == [(1, 2, 2.0), (2, 2, 2.0), (3, 2, 2.0)]
+    totals = batches.cumulative(batch_log.as_batches(log, 2), ["query_id"], "batch_id")
+    assert totals.agg(F.max("total_messages"), F.max("total_batches")).first()[:] == (1000, 6)
+
+
+def test_records_stream_to_a_keyed_log(spark, four_files, tmp_path):
+    rows = views.as_vitals(events(spark, four_files))
+    records = messages.as_records(rows, F.lit("iot-validated-data"), F.col("patient_id"), "event_id", "ward")
+    config = SinkConfig(format="parquet", path=f"{tmp_path}/log")
+    lifecycle.run(stream_records(records, config), "records", f"{tmp_path}/cp")
+    back = spark.read.parquet(f"{tmp_path}/log")
+    assert back.count() == 1000 and back.select("topic").distinct().first()[0] == "iot-validated-data"
+
+
 def test_shared_folder_is_stable(spark):
     folder = session.shared_dir(spark)
     assert folder == session.shared_dir(spark)
