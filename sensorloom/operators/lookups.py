@@ -8,7 +8,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import dimensions
-from ..functions import timeparts
 
 
 def route(df: DataFrame, topic: str = "topic") -> DataFrame:
@@ -45,16 +44,32 @@ def missing(expected: DataFrame, seen: DataFrame, key: str) -> DataFrame:
     return expected.join(seen.select(key).distinct(), key, "left_anti")
 
 
-def retained(df: DataFrame, ts: str, as_of: str, topic: str = "target_topic") -> DataFrame:
-    """Rows young enough for their topic's retention; topics without a policy never expire."""
+def retained(
+    df: DataFrame, ts: str, as_of: str, topic: str = "target_topic", default_days: int | None = None
+) -> DataFrame:
+    """Rows young enough for their topic's retention.
+
+    Topics without a policy keep ``default_days``, or never expire when it is None. With a
+    default no row can be older than the longest retention; that bound reaches the scan.
+    """
+    kind = df.schema[ts].dataType
+    now = F.lit(as_of).cast("timestamp")
+
+    def cutoff(days: Column) -> Column:
+        return F.timestamp_micros(F.unix_micros(now) - days.cast("bigint") * 86_400_000_000).cast(kind)
+
     dim = dimensions.topic_policy(df.sparkSession).select(
-        F.col("target_topic").alias("_topic"), "retention_days"
+        F.col("target_topic").alias("_topic"), cutoff(F.col("retention_days")).alias("_cutoff")
     )
-    now = F.lit(as_of).cast("timestamp")
-    age = F.unix_micros(now) - timeparts.micros(F.col(ts))
-    young = age <= F.col("retention_days").cast("bigint") * 86_400_000_000
-    joined = df.join(F.broadcast(dim), F.col(topic) == F.col("_topic"), "left").drop("_topic")
-    return joined.filter(F.col("retention_days").isNull() | young)
+    keep = F.col(ts) >= F.col("_cutoff")
+    if default_days is None:
+        keep = F.col("_cutoff").isNull() | keep
+    else:
+        longest = max(default_days, *[days for _, _, days, _, _ in dimensions.TOPIC_POLICY])
+        df = df.filter(F.col(ts) >= cutoff(F.lit(longest)))
+        keep = F.col(ts) >= F.coalesce("_cutoff", cutoff(F.lit(default_days)))
+    joined = df.join(F.broadcast(dim), F.col(topic) == F.col("_topic"), "left")
+    return joined.filter(keep).drop("_topic", "_cutoff")
 
 
 def against_baseline(

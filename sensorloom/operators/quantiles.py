@@ -29,113 +29,95 @@ FEW = 10 * CELLS
 SMALL = 10_000_000
 
 
-def _grid(x: Column | str) -> Column:
-    return F.approx_percentile(x, [i / CELLS for i in range(CELLS + 1)], ACCURACY)
+def _grid(column: str) -> Column:
+    """The sketch of a column, read at all grid points. One SQL text: a list of literals is slow to build."""
+    points = ", ".join(f"{i / CELLS}D" for i in range(CELLS + 1))
+    return F.expr(f"approx_percentile({column}, array({points}), {ACCURACY})")
 
 
 def _tightened(stats: DataFrame, keys: Sequence[str], pairs: int) -> DataFrame:
     """Bounds and rank pairs per key, tighter wherever more than ``FEW`` rows are inside."""
     columns = []
     for i in range(pairs):
-        inside, below = F.col(f"_inside{i}"), F.col(f"_below{i}")
-        share = F.lit(CELLS) / inside
-        low_cell = (F.floor((F.col(f"_first{i}") - below) * share) - SPARE).cast("int")
-        high_cell = (F.ceil((F.col(f"_second{i}") + 1 - below) * share) + SPARE).cast("int")
-        wide, low, high, grid = inside > FEW, F.col(f"_low{i}"), F.col(f"_high{i}"), f"_grid{i}"
+        wide = f"_inside{i} > {FEW}"
+        low_cell = f"CAST(floor((_first{i} - _below{i}) * {CELLS}D / _inside{i}) - {SPARE} AS INT)"
+        high_cell = f"CAST(ceil((_second{i} + 1 - _below{i}) * {CELLS}D / _inside{i}) + {SPARE} AS INT)"
         columns += [
-            F.col(f"_first{i}"),
-            F.col(f"_second{i}"),
-            F.when(wide & (low_cell > 0), F.get(grid, low_cell)).otherwise(low).alias(f"_low{i}"),
-            F.when(wide & (high_cell < CELLS), F.get(grid, high_cell)).otherwise(high).alias(f"_high{i}"),
-            F.when(wide, inside * KEPT).otherwise(inside).alias(f"_expected{i}"),
+            f"_first{i}",
+            f"_second{i}",
+            f"if({wide} AND {low_cell} > 0, get(_grid{i}, {low_cell}), _low{i}) AS _low{i}",
+            f"if({wide} AND {high_cell} < {CELLS}, get(_grid{i}, {high_cell}), _high{i}) AS _high{i}",
+            f"if({wide}, _inside{i} * {KEPT}D, _inside{i}) AS _expected{i}",
         ]
-    return stats.select(*keys, "_n", *columns)
+    return stats.selectExpr(*keys, "_n", *columns)
 
 
 def _beside(rows: DataFrame, bounds: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Every row with the bounds of its key; NULL keys match each other."""
-    side = bounds.select(*[F.col(k).alias(f"_key_{k}") for k in keys], *bounds.columns[len(keys) :])
-    match = [F.col(k).eqNullSafe(F.col(f"_key_{k}")) for k in keys]
-    return rows.join(side, match).drop(*[f"_key_{k}" for k in keys])
+    side = bounds.withColumnsRenamed({k: f"_key_{k}" for k in keys})
+    match = " AND ".join(f"`{k}` <=> `_key_{k}`" for k in keys)
+    return rows.join(side, F.expr(match)).drop(*[f"_key_{k}" for k in keys])
 
 
-def _between(i: int) -> Column:
-    low, high = F.col(f"_low{i}"), F.col(f"_high{i}")
-    x = F.col("_x")
-    return (low.isNull() | (x >= low)) & (high.isNull() | (x <= high))
-
-
-def _any(tests: Sequence[Column]) -> Column:
-    out = tests[0]
-    for test in tests[1:]:
-        out = out | test
-    return out
+def _between(i: int) -> str:
+    return f"((_low{i} IS NULL OR _x >= _low{i}) AND (_high{i} IS NULL OR _x <= _high{i}))"
 
 
 def _at_ranks(
-    df: DataFrame,
-    keys: Sequence[str],
-    value: str,
-    ranks: Sequence[tuple[Column, Column]],
-    small: int,
+    df: DataFrame, keys: Sequence[str], value: str, ranks: Sequence[tuple[str, str]], small: int
 ) -> DataFrame:
     """One row per key: ``_n`` and, for rank pair i, the values ``_a{i}`` and ``_b{i}`` at its ranks.
 
-    ``ranks`` holds pairs of zero-based ranks as expressions of the row count ``_n``.
+    ``ranks`` holds pairs of zero-based ranks as SQL expressions of the row count ``_n``.
     """
-    keys, pairs, small = list(keys), len(ranks), max(small, FEW)
+    keys, pairs, small = list(keys), range(len(ranks)), max(small, FEW)
     rows = df.filter(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("_x"))
-    stats = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), _grid("_x").alias("_grid"))
+    whole = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), _grid("_x").alias("_grid"))
+    start = []
     for i, (first, second) in enumerate(ranks):
-        nothing = F.lit(None).cast("double")
-        stats = stats.withColumns(
-            {
-                f"_first{i}": first.cast("bigint"),
-                f"_second{i}": second.cast("bigint"),
-                f"_low{i}": nothing,
-                f"_high{i}": nothing,
-                f"_below{i}": F.lit(0),
-                f"_inside{i}": F.col("_n"),
-                f"_grid{i}": F.col("_grid"),
-            }
-        )
-    bounds = small_side(_tightened(stats, keys, pairs))
-    widest = F.max(F.greatest(*[F.col(f"_expected{i}") for i in range(pairs)], F.lit(0)))
+        start += [
+            f"CAST({first} AS BIGINT) AS _first{i}",
+            f"CAST({second} AS BIGINT) AS _second{i}",
+            f"CAST(NULL AS DOUBLE) AS _low{i}",
+            f"CAST(NULL AS DOUBLE) AS _high{i}",
+            f"0 AS _below{i}",
+            f"_n AS _inside{i}",
+            f"_grid AS _grid{i}",
+        ]
+    bounds = small_side(_tightened(whole.selectExpr(*keys, "_n", *start), keys, len(ranks)))
+    widest = F.expr(f"max(greatest(0, {', '.join(f'_expected{i}' for i in pairs)}))")
     while (bounds.agg(widest).first()[0] or 0) > small:
-        inside = [F.when(_between(i), F.col("_x")) for i in range(pairs)]
         held = [c for c in bounds.columns if not c.startswith("_expected")]
         measures = []
-        for i in range(pairs):
+        for i in pairs:
             measures += [
-                F.count_if(F.col("_x") < F.col(f"_low{i}")).alias(f"_below{i}"),
-                F.count(inside[i]).alias(f"_inside{i}"),
-                _grid(inside[i]).alias(f"_grid{i}"),
+                F.expr(f"count_if(_x < _low{i}) AS _below{i}"),
+                F.expr(f"count(_x{i}) AS _inside{i}"),
+                _grid(f"_x{i}").alias(f"_grid{i}"),
             ]
-        measured = _beside(rows, bounds, keys).groupBy(*held).agg(*measures)
-        bounds = small_side(_tightened(measured, keys, pairs))
+        inside = [f"if({_between(i)}, _x, NULL) AS _x{i}" for i in pairs]
+        measured = _beside(rows, bounds, keys).selectExpr("*", *inside).groupBy(*held).agg(*measures)
+        bounds = small_side(_tightened(measured, keys, len(ranks)))
 
     # Rows between two bounds only count: they are put, as one entry, before the next lower bound.
-    kept = _any([_between(i) for i in range(pairs)])
-    next_low = [F.when(F.col(f"_low{i}") > F.col("_x"), F.col(f"_low{i}")) for i in range(pairs)]
-    at = F.when(kept, F.col("_x")).otherwise(F.least(*next_low) if pairs > 1 else next_low[0])
+    kept = " OR ".join(_between(i) for i in pairs)
+    next_low = ", ".join(f"if(_low{i} > _x, _low{i}, NULL)" for i in pairs)
     counted = (
         _beside(rows, bounds, keys)
-        .select(*keys, at.alias("_x"), kept.alias("_kept"))
-        .filter(F.col("_x").isNotNull())
+        .selectExpr(*keys, f"if({kept}, _x, least(NULL, {next_low})) AS _x", f"({kept}) AS _kept")
+        .filter("_x IS NOT NULL")
         .groupBy(*keys, "_x", "_kept")
         .agg(F.count(F.lit(1)).alias("_c"))
     )
     ordered = Window.partitionBy(*keys).orderBy("_x", "_kept")
     upto = F.sum("_c").over(ordered.rowsBetween(Window.unboundedPreceding, 0))
-
-    def pick(rank: str) -> Column:
-        here = (F.col("_upto") - F.col("_c") <= F.col(rank)) & (F.col(rank) < F.col("_upto"))
-        found = F.max(F.when(here & F.col("_kept"), F.col("_x")))
-        return F.when(found.isNull(), F.raise_error(F.lit("rank outside its bounds"))).otherwise(found)
-
     picks = []
-    for i in range(pairs):
-        picks += [pick(f"_first{i}").alias(f"_a{i}"), pick(f"_second{i}").alias(f"_b{i}")]
+    for i in pairs:
+        for name, rank in (("_a", f"_first{i}"), ("_b", f"_second{i}")):
+            found = f"max(if(_kept AND _upto - _c <= {rank} AND {rank} < _upto, _x, NULL))"
+            picks.append(
+                F.expr(f"coalesce({found}, raise_error('rank outside its bounds')) AS {name}{i}")
+            )
     return _beside(counted.withColumn("_upto", upto), bounds, keys).groupBy(*keys, "_n").agg(*picks)
 
 
@@ -143,25 +125,24 @@ def percentiles(
     df: DataFrame, keys: Sequence[str], value: str, probs: dict[str, float], small: int = SMALL
 ) -> DataFrame:
     """Exact percentiles with linear interpolation. Columns: keys, ``rows``, one per name."""
-    last = F.col("_n") - 1
-    position = [last * F.lit(p) for p in probs.values()]
-    ranks = [(F.floor(h), F.least(F.floor(h) + 1, last)) for h in position]
+    position = [f"((_n - 1) * {p!r}D)" for p in probs.values()]
+    ranks = [(f"floor({h})", f"least(floor({h}) + 1, _n - 1)") for h in position]
     found = _at_ranks(df, keys, value, ranks, small)
     between = [
-        (F.col(f"_a{i}") + (F.col(f"_b{i}") - F.col(f"_a{i}")) * (h - F.floor(h))).alias(name)
+        f"_a{i} + (_b{i} - _a{i}) * ({h} - floor({h})) AS {name}"
         for i, (name, h) in enumerate(zip(probs, position))
     ]
-    return found.select(*keys, F.col("_n").alias("rows"), *between)
+    return found.selectExpr(*keys, "_n AS rows", *between)
 
 
 def nearest_ranks(
     df: DataFrame, keys: Sequence[str], value: str, probs: dict[str, float], small: int = SMALL
 ) -> DataFrame:
     """The value at zero-based position ``floor(p * n)`` of the sorted values."""
-    at = [F.least(F.floor(F.lit(p) * F.col("_n")), F.col("_n") - 1) for p in probs.values()]
+    at = [f"least(floor({p!r}D * _n), _n - 1)" for p in probs.values()]
     found = _at_ranks(df, keys, value, [(r, r) for r in at], small)
-    picked = [F.col(f"_a{i}").alias(name) for i, name in enumerate(probs)]
-    return found.select(*keys, F.col("_n").alias("rows"), *picked)
+    picked = [f"_a{i} AS {name}" for i, name in enumerate(probs)]
+    return found.selectExpr(*keys, "_n AS rows", *picked)
 
 
 def approx_percentiles(

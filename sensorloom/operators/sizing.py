@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -11,12 +12,16 @@ from ..session import shared_dir
 def small_side(df: DataFrame, max_rows: int = 10_000) -> DataFrame:
     """A join side that is computed once, and broadcast only if it is known to be small.
 
-    At most ``max_rows`` rows are fetched to find out. A larger result is checkpointed
-    instead, which keeps it from being computed twice, and joins by shuffle.
+    At most ``max_rows`` rows are fetched to find out. A larger result stays on the cluster:
+    it is checkpointed, so that every reader sees the same rows, and joins by shuffle.
     """
     spark = df.sparkSession
-    rows = df.limit(max_rows + 1).collect()
-    if len(rows) <= max_rows:
-        return F.broadcast(spark.createDataFrame(rows, df.schema))
-    shared_dir(spark)
-    return df.checkpoint()
+    kept = df.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        rows = kept.limit(max_rows + 1).collect()
+        if len(rows) <= max_rows:
+            return F.broadcast(spark.createDataFrame(rows, df.schema))
+        shared_dir(spark)
+        return kept.checkpoint()
+    finally:
+        kept.unpersist()

@@ -45,6 +45,22 @@ def approx_sensors(spark, folder):
     return neutral(out.select("window_start", "sensor_type", "city", "unique_sensors"))
 
 
+def raw_columns(rows):
+    """The nine columns of the raw view, from a table or a stream."""
+    level = condition.congestion(F.col("vehicle_count"), F.col("average_speed_kmh"))
+    return rows.select(
+        "sensor_id",
+        "sensor_type",
+        F.col("ts").alias("event_ts"),
+        "vehicle_count",
+        "average_speed_kmh",
+        level.alias("congestion_level"),
+        "aqi",
+        "pm25",
+        "occupancy_rate",
+    )
+
+
 @query(
     "raw_view",
     """SELECT sensor_id, sensor_type, ts AS event_ts, vehicle_count, average_speed_kmh,
@@ -54,22 +70,7 @@ def approx_sensors(spark, folder):
     views=("readings",),
 )
 def raw_view(spark, folder):
-    rows = aggregates.with_occupancy(views.readings(spark, folder))
-    return neutral(
-        rows.select(
-            "sensor_id",
-            "sensor_type",
-            F.col("ts").alias("event_ts"),
-            "vehicle_count",
-            "average_speed_kmh",
-            condition.congestion(F.col("vehicle_count"), F.col("average_speed_kmh")).alias(
-                "congestion_level"
-            ),
-            "aqi",
-            "pm25",
-            "occupancy_rate",
-        )
-    )
+    return neutral(raw_columns(aggregates.with_occupancy(views.readings(spark, folder))))
 
 
 @query(

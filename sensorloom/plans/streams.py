@@ -13,8 +13,8 @@ from ..sinks.files import read_batches
 from ..sources import views
 from ..sources.topics import stream_files
 from ..streaming import batch_log, joins, lifecycle, routing, stateful, windows
-from .readings import _WINDOW_SQL
-from .registry import query
+from .readings import _WINDOW_SQL, raw_columns
+from .registry import ORACLE, query
 from .shape import neutral
 
 
@@ -25,7 +25,8 @@ def replay(spark, folder):
 
 
 def _run(spark, writer, name, base):
-    return lifecycle.run(writer, f"{name}-{uuid.uuid4().hex[:8]}", f"{base}/checkpoint")
+    with lifecycle.state_width(spark):
+        return lifecycle.run(writer, f"{name}-{uuid.uuid4().hex[:8]}", f"{base}/checkpoint")
 
 
 _STREAM_WINDOW_SQL = (
@@ -44,6 +45,16 @@ def stream_windowed_agg(spark, folder):
     return neutral(table.drop("unique_sensors"))
 
 
+@query("stream_raw_view", ORACLE["raw_view"])
+def stream_raw_view(spark, folder):
+    """Append-mode raw view."""
+    base = run_dir(spark, "raw")
+    view = raw_columns(aggregates.with_occupancy(views.as_readings(replay(spark, folder))))
+    writer = view.writeStream.format("parquet").option("path", f"{base}/out").outputMode("append")
+    _run(spark, writer, "raw", base)
+    return neutral(spark.read.parquet(f"{base}/out"))
+
+
 @query(
     "stream_features",
     """SELECT event_type, bucket, sample_no, round(CASE WHEN warm THEN velocity ELSE 0 END, 6) AS velocity,

@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import time
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
@@ -17,6 +18,23 @@ def use_rocksdb(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled", "true")
 
 
+@contextmanager
+def state_width(spark: SparkSession) -> Iterator[None]:
+    """State partitions of the queries started inside.
+
+    A cluster keeps ``spark.sql.shuffle.partitions`` as set for it. In local mode every state
+    partition is a store of its own on the same cores, so there are no more of them than cores.
+    """
+    name, cores = "spark.sql.shuffle.partitions", spark.sparkContext.defaultParallelism
+    before = spark.conf.get(name)
+    if spark.sparkContext.master.startswith("local") and int(before) > cores:
+        spark.conf.set(name, str(cores))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def start(
     writer: DataStreamWriter, name: str, checkpoint: str, every: str | None = None
 ) -> StreamingQuery:

@@ -327,6 +327,17 @@ def test_scenarios_from_a_settings_file(spark, tmp_path):
     assert [tuple(r) for r in got] == [("night", "night", 0.1), ("smart_city_budget", "balanced", 0.4)]
 
 
+def test_retention_with_a_default(spark):
+    rows = spark.sql(
+        """SELECT * FROM VALUES ('iot-healthcare-raw', TIMESTAMP_NTZ '2024-01-17 00:00:00'), ('x', TIMESTAMP_NTZ '2024-01-17 00:00:00'),
+           ('iot-healthcare-raw', TIMESTAMP_NTZ '2024-01-16 23:59:59'), ('x', TIMESTAMP_NTZ '2023-01-01 00:00:00') AS t(target_topic, ts)"""
+    )
+    kept = lookups.retained(rows, "ts", "2024-01-31 00:00:00")
+    assert sorted(r[0] for r in kept.collect()) == ["iot-healthcare-raw", "x", "x"]
+    capped = lookups.retained(rows, "ts", "2024-01-31 00:00:00", default_days=14)
+    assert sorted(r[0] for r in capped.collect()) == ["iot-healthcare-raw", "x"]
+
+
 def test_no_predictions_is_zero_accuracy(spark):
     rows = spark.createDataFrame(
         [("k", "maintain", 150.0, 0.0, 1), ("k", "maintain", 50.0, 0.0, 1)],
