@@ -28,6 +28,22 @@ def with_scenario(df: DataFrame, name: Column, settings: list[tuple] | None = No
     return df.withColumn("scenario", chosen).join(F.broadcast(dim), "scenario", "left")
 
 
+def with_every_scenario(df: DataFrame, settings: list[tuple] | None = None) -> DataFrame:
+    """Each row once per scenario with that scenario's weights: a fixed expansion, not a join."""
+    weights = F.array(
+        *[
+            F.struct(
+                F.lit(name).alias("scenario"), *[F.lit(w).alias(n) for n, w in zip(_WEIGHTS, values)]
+            )
+            for name, *values in settings or dimensions.SCENARIOS
+        ]
+    )
+    return df.select("*", F.inline(weights))
+
+
+_WEIGHTS = ("alpha", "beta", "gamma")
+
+
 def with_tier(df: DataFrame, tier_id: str, codec_id: str) -> DataFrame:
     """Adds price and access time of the tier, size ratio and decode time of the codec."""
     spark = df.sparkSession
@@ -98,45 +114,38 @@ def asof_join(
     Both sides are cut into (key, time slice) groups, and the left rows of a group are
     spread over ``salts`` parts that each see all right rows of the slice. So neither a hot
     key nor a hot slice ends in one task, at the price of ``salts`` copies of the right
-    side, which is meant to be the thinner one. Inside a part the newest right row is
-    carried forward; for rows before the first one of their slice it comes from the nearest
-    earlier slice, found on a table of one row per key and slice.
+    side, which is meant to be the thinner one. Each part also gets, as its first entry, the
+    newest right row of the earlier slices; that one is found on a table of one row per
+    part. Then the newest right row is carried forward inside the part. The left rows
+    shuffle once, and there is no inequality join.
     """
     keys, group = list(keys), [*keys, "_slice"]
     cut = F.floor(F.unix_seconds(F.col(ts).cast("timestamp")) / slice_seconds).alias("_slice")
     signal = F.struct(F.col(ts).alias("at"), *columns)
     kept = right.dropna(subset=[*keys, ts]).select(*keys, F.col(ts), cut, signal.alias("_signal"))
-    rows = left.select(
-        *keys,
-        F.col(ts),
-        cut,
-        F.pmod(F.xxhash64(*left.columns), F.lit(salts)).cast("int").alias("_salt"),
-        F.lit(None).cast(kept.schema["_signal"].dataType).alias("_signal"),
-        F.struct(*left.columns).alias("_row"),
-    )
+    salt = F.pmod(F.xxhash64(*left.columns), F.lit(salts)).cast("int").alias("_salt")
+    rows = left.select(*keys, F.col(ts), cut, salt, F.struct(*left.columns).alias("_row"))
     copies = kept.withColumn("_salt", F.explode(F.array(*[F.lit(i) for i in range(salts)])))
-    both = rows.unionByName(copies.withColumn("_row", F.lit(None).cast(rows.schema["_row"].dataType)))
+
+    newest = kept.groupBy(*group).agg(F.max("_signal").alias("_newest"))
+    parts = rows.select(*group, "_salt").distinct().unionByName(newest, allowMissingColumns=True)
+    earlier = Window.partitionBy(*keys).orderBy("_slice").rangeBetween(Window.unboundedPreceding, -1)
+    carried = F.last("_newest", ignorenulls=True).over(earlier)
+    first_entries = (
+        parts.withColumn("_signal", carried)
+        .filter(F.col("_salt").isNotNull() & F.col("_signal").isNotNull())
+        .select(*group, "_salt", F.col("_signal.at").alias(ts), "_signal")
+    )
+
     upto = (
         Window.partitionBy(*group, "_salt")
         .orderBy(ts, F.col("_signal").isNull(), "_signal")
         .rowsBetween(Window.unboundedPreceding, 0)
     )
-    near = both.withColumn("_near", F.last("_signal", ignorenulls=True).over(upto)).filter(
-        F.col("_row").isNotNull()
-    )
-    earlier = Window.partitionBy(*keys).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
-    newest = kept.groupBy(*group).agg(F.max("_signal").alias("_newest"))
-    touched = rows.select(*group).distinct()
-    carried = (
-        touched.unionByName(newest, allowMissingColumns=True)
-        .groupBy(*group)
-        .agg(F.max("_newest").alias("_newest"))
-        .withColumn("_carried", F.last("_newest", ignorenulls=True).over(earlier))
-        .filter(F.col("_carried").isNotNull())
-        .select(*group, F.explode(F.array(*[F.lit(i) for i in range(salts)])).alias("_salt"), "_carried")
-    )
+    entries = copies.unionByName(first_entries)
     return (
-        near.join(carried, [*group, "_salt"], "left")
-        .withColumn("_found", F.coalesce("_near", "_carried"))
+        rows.unionByName(entries, allowMissingColumns=True)
+        .withColumn("_found", F.last("_signal", ignorenulls=True).over(upto))
+        .filter(F.col("_row").isNotNull())
         .select("_row.*", *[F.col(f"_found.{c}").alias(c) for c in columns])
     )

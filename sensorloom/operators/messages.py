@@ -51,9 +51,12 @@ def flatten_city(df: DataFrame) -> DataFrame:
     )
 
 
-def probe(df: DataFrame) -> DataFrame:
-    """Adds ``m``: identity, payload blocks and the corrupt text, if any, of any message kind."""
-    return parse(df, schemas.ANY_MESSAGE, "m")
+def probe(df: DataFrame, payload: bool = False) -> DataFrame:
+    """Adds ``m``: identity and the corrupt text, if any, of any message kind.
+
+    With ``payload`` the metric blocks are read too, as maps; without, they are skipped over.
+    """
+    return parse(df, schemas.ANY_MESSAGE if payload else schemas.IDENTITY, "m")
 
 
 def identified(probed: DataFrame) -> DataFrame:

@@ -275,6 +275,23 @@ def scenario_score(spark, folder):
     )
 
 
+@query(
+    "scenario_matrix",
+    """SELECT event_type, bucket, scenario, round(gamma * throughput / 200 - alpha * cost / 10 - beta * latency_ms / 1000, 6) AS score
+       FROM batch_log, (VALUES ('healthcare_critical', 0.1E0, 0.8E0, 0.1E0), ('industrial_high_throughput', 0.2E0, 0.3E0, 0.5E0),
+                               ('smart_city_budget', 0.9E0, 0.05E0, 0.05E0), ('balanced', 0.33E0, 0.33E0, 0.33E0)) s(scenario, alpha, beta, gamma)""",
+    views=("batch_log",),
+)
+def scenario_matrix(spark, folder):
+    """What every batch would score under every scenario."""
+    rows = lookups.with_every_scenario(views.batch_log(spark, folder))
+    weights = tuple(F.col(n) for n in ("alpha", "beta", "gamma"))
+    value = score.weighted_score(
+        weights, F.col("cost") / 10, F.col("latency_ms") / 1000, F.col("throughput") / 200
+    )
+    return neutral(rows.select(*KEYS, TS, "scenario", value.alias("score")))
+
+
 def _decisions(spark, folder):
     """Features, edge signal and the pool sized for the previous step, with the recommended action."""
     rates = views.rate_hourly(spark, folder).select(*KEYS, TS, RATE, "cpu_util", "latency_ms")

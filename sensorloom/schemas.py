@@ -52,15 +52,19 @@ WARD_READING = """
   systolic_bp double, resp_rate double, timestamp string
 """
 
-# Identity and payload probe shared by every message kind; the payload blocks are
-# read as open maps so that a probe never loses an unknown metric.
-ANY_MESSAGE = """
+# What every message kind may say about its sender. The corrupt text is kept.
+IDENTITY = """
   sensor_id string, device_id string, machine_id string, patient_id string,
   sensor_type string, device_type string, machine_type string, timestamp string,
-  metrics map<string,string>, vitals map<string,string>, sensors map<string,string>,
   _corrupt_record string
 """
 
+# The same with the payload blocks, read as open maps so that no unknown metric is lost.
+ANY_MESSAGE = f"""
+  {IDENTITY.strip()},
+  metrics map<string,string>, vitals map<string,string>, sensors map<string,string>
+"""
+
 EDGE_SIGNAL = "patient_id string, ts timestamp, predicted_load double, burst_alarm boolean"
 
 ENVELOPE = "topic string, key string, value string, timestamp timestamp, offset bigint"

@@ -54,7 +54,7 @@ def fan_out(base: str, query_id: str) -> Callable[[DataFrame, int], None]:
     """
 
     def handle(batch: DataFrame, batch_id: int) -> None:
-        probed = messages.probe(messages.decode(batch)).persist(StorageLevel.MEMORY_AND_DISK)
+        probed = messages.probe(messages.decode(batch), payload=True).persist(StorageLevel.MEMORY_AND_DISK)
         try:
             good, bad = messages.split_faulty(probed)
             for sink, rows in {

@@ -62,3 +62,10 @@ def test_raw_rows_are_counted_before_the_shuffle(spark, folder, name):
     text = plan(spark, folder, name)
     below = text[text.rindex("Exchange hashpartitioning") :]
     assert "partial_" in below
+
+
+def test_asof_join_shuffles_left_rows_once(spark, folder):
+    text = plan(spark, folder, "edge_asof_join")
+    assert "Join" not in text
+    wide = [line for line in text.splitlines() if "Exchange hashpartitioning" in line and "_salt" in line]
+    assert len(wide) == 2  # the rows themselves, and the distinct parts
