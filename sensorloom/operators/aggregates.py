@@ -8,7 +8,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import condition
-from .sizing import small_side
 
 
 def with_occupancy(df: DataFrame) -> DataFrame:
@@ -107,10 +106,8 @@ def histogram(df: DataFrame, keys: Sequence[str], x: str, bins: int = 10) -> Dat
     """
     keys, seen = list(keys), df.filter(F.col(x).isNotNull())
     single = F.when(F.min(x) == F.max(x), 0.5).otherwise(0.0)
-    limits = small_side(
-        seen.groupBy(*[F.col(k).alias(f"_{k}") for k in keys]).agg(
-            (F.min(x) - single).alias("_lo"), (F.max(x) + single).alias("_hi")
-        )
+    limits = seen.groupBy(*[F.col(k).alias(f"_{k}") for k in keys]).agg(
+        (F.min(x) - single).alias("_lo"), (F.max(x) + single).alias("_hi")
     )
     width = F.col("_hi") - F.col("_lo")
     slot = F.least(F.floor((F.col(x) - F.col("_lo")) / width * bins), F.lit(bins - 1))
@@ -183,16 +180,23 @@ def prediction_outcome(
 
 
 def temperature(
-    df: DataFrame, key: str, ts: str, as_of: str, frequency_weight: float, recency_weight: float
+    df: DataFrame,
+    key: str,
+    ts: str,
+    as_of: str,
+    frequency_weight: float,
+    recency_weight: float,
+    burst_reads: int = 3,
 ) -> DataFrame:
     """Access temperature per key: a weighted sum of daily frequency and recency.
 
     Frequency is rows per day between the first access and ``as_of``; recency is one over
-    the hours since the last access. A key read three times on the last day is bursting.
+    the hours since the last access. A key read ``burst_reads`` times on the last day is
+    bursting. Rows after ``as_of`` have not happened yet and are left out at the scan.
     """
     now = F.unix_micros(F.lit(as_of).cast("timestamp"))
     at = F.unix_micros(F.col(ts).cast("timestamp"))
-    stats = df.groupBy(key).agg(
+    stats = df.filter(F.col(ts) <= F.lit(as_of).cast(df.schema[ts].dataType)).groupBy(key).agg(
         F.count(F.lit(1)).alias("accesses"),
         F.min(at).alias("_first"),
         F.max(at).alias("_last"),
@@ -203,4 +207,4 @@ def temperature(
     score = F.lit(frequency_weight) * F.try_divide(F.col("accesses"), days) + F.lit(
         recency_weight
     ) * F.try_divide(F.lit(1.0), hours)
-    return stats.select(key, "accesses", score.alias("score"), (F.col("_last_day") >= 3).alias("burst"))
+    return stats.select(key, "accesses", score.alias("score"), (F.col("_last_day") >= burst_reads).alias("burst"))

@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -19,6 +16,7 @@ def decode(df: DataFrame) -> DataFrame:
         F.col("key").cast("string").alias("key"),
         F.col("value").cast("string").alias("value"),
         F.col("timestamp").alias("broker_ts"),
+        "partition",
         "offset",
     )
 
@@ -30,9 +28,22 @@ def preview(df: DataFrame) -> DataFrame:
     )
 
 
+def parsed(value: Column, schema: str) -> Column:
+    """One JSON object as a struct; NULL for anything else.
+
+    A lenient parser stops after the first object and takes single quotes. Here the text is read as
+    the first of two array elements, the second being a mark, so that text behind the object, a
+    second object, blank text and single quotes are all unreadable.
+    """
+    typed = f"array<struct<{schema.strip()}, _mark: boolean>>"
+    text = F.concat(F.lit("["), value, F.lit(',{"_mark":true}]'))
+    both = F.from_json(text, typed, {"allowSingleQuotes": "false"})
+    return F.when((F.size(both) == 2) & F.get(both, F.lit(1))["_mark"], F.get(both, F.lit(0)).dropFields("_mark"))
+
+
 def parse(df: DataFrame, schema: str, into: str = "data") -> DataFrame:
     """Adds the parsed payload. Unreadable text keeps its row, with every field NULL."""
-    return df.withColumn(into, F.from_json("value", schema))
+    return df.withColumn(into, parsed(F.col("value"), schema))
 
 
 def flatten_city(df: DataFrame) -> DataFrame:
@@ -52,7 +63,7 @@ def flatten_city(df: DataFrame) -> DataFrame:
 
 
 def probe(df: DataFrame, payload: bool = False) -> DataFrame:
-    """Adds ``m``: identity and the corrupt text, if any, of any message kind.
+    """Adds ``m``: the identity that any message kind may carry, NULL if the payload is unreadable.
 
     With ``payload`` the metric blocks are read too, as maps; without, they are skipped over.
     """
@@ -68,60 +79,86 @@ def identified(probed: DataFrame) -> DataFrame:
     )
 
 
-def readable(probed: DataFrame) -> Column:
-    return F.col("m._corrupt_record").isNull()
+def fault() -> Column:
+    """Why a probed payload can't be read; NULL if it can."""
+    blank = F.col("value").isNull() | (F.trim("value") == "")
+    return F.when(blank, "empty payload").when(F.col("m").isNull(), "malformed JSON")
+
+
+def invalid() -> Column:
+    """Why a readable payload is not valid; NULL if it is: it must name its device and have a readable time, if any."""
+    at = F.col("m.timestamp")
+    return F.when(message.device_ref("m.").isNull(), "no device identity").when(
+        at.isNotNull() & message.event_time(at).isNull(), "unreadable time"
+    )
 
 
 def split_faulty(probed: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(readable rows, unreadable rows); every row is in exactly one of them."""
-    return probed.filter(readable(probed)), probed.filter(~readable(probed))
+    return probed.filter(fault().isNull()), probed.filter(fault().isNotNull())
 
 
-def dead_letters(faulty: DataFrame, error: str = "malformed JSON") -> DataFrame:
-    return faulty.select(
+def dead_letters(probed: DataFrame, error: Column | None = None) -> DataFrame:
+    """The rows that have an error, each with its cause; unreadable ones unless told otherwise."""
+    return probed.withColumn("error", fault() if error is None else error).filter("error IS NOT NULL").select(
         F.col("topic").alias("original_topic"),
         F.col("key").alias("original_key"),
         F.col("value").alias("original_data"),
-        F.lit(error).alias("error"),
+        "error",
         F.col("broker_ts").alias("failed_at"),
     )
 
 
-def domain_rows(df: DataFrame, domain: str) -> DataFrame:
-    """One domain's messages with that domain's own schema and leading measures."""
-    schema, measures = {
-        "smartcity": (
-            schemas.SMART_CITY,
-            {"vehicle_count": "metrics.vehicle_count", "speed_kmh": "metrics.average_speed_kmh"},
-        ),
-        "healthcare": (
-            schemas.VITAL_SIGNS,
-            {
-                "heart_rate_bpm": "vitals.heart_rate_bpm",
-                "oxygen_percent": "vitals.oxygen_saturation_percent",
-            },
-        ),
-        "industrial": (
-            schemas.MACHINE,
-            {"machine_celsius": "sensors.temperature_celsius", "vibration_mms": "sensors.vibration_mms"},
-        ),
-    }[domain]
-    identity = {"smartcity": "sensor_id", "healthcare": "device_id", "industrial": "machine_id"}[domain]
-    return parse(df, schema).select(
+# Per domain: its topic, its schema, the field that names its device, and its leading measures.
+DOMAINS = {
+    "smartcity": (
+        "iot/smartcity/sensors",
+        schemas.SMART_CITY,
+        "sensor_id",
+        {"vehicle_count": "metrics.vehicle_count", "speed_kmh": "metrics.average_speed_kmh"},
+    ),
+    "healthcare": (
+        "iot/healthcare/vitals",
+        schemas.VITAL_SIGNS,
+        "device_id",
+        {"heart_rate_bpm": "vitals.heart_rate_bpm", "oxygen_percent": "vitals.oxygen_saturation_percent"},
+    ),
+    "industrial": (
+        "iot/industrial/machines",
+        schemas.MACHINE,
+        "machine_id",
+        {"machine_celsius": "sensors.temperature_celsius", "vibration_mms": "sensors.vibration_mms"},
+    ),
+}
+
+
+def merged_domains(df: DataFrame) -> DataFrame:
+    """The messages of all domains as one table of typed rows, read in one pass.
+
+    The topic chooses the schema a payload is parsed with; a measure that a domain lacks is NULL.
+    Other topics are left out.
+    """
+    domain = F.lit(None).cast("string")
+    for name, (topic, *_) in DOMAINS.items():
+        domain = F.when(F.col("topic") == topic, name).otherwise(domain)
+    rows = df.withColumn("domain", domain).filter("domain IS NOT NULL")
+    for name, (_, schema, _, _) in DOMAINS.items():
+        rows = rows.withColumn(f"_{name}", F.when(F.col("domain") == name, parsed(F.col("value"), schema)))
+    device = F.coalesce(*[F.col(f"_{name}.{field}") for name, (_, _, field, _) in DOMAINS.items()])
+    at = F.coalesce(*[F.col(f"_{name}.timestamp") for name in DOMAINS])
+    return rows.select(
         "offset",
-        F.lit(domain).alias("domain"),
-        F.col(f"data.{identity}").alias("device_ref"),
-        message.event_time(F.col("data.timestamp")).alias("event_ts"),
-        *[F.col(f"data.{path}").alias(name) for name, path in measures.items()],
+        "domain",
+        device.alias("device_ref"),
+        message.event_time(at).alias("event_ts"),
+        *[
+            F.col(f"_{name}.{path}").alias(measure)
+            for name, (_, _, _, measures) in DOMAINS.items()
+            for measure, path in measures.items()
+        ],
     )
 
 
-def union_domains(parts: Mapping[str, DataFrame]) -> DataFrame:
-    """The domains as one stream of rows; a measure a domain lacks is NULL."""
-    typed = [domain_rows(df, name) for name, df in parts.items()]
-    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), typed)
-
-
 def as_records(df: DataFrame, topic: Column, key: Column, *payload: str) -> DataFrame:
     """Rows for a keyed log: topic, key, and the payload columns as JSON text."""
     return df.select(

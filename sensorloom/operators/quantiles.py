@@ -1,10 +1,11 @@
 """Exact order statistics per key, without gathering a key in one task.
 
-A mergeable sketch gives bounds that the wanted rank of every key must lie between. While
-too many rows remain between the bounds, the next pass sketches only those. The last pass
-counts the rows below the bounds and sorts the distinct values inside them. Every pass is
-a scan with partial aggregation, so a key that holds a third of the rows costs no more
-than any other. The sketch only narrows the search: the value returned is exact.
+Two scans, whatever the size. The first counts rows per key and cell, a cell being a narrow
+range of a monotone scale of the value; running totals over the cells of a key tell which cells
+hold the wanted ranks. The second counts the distinct values in those cells only, and running
+totals inside a cell find the values. Counts combine before every shuffle, so neither a key that
+holds a third of the rows nor one value that most rows share meets in one task, and rows tied
+on a value cost one entry. The cells only narrow the search: the value returned is exact.
 """
 
 from __future__ import annotations
@@ -14,120 +15,61 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .sizing import small_side
-
-# The sketch is read at CELLS + 1 evenly spaced points. One cell is wider than the sketch
-# error (1 / ACCURACY), so one spare cell on each side makes the bounds certain.
-CELLS = 1000
+# Cells per unit of the logarithmic scale: neighbouring cells differ by 1 part in CELLS, and values
+# below UNIT are told apart in steps of UNIT / CELLS.
+CELLS = 65_536
+UNIT = 1e-6
+# Rank error of an estimate is at most one part in this.
 ACCURACY = 10_000
-SPARE = 1
-# Share of the rows that can remain between bounds after one pass.
-KEPT = (2 * SPARE + 3) / CELLS
-# Below this many rows a key is sorted whole; above, the sketch decides what is sorted.
-FEW = 10 * CELLS
-# Rows of one key that one task may sort. More of them cost another narrowing pass.
-SMALL = 10_000_000
-
-
-def _grid(column: str) -> Column:
-    """The sketch of a column, read at all grid points. One SQL text: a list of literals is slow to build."""
-    points = ", ".join(f"{i / CELLS}D" for i in range(CELLS + 1))
-    return F.expr(f"approx_percentile({column}, array({points}), {ACCURACY})")
-
-
-def _tightened(stats: DataFrame, keys: Sequence[str], pairs: int) -> DataFrame:
-    """Bounds and rank pairs per key, tighter wherever more than ``FEW`` rows are inside."""
-    columns = []
-    for i in range(pairs):
-        wide = f"_inside{i} > {FEW}"
-        low_cell = f"CAST(floor((_first{i} - _below{i}) * {CELLS}D / _inside{i}) - {SPARE} AS INT)"
-        high_cell = f"CAST(ceil((_second{i} + 1 - _below{i}) * {CELLS}D / _inside{i}) + {SPARE} AS INT)"
-        columns += [
-            f"_first{i}",
-            f"_second{i}",
-            f"if({wide} AND {low_cell} > 0, get(_grid{i}, {low_cell}), _low{i}) AS _low{i}",
-            f"if({wide} AND {high_cell} < {CELLS}, get(_grid{i}, {high_cell}), _high{i}) AS _high{i}",
-            f"if({wide}, _inside{i} * {KEPT}D, _inside{i}) AS _expected{i}",
-        ]
-    return stats.selectExpr(*keys, "_n", *columns)
-
-
-def _beside(rows: DataFrame, bounds: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Every row with the bounds of its key; NULL keys match each other."""
-    side = bounds.withColumnsRenamed({k: f"_key_{k}" for k in keys})
-    match = " AND ".join(f"`{k}` <=> `_key_{k}`" for k in keys)
-    return rows.join(side, F.expr(match)).drop(*[f"_key_{k}" for k in keys])
-
-
-def _between(i: int) -> str:
-    return f"((_low{i} IS NULL OR _x >= _low{i}) AND (_high{i} IS NULL OR _x <= _high{i}))"
-
-
-def _at_ranks(
-    df: DataFrame, keys: Sequence[str], value: str, ranks: Sequence[tuple[str, str]], small: int
-) -> DataFrame:
+
+
+def _cell(x: str) -> Column:
+    """A number that never falls as the value rises. NaN, which sorts last, has a cell of its own."""
+    return F.expr(f"rint(signum({x}) * log1p(abs({x}) / {UNIT!r}D) * {CELLS}D)")
+
+
+def _at_ranks(df: DataFrame, keys: Sequence[str], value: str, ranks: Sequence[tuple[str, str]]) -> DataFrame:
     """One row per key: ``_n`` and, for rank pair i, the values ``_a{i}`` and ``_b{i}`` at its ranks.
 
     ``ranks`` holds pairs of zero-based ranks as SQL expressions of the row count ``_n``.
     """
-    keys, pairs, small = list(keys), range(len(ranks)), max(small, FEW)
+    keys = list(keys)
     rows = df.filter(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("_x"))
-    whole = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), _grid("_x").alias("_grid"))
-    start = []
-    for i, (first, second) in enumerate(ranks):
-        start += [
-            f"CAST({first} AS BIGINT) AS _first{i}",
-            f"CAST({second} AS BIGINT) AS _second{i}",
-            f"CAST(NULL AS DOUBLE) AS _low{i}",
-            f"CAST(NULL AS DOUBLE) AS _high{i}",
-            f"0 AS _below{i}",
-            f"_n AS _inside{i}",
-            f"_grid AS _grid{i}",
-        ]
-    bounds = small_side(_tightened(whole.selectExpr(*keys, "_n", *start), keys, len(ranks)))
-    widest = F.expr(f"max(greatest(0, {', '.join(f'_expected{i}' for i in pairs)}))")
-    while (bounds.agg(widest).first()[0] or 0) > small:
-        held = [c for c in bounds.columns if not c.startswith("_expected")]
-        measures = []
-        for i in pairs:
-            measures += [
-                F.expr(f"count_if(_x < _low{i}) AS _below{i}"),
-                F.expr(f"count(_x{i}) AS _inside{i}"),
-                _grid(f"_x{i}").alias(f"_grid{i}"),
-            ]
-        inside = [f"if({_between(i)}, _x, NULL) AS _x{i}" for i in pairs]
-        measured = _beside(rows, bounds, keys).selectExpr("*", *inside).groupBy(*held).agg(*measures)
-        bounds = small_side(_tightened(measured, keys, len(ranks)))
-
-    # Rows between two bounds only count: they are put, as one entry, before the next lower bound.
-    kept = " OR ".join(_between(i) for i in pairs)
-    next_low = ", ".join(f"if(_low{i} > _x, _low{i}, NULL)" for i in pairs)
-    counted = (
-        _beside(rows, bounds, keys)
-        .selectExpr(*keys, f"if({kept}, _x, least(NULL, {next_low})) AS _x", f"({kept}) AS _kept")
-        .filter("_x IS NOT NULL")
-        .groupBy(*keys, "_x", "_kept")
+    rows = rows.withColumn("_cell", _cell("_x"))
+
+    of_key = Window.partitionBy(*keys)
+    upto = of_key.orderBy("_cell").rowsBetween(Window.unboundedPreceding, 0)
+    wanted = [r for pair in ranks for r in pair]
+    held = " OR ".join(f"(_upto - _c <= CAST({r} AS BIGINT) AND CAST({r} AS BIGINT) < _upto)" for r in wanted)
+    cells = (
+        rows.groupBy(*keys, "_cell")
+        .agg(F.count(F.lit(1)).alias("_c"))
+        .withColumns({"_upto": F.sum("_c").over(upto), "_n": F.sum("_c").over(of_key)})
+        .filter(held)
+        .select(*[F.col(k).alias(f"_key_{k}") for k in keys], F.col("_cell").alias("_at"), "_n", F.expr("_upto - _c AS _below"))
+    )
+    # NULL keys match each other; the cells to look into are few and broadcast by their measured size.
+    match = " AND ".join(["_cell <=> _at", *[f"`{k}` <=> `_key_{k}`" for k in keys]])
+    values = (
+        rows.join(cells, F.expr(match))
+        .groupBy(*keys, "_cell", "_below", "_n", "_x")
         .agg(F.count(F.lit(1)).alias("_c"))
     )
-    ordered = Window.partitionBy(*keys).orderBy("_x", "_kept")
-    upto = F.sum("_c").over(ordered.rowsBetween(Window.unboundedPreceding, 0))
+    inside = Window.partitionBy(*keys, "_cell").orderBy("_x").rowsBetween(Window.unboundedPreceding, 0)
+    placed = values.withColumn("_upto", F.col("_below") + F.sum("_c").over(inside))
     picks = []
-    for i in pairs:
-        for name, rank in (("_a", f"_first{i}"), ("_b", f"_second{i}")):
-            found = f"max(if(_kept AND _upto - _c <= {rank} AND {rank} < _upto, _x, NULL))"
-            picks.append(
-                F.expr(f"coalesce({found}, raise_error('rank outside its bounds')) AS {name}{i}")
-            )
-    return _beside(counted.withColumn("_upto", upto), bounds, keys).groupBy(*keys, "_n").agg(*picks)
+    for i, pair in enumerate(ranks):
+        for name, rank in zip(("_a", "_b"), pair):
+            there = f"_upto - _c <= CAST({rank} AS BIGINT) AND CAST({rank} AS BIGINT) < _upto"
+            picks.append(F.expr(f"max(if({there}, _x, NULL)) AS {name}{i}"))
+    return placed.groupBy(*keys, "_n").agg(*picks)
 
 
-def percentiles(
-    df: DataFrame, keys: Sequence[str], value: str, probs: dict[str, float], small: int = SMALL
-) -> DataFrame:
+def percentiles(df: DataFrame, keys: Sequence[str], value: str, probs: dict[str, float]) -> DataFrame:
     """Exact percentiles with linear interpolation. Columns: keys, ``rows``, one per name."""
     position = [f"((_n - 1) * {p!r}D)" for p in probs.values()]
     ranks = [(f"floor({h})", f"least(floor({h}) + 1, _n - 1)") for h in position]
-    found = _at_ranks(df, keys, value, ranks, small)
+    found = _at_ranks(df, keys, value, ranks)
     between = [
         f"_a{i} + (_b{i} - _a{i}) * ({h} - floor({h})) AS {name}"
         for i, (name, h) in enumerate(zip(probs, position))
@@ -135,12 +77,10 @@ def percentiles(
     return found.selectExpr(*keys, "_n AS rows", *between)
 
 
-def nearest_ranks(
-    df: DataFrame, keys: Sequence[str], value: str, probs: dict[str, float], small: int = SMALL
-) -> DataFrame:
+def nearest_ranks(df: DataFrame, keys: Sequence[str], value: str, probs: dict[str, float]) -> DataFrame:
     """The value at zero-based position ``floor(p * n)`` of the sorted values."""
     at = [f"least(floor({p!r}D * _n), _n - 1)" for p in probs.values()]
-    found = _at_ranks(df, keys, value, [(r, r) for r in at], small)
+    found = _at_ranks(df, keys, value, [(r, r) for r in at])
     picked = [f"_a{i} AS {name}" for i, name in enumerate(probs)]
     return found.selectExpr(*keys, "_n AS rows", *picked)
 

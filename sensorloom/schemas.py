@@ -52,11 +52,10 @@ WARD_READING = """
   systolic_bp double, resp_rate double, timestamp string
 """
 
-# What every message kind may say about its sender. The corrupt text is kept.
+# What every message kind may say about its sender.
 IDENTITY = """
   sensor_id string, device_id string, machine_id string, patient_id string,
-  sensor_type string, device_type string, machine_type string, timestamp string,
-  _corrupt_record string
+  sensor_type string, device_type string, machine_type string, timestamp string
 """
 
 # The same with the payload blocks, read as open maps so that no unknown metric is lost.
@@ -67,7 +66,7 @@ ANY_MESSAGE = f"""
 
 EDGE_SIGNAL = "patient_id string, ts timestamp, predicted_load double, burst_alarm boolean"
 
-ENVELOPE = "topic string, key string, value string, timestamp timestamp, offset bigint"
+ENVELOPE = "topic string, partition int, key string, value string, timestamp timestamp, offset bigint"
 
 TRAFFIC_SAMPLE = "timestamp double, workload_rate double, kafka_lag int, cpu_util double, latency_ms double"
 

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from sensorloom.operators import batches, lookups, quantiles, series, sizing
+from sensorloom.operators import batches, lookups, quantiles, series
 
 START = datetime(2024, 1, 1)
 
@@ -164,22 +164,22 @@ def test_asof_join_equals_search(spark, salts, slice_seconds):
         assert got[i] == (max(past)[1] if past else None)
 
 
-@pytest.mark.parametrize("few", [4000, 10_000_000])
-def test_percentiles_are_exact(spark, monkeypatch, few):
-    monkeypatch.setattr(quantiles, "FEW", few)
+def test_percentiles_are_exact(spark):
     r = random.Random(3)
     data = {
         "hot": [r.lognormvariate(0, 3) for _ in range(30_000)],
         "same": [1.5] * 9000,
+        "two": [7.0] * 6000 + [8.0] * 3000,
         "steps": [float(r.randint(0, 3)) for _ in range(9000)],
+        "wide": [r.uniform(-1, 1) * 10 ** r.randint(-12, 12) for _ in range(3000)] + [0.0] * 50,
+        "close": [1e6 + i * 1e-9 for i in range(2000)],
         "few": [3.0, 1.0, 2.0],
         None: [7.0],
     }
     df = spark.createDataFrame([(k, x) for k, xs in data.items() for x in xs], "k string, x double")
     probs = {"p0": 0.0, "p50": 0.5, "p95": 0.95, "p99": 0.99, "p100": 1.0}
-    # A small limit forces further narrowing passes.
-    got = {row["k"]: row for row in quantiles.percentiles(df, ["k"], "x", probs, small=few).collect()}
-    near = {row["k"]: row for row in quantiles.nearest_ranks(df, ["k"], "x", probs, small=few).collect()}
+    got = {row["k"]: row for row in quantiles.percentiles(df, ["k"], "x", probs).collect()}
+    near = {row["k"]: row for row in quantiles.nearest_ranks(df, ["k"], "x", probs).collect()}
     for k, xs in data.items():
         for name, p in probs.items():
             assert got[k][name] == pytest.approx(np.percentile(xs, 100 * p), rel=1e-12), (k, name)
@@ -187,7 +187,15 @@ def test_percentiles_are_exact(spark, monkeypatch, few):
         assert got[k]["rows"] == len(xs)
 
 
-def test_large_side_is_not_broadcast(spark):
-    side = sizing.small_side(spark.range(50), max_rows=10)
-    assert side.count() == 50 and "ResolvedHint" not in side._jdf.queryExecution().logical().toString()
-    assert sizing.small_side(spark.range(5), max_rows=10).count() == 5
+def test_percentiles_sort_infinite_and_missing_numbers_last(spark):
+    xs = [1.0, float("inf"), float("-inf"), float("nan"), 2.0]
+    df = spark.createDataFrame([("a", x) for x in xs] + [("a", None)], "k string, x double")
+    row = quantiles.nearest_ranks(df, ["k"], "x", {"q0": 0.0, "q2": 0.4, "q3": 0.6, "q4": 0.9}).first()
+    assert (row["rows"], row["q0"], row["q2"], row["q3"]) == (5, float("-inf"), 2.0, float("inf"))
+    assert math.isnan(row["q4"])
+
+
+def test_percentiles_start_no_job_while_the_plan_is_built(spark):
+    before = len(spark.sparkContext.statusTracker().getJobIdsForGroup())
+    quantiles.percentiles(spark.range(10).selectExpr("id % 2 AS k", "id AS x"), ["k"], "x", {"p": 0.5})
+    assert len(spark.sparkContext.statusTracker().getJobIdsForGroup()) == before
