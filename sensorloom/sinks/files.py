@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,11 +15,18 @@ def write_batch(df: DataFrame, base: str, query_id: str, batch_id: int) -> None:
 
 
 def read_batches(spark: SparkSession, base: str, schema: str | None = None) -> DataFrame:
-    """All batches under ``base`` with ``query_id`` and ``batch_id`` as columns."""
+    """All batches under ``base`` with ``query_id`` and ``batch_id`` as columns.
+
+    With a schema, a folder that no batch was written to is an empty table.
+    """
     reader = spark.read.option("basePath", base)
-    if schema:
-        reader = reader.schema(f"{schema}, query_id string, batch_id bigint")
-    return reader.parquet(base)
+    if not schema:
+        return reader.parquet(base)
+    full = f"{schema}, query_id string, batch_id bigint"
+    path = spark._jvm.org.apache.hadoop.fs.Path(base)
+    if not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
+        return spark.createDataFrame([], full)
+    return reader.schema(full).parquet(base)
 
 
 def csv_report(report: DataFrame, path: str, files: int = 1) -> None:
@@ -40,14 +48,19 @@ CODEC_OF_TIER = {"HOT": 0, "WARM": 1, "COLD": 2, "ARCHIVE": 2}
 def write_tiered(df: DataFrame, base: str, tier: str = "tier") -> dict[str, str]:
     """Archive rows by tier, each codec in its own Parquet folder, partitioned by tier.
 
-    One filtered write per codec: the tier predicate reaches the scan, and nothing is cached.
+    A codec is a setting of a write, so there is one write per codec; the rows are kept on executor
+    disk meanwhile, so that the source is read once.
     """
     written = {}
     labels = [t[2] for t in TIERS]
-    for codec_id, codec, *_ in CODECS:
-        chosen = [t for t in labels if CODEC_OF_TIER[t] == codec_id]
-        path = f"{base}/codec={codec}"
-        part = df.filter(F.col(tier).isin(*chosen))
-        part.write.mode("overwrite").option("compression", codec).partitionBy(tier).parquet(path)
-        written[codec] = path
+    kept = df.persist(StorageLevel.DISK_ONLY)
+    try:
+        for codec_id, codec, *_ in CODECS:
+            chosen = [t for t in labels if CODEC_OF_TIER[t] == codec_id]
+            path = f"{base}/codec={codec}"
+            part = kept.filter(F.col(tier).isin(*chosen))
+            part.write.mode("overwrite").option("compression", codec).partitionBy(tier).parquet(path)
+            written[codec] = path
+    finally:
+        kept.unpersist()
     return written

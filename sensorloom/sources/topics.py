@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..schemas import ENVELOPE
 
-ENVELOPE_COLUMNS = ("topic", "key", "value", "timestamp", "offset")
+ENVELOPE_COLUMNS = ("topic", "partition", "key", "value", "timestamp", "offset")
 
 
 @dataclass(frozen=True)
@@ -28,6 +28,8 @@ class SourceConfig:
     path: str | None = None
     schema: str = ENVELOPE
     starting_offsets: str = "latest"
+    # A bounded read starts and ends here.
+    first_offsets: str = "earliest"
     ending_offsets: str = "latest"
     fail_on_data_loss: bool = False
     max_offsets_per_trigger: int | None = None
@@ -50,8 +52,9 @@ def source_options(config: SourceConfig, streaming: bool = True) -> dict[str, st
             if config.max_offsets_per_trigger:
                 options["maxOffsetsPerTrigger"] = str(config.max_offsets_per_trigger)
         else:
-            start = config.starting_offsets
-            options["startingOffsets"] = "earliest" if start == "latest" else start
+            if config.first_offsets == "latest":
+                raise ValueError("a bounded read can't start at the latest offset")
+            options["startingOffsets"] = config.first_offsets
             options["endingOffsets"] = config.ending_offsets
     elif streaming and config.max_files_per_trigger:
         options["maxFilesPerTrigger"] = str(config.max_files_per_trigger)

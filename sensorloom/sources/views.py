@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..operators.series import rate_series
 from .tables import table
 
+# Wards and machine types of the device generators.
 WARDS = ("ICU", "Emergency", "Cardiology", "Neonatal", "General")
 MACHINE_TYPES = ("CNC_Mill", "Lathe", "Press", "Welder", "Conveyor")
 
@@ -28,7 +29,8 @@ def events(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "events")
 
 
-SENSOR_FEEDS = {"traffic": "click", "pollution": "view", "parking": "purchase"}
+# The event types that each kind of sensor reads; any other type is a parking reading.
+SENSOR_FEEDS = {"traffic": ("click", "signup"), "pollution": ("view",)}
 
 
 def as_readings(ev: DataFrame, *sensor_types: str) -> DataFrame:
@@ -36,27 +38,33 @@ def as_readings(ev: DataFrame, *sensor_types: str) -> DataFrame:
 
     With ``sensor_types`` only those feeds are read; the choice reaches the scan.
     """
-    kind = F.col("event_type")
+    event_type = F.col("event_type")
+    kind = F.lit("parking")
+    for name, types in SENSOR_FEEDS.items():
+        kind = F.when(event_type.isin(*types), name).otherwise(kind)
     spots = _mod("event_id", 7, 151)
-    feeds = [SENSOR_FEEDS[t] for t in sensor_types or SENSOR_FEEDS]
-    return ev.filter(kind.isin(*feeds)).select(
+    if sensor_types:
+        listed = [t for types in SENSOR_FEEDS.values() for t in types]
+        chosen = [t for s in sensor_types for t in SENSOR_FEEDS.get(s, ())]
+        keep = event_type.isin(*chosen) if chosen else F.lit(False)
+        if "parking" in sensor_types:
+            keep = keep | ~event_type.isin(*listed)
+        ev = ev.filter(keep)
+    return ev.withColumn("_kind", kind).select(
         "event_id",
         "ts",
         F.concat(F.lit("SC-"), F.col("user_id").cast("string")).alias("sensor_id"),
-        F.when(kind == "click", "traffic")
-        .when(kind == "view", "pollution")
-        .otherwise("parking")
-        .alias("sensor_type"),
+        F.col("_kind").alias("sensor_type"),
         F.concat(F.lit("city_"), (F.col("user_id") % 4).cast("string")).alias("city"),
-        F.when(kind == "click", (20 + _mod("event_id", 37, 130)).cast("int")).alias("vehicle_count"),
-        F.when(kind == "click", 15 + _mod("event_id", 13, 500).cast("double") / 10).alias(
+        F.when(F.col("_kind") == "traffic", (20 + _mod("event_id", 37, 130)).cast("int")).alias("vehicle_count"),
+        F.when(F.col("_kind") == "traffic", 15 + _mod("event_id", 13, 500).cast("double") / 10).alias(
             "average_speed_kmh"
         ),
-        F.when(kind == "view", (30 + _mod("event_id", 17, 90)).cast("int")).alias("aqi"),
-        F.when(kind == "view", F.col("value")).alias("pm25"),
-        F.when(kind == "view", F.col("value") * 2).alias("pm10"),
-        F.when(kind == "purchase", (50 + spots).cast("int")).alias("total_spots"),
-        F.when(kind == "purchase", ((F.col("event_id") * 11) % (51 + spots)).cast("int")).alias(
+        F.when(F.col("_kind") == "pollution", (30 + _mod("event_id", 17, 90)).cast("int")).alias("aqi"),
+        F.when(F.col("_kind") == "pollution", F.col("value")).alias("pm25"),
+        F.when(F.col("_kind") == "pollution", F.col("value") * 2).alias("pm10"),
+        F.when(F.col("_kind") == "parking", (50 + spots).cast("int")).alias("total_spots"),
+        F.when(F.col("_kind") == "parking", ((F.col("event_id") * 11) % (51 + spots)).cast("int")).alias(
             "occupied_spots"
         ),
     )
@@ -76,6 +84,7 @@ def as_vitals(ev: DataFrame) -> DataFrame:
         (80 + _mod("event_id", 17, 200).cast("double") / 10).alias("spo2"),
         (35 + _mod("event_id", 23, 60).cast("double") / 10).alias("temperature"),
         (70 + _mod("event_id", 29, 81)).cast("double").alias("systolic_bp"),
+        (45 + _mod("event_id", 19, 91)).cast("double").alias("diastolic_bp"),
         (8 + _mod("event_id", 31, 25)).cast("double").alias("resp_rate"),
     )
 
@@ -97,7 +106,7 @@ def machines(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def as_signals(ev: DataFrame) -> DataFrame:
-    return ev.filter((F.col("event_type") == "signup") & (F.col("event_id") % 5 == 0)).select(
+    return ev.filter(F.col("event_type") == "signup").select(
         F.concat(F.lit("PT-"), F.col("user_id").cast("string")).alias("patient_id"),
         "ts",
         F.col("value").alias("predicted_load"),
@@ -175,8 +184,14 @@ def as_envelope(ev: DataFrame) -> DataFrame:
         .when(kind == "purchase", "iot/industrial/machines")
         .otherwise("iot/other/raw")
         .alias("topic"),
+        (uid % 8).cast("int").alias("partition"),
         F.when(eid % 11 != 0, uid.cast("string")).alias("key"),
         F.when(eid % 50 == 0, "{bad")
+        .when(eid % 50 == 1, "")
+        .when(eid % 50 == 2, "   ")
+        .when(eid % 50 == 3, F.lit(None).cast("string"))
+        .when(eid % 50 == 4, F.concat(traffic, F.lit(" junk")))
+        .when(eid % 50 == 5, "{'sensor_id':'q'}")
         .when(kind == "click", traffic)
         .when(kind == "view", vital)
         .when(kind == "purchase", machine)

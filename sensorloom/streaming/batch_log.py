@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from datetime import datetime
+from collections.abc import Iterator
+from contextlib import contextmanager
+from datetime import datetime, timedelta
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
+from pyspark.sql.streaming import StreamingQueryListener
 
 from ..operators.batches import newest_batches
 from ..schemas import BATCH_METRICS
-from ..sinks.files import write_batch
+from ..sinks.files import read_batches, write_batch
 
 
 def progress_row(progress) -> tuple:
@@ -30,14 +32,15 @@ def progress_row(progress) -> tuple:
         float(progress.inputRowsPerSecond or 0.0),
         sum(int(o.numRowsTotal) for o in operators),
         sum(int(o.numRowsDroppedByWatermark) for o in operators),
-        datetime.strptime(progress.timestamp, "%Y-%m-%dT%H:%M:%S.%fZ"),
+        datetime.strptime(progress.timestamp, "%Y-%m-%dT%H:%M:%S.%fZ") + timedelta(milliseconds=elapsed),
     )
 
 
-def progress_table(spark: SparkSession, query: StreamingQuery) -> DataFrame:
-    """The recent batches of a query as rows, newest record per batch."""
-    rows = [progress_row(p) for p in query.recentProgress]
-    return newest_batches(spark.createDataFrame(rows, BATCH_METRICS))
+def progress_table(spark: SparkSession, base: str, query_id: str | None = None) -> DataFrame:
+    """Every batch that a ``BatchLog`` wrote below ``base``, of all queries or of one."""
+    kept = ", ".join(c.strip() for c in BATCH_METRICS.split(",") if c.split()[0] not in ("query_id", "batch_id"))
+    log = newest_batches(read_batches(spark, base, kept))
+    return log if query_id is None else log.filter(F.col("query_id") == query_id)
 
 
 def as_batches(log: DataFrame, executors: int) -> DataFrame:
@@ -74,3 +77,16 @@ class BatchLog(StreamingQueryListener):
 
     def onQueryTerminated(self, event) -> None:
         pass
+
+
+@contextmanager
+def logged(spark: SparkSession, base: str) -> Iterator[None]:
+    """Log the batches of all queries that run inside; on leaving, their last records are written."""
+    listener = BatchLog(spark, base)
+    spark.streams.addListener(listener)
+    try:
+        yield
+        # Reports reach listeners after the query has ended.
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+    finally:
+        spark.streams.removeListener(listener)

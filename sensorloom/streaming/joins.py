@@ -13,16 +13,15 @@ def edge_interval_join(
     ts: str = "ts",
     lookback: str = "10 minutes",
     delay: str = "10 seconds",
-    how: str = "leftOuter",
     salts: int = 8,
 ) -> DataFrame:
-    """Each reading with the signals of its key in the ``lookback`` before it.
+    """Each reading once, with the newest signal of its key in the ``lookback`` before it, or NULLs.
 
     Both sides carry a watermark and the time condition is an interval, so state is dropped
-    once the interval has passed. A reading without a signal comes out with NULLs when the
-    watermark has passed it. Readings of one key are spread over ``salts`` state partitions
-    and the few signals are copied to each, so a hot key is shared between tasks. For one
-    row per reading keep the newest ``signal_ts`` with ``aggregates.latest_per_key``.
+    once the interval has passed. Matches of a reading meet in a second state that keeps the newest
+    one only; the row comes out when the watermark has passed the reading. Readings of one key
+    are spread over ``salts`` state partitions and the few signals are copied to each, so a hot key
+    is shared between tasks. Readings that are equal in all columns come out once.
     """
     salt = F.pmod(F.xxhash64(*readings.columns), F.lit(salts)).cast("int")
     copies = F.explode(F.array(*[F.lit(i) for i in range(salts)]))
@@ -37,5 +36,10 @@ def edge_interval_join(
         f"r.{key} = s.{key} AND r._salt = s._salt "
         f"AND s.signal_ts <= r.{ts} AND s.signal_ts >= r.{ts} - INTERVAL {lookback}"
     )
-    columns = [F.col(f"s.{c}") for c in right.columns if c not in (key, "_salt")]
-    return left.join(right, match, how).select(*[F.col(f"r.{c}") for c in readings.columns], *columns)
+    columns = ["signal_ts", *[c for c in right.columns if c not in (key, "_salt", "signal_ts")]]
+    matched = left.join(right, match, "leftOuter").select(
+        *[F.col(f"r.{c}") for c in readings.columns], F.struct(*[F.col(f"s.{c}").alias(c) for c in columns]).alias("_signal")
+    )
+    # Structs compare by their first field, so the greatest is the newest signal.
+    newest = matched.groupBy(*readings.columns).agg(F.max("_signal").alias("_signal"))
+    return newest.select(*readings.columns, *[F.col(f"_signal.{c}").alias(c) for c in columns])

@@ -12,27 +12,22 @@ from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-def use_rocksdb(spark: SparkSession) -> None:
-    """Keep state on executor disk with changelog checkpoints, so that it may outgrow the heap."""
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
-    spark.conf.set("spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled", "true")
-
-
 @contextmanager
-def state_width(spark: SparkSession) -> Iterator[None]:
-    """State partitions of the queries started inside.
-
-    A cluster keeps ``spark.sql.shuffle.partitions`` as set for it. In local mode every state
-    partition is a store of its own on the same cores, so there are no more of them than cores.
-    """
-    name, cores = "spark.sql.shuffle.partitions", spark.sparkContext.defaultParallelism
-    before = spark.conf.get(name)
-    if spark.sparkContext.master.startswith("local") and int(before) > cores:
-        spark.conf.set(name, str(cores))
+def rocksdb(spark: SparkSession) -> Iterator[None]:
+    """Queries started inside keep state on executor disk with changelog checkpoints, so that it may
+    outgrow the heap. A query keeps its provider; the session's own setting returns on leaving."""
+    wanted = {
+        "spark.sql.streaming.stateStore.providerClass": ROCKSDB,
+        "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+    }
+    before = {name: spark.conf.get(name, None) for name in wanted}
+    for name, value in wanted.items():
+        spark.conf.set(name, value)
     try:
         yield
     finally:
-        spark.conf.set(name, before)
+        for name, value in before.items():
+            spark.conf.unset(name) if value is None else spark.conf.set(name, value)
 
 
 def start(
@@ -47,10 +42,12 @@ def start(
     return writer.start()
 
 
-def run(writer: DataStreamWriter, name: str, checkpoint: str, timeout_s: float = 3600) -> StreamingQuery:
-    """Read what there is, wait for the end, raise what failed."""
+def run(writer: DataStreamWriter, name: str, checkpoint: str, timeout_s: float | None = None) -> StreamingQuery:
+    """Read what there is, wait for the end however long it takes, raise what failed."""
     query = start(writer, name, checkpoint)
-    if not query.awaitTermination(timeout_s):
+    if timeout_s is None:
+        query.awaitTermination()
+    elif not query.awaitTermination(timeout_s):
         query.stop()
         raise TimeoutError(f"query {name} still runs after {timeout_s} s")
     return query

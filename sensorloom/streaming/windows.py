@@ -42,6 +42,23 @@ def changelog(df: DataFrame, base: str, query_id: str) -> DataStreamWriter:
     return each_batch(df, lambda batch, i: write_batch(batch, base, query_id, i), mode="update")
 
 
-def current(spark: SparkSession, base: str, keys: Sequence[str]) -> DataFrame:
-    """The changelog read as a table: the newest version of every key."""
-    return latest_per_key(read_batches(spark, base), keys, "batch_id").drop("batch_id", "query_id")
+def current(spark: SparkSession, base: str, keys: Sequence[str], query_id: str, schema: str) -> DataFrame:
+    """The changelog of one query read as a table: the newest version of every key.
+
+    Batch numbers order the changes of one query only, so other queries below ``base`` are left
+    out. ``schema`` is that of the changes, so a stream without rows gives an empty table.
+    """
+    changes = read_batches(spark, base, schema).filter(F.col("query_id") == query_id)
+    return latest_per_key(changes, keys, "batch_id").drop("batch_id", "query_id")
+
+
+def compact(spark: SparkSession, base: str, keys: Sequence[str], query_id: str, schema: str, to: str) -> None:
+    """Write the newest version of every key below ``to``, as one batch numbered like the newest one read.
+
+    Readers switch to ``to``; it takes the query's further batches, and the old folder can go.
+    """
+    changes = read_batches(spark, base, schema).filter(F.col("query_id") == query_id)
+    newest = changes.agg(F.max("batch_id")).first()[0]
+    if newest is not None:
+        rows = latest_per_key(changes.filter(F.col("batch_id") <= newest), keys, "batch_id")
+        write_batch(rows.drop("batch_id", "query_id"), to, query_id, newest)

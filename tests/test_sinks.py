@@ -25,6 +25,8 @@ def test_log_source_options():
     }
     bounded = source.source_options(config, streaming=False)
     assert (bounded["startingOffsets"], bounded["endingOffsets"]) == ("earliest", "latest")
+    with pytest.raises(ValueError, match="latest"):
+        source.source_options(source.SourceConfig(topics=["a"], first_offsets="latest"), streaming=False)
     pattern = source.source_options(source.SourceConfig(topic_pattern="iot-.*-raw"))
     assert pattern["subscribePattern"] == "iot-.*-raw" and "subscribe" not in pattern
     capped = source.SourceConfig(format="parquet", max_files_per_trigger=2)
@@ -95,8 +97,46 @@ def test_batch_folder_is_overwritten(spark, tmp_path):
     assert got.count() == 3 and got.first()["batch_id"] == 7
 
 
-def test_literal_table(spark):
-    assert spark.createDataFrame([(1, "test")], ["id", "name"]).count() == 1
+def test_folder_without_batches_is_an_empty_table(spark, tmp_path):
+    got = files.read_batches(spark, f"{tmp_path}/none", "id bigint")
+    assert got.count() == 0 and got.columns == ["id", "query_id", "batch_id"]
+
+
+FAULTY = {
+    "": "empty payload",
+    "   ": "empty payload",
+    None: "empty payload",
+    '{"sensor_id":"a"} junk': "malformed JSON",
+    '{"sensor_id":"a"}]': "malformed JSON",
+    '{"sensor_id":"a"},{"sensor_id":"b"}': "malformed JSON",
+    "{'sensor_id':'q'}": "malformed JSON",
+    "{bad": "malformed JSON",
+    "[1]": "malformed JSON",
+    "5": "malformed JSON",
+    '{"sensor_id":"a"}': None,
+    ' {"sensor_id":"b"} ': None,
+    '{"note":"x"}': None,
+}
+
+
+def test_every_fault_has_its_cause(spark):
+    rows = spark.createDataFrame([(v,) for v in FAULTY], "value string")
+    probed = messages.probe(rows).withColumn("error", messages.fault())
+    assert {r["value"]: r["error"] for r in probed.collect()} == FAULTY
+    good, bad = messages.split_faulty(probed)
+    assert (good.count(), bad.count()) == (3, 10)
+
+
+def test_validation_names_what_is_wrong(spark):
+    texts = {
+        '{"sensor_id":"a"}': None,
+        '{"note":"x"}': "no device identity",
+        '{"sensor_id":"a","timestamp":"yesterday"}': "unreadable time",
+        '{"machine_id":"m","timestamp":"2024-01-01T00:00:00"}': None,
+    }
+    rows = spark.createDataFrame([(v,) for v in texts], "value string")
+    found = messages.probe(rows).withColumn("error", messages.invalid()).collect()
+    assert {r["value"]: r["error"] for r in found} == texts
 
 
 def test_every_message_kind_parses(spark):
