@@ -8,6 +8,7 @@ from .. import dimensions, schemas
 from ..functions import condition, message
 from ..operators import lookups, messages
 from ..sources import views
+from ..sources.tables import table
 from .registry import query
 from .shape import neutral
 
@@ -31,7 +32,7 @@ def _decoded(spark, folder):
 
 @query(
     "envelope_decode",
-    'SELECT topic, key, value, "timestamp" AS broker_ts, "offset" FROM envelope',
+    'SELECT topic, key, value, "timestamp" AS broker_ts, partition, "offset" FROM envelope',
     views=("envelope",),
 )
 def envelope_decode(spark, folder):
@@ -186,15 +187,8 @@ def payload_kind(spark, folder):
     views=("probe",),
 )
 def domain_union(spark, folder):
-    """Each domain reads its own feed (the filter reaches the scan), then the typed rows are merged."""
-    feeds = {"smartcity": "click", "healthcare": "view", "industrial": "purchase"}
-    parts = {
-        domain: messages.decode(
-            views.as_envelope(views.events(spark, folder).filter(F.col("event_type") == kind))
-        )
-        for domain, kind in feeds.items()
-    }
-    return neutral(messages.union_domains(parts))
+    """One scan; the topic chooses the schema each payload is parsed with."""
+    return neutral(messages.merged_domains(_decoded(spark, folder)))
 
 
 @query(
@@ -255,13 +249,28 @@ def json_serialize(spark, folder):
 
 @query(
     "dead_letter",
-    """SELECT topic AS original_topic, key AS original_key, value AS original_data, 'malformed JSON' AS error,
+    """SELECT topic AS original_topic, key AS original_key, value AS original_data,
+              CASE WHEN value IS NULL OR trim(value) = '' THEN 'empty payload' ELSE 'malformed JSON' END AS error,
               "timestamp" AS failed_at FROM probe WHERE j IS NULL""",
     views=("probe",),
 )
 def dead_letter(spark, folder):
-    _, bad = messages.split_faulty(messages.probe(_decoded(spark, folder)))
-    return neutral(messages.dead_letters(bad))
+    return neutral(messages.dead_letters(messages.probe(_decoded(spark, folder))))
+
+
+@query(
+    "invalid_letter",
+    f"""SELECT * FROM (
+          SELECT topic AS original_topic, key AS original_key, value AS original_data,
+                 CASE WHEN coalesce({_IDENTITY}) IS NULL THEN 'no device identity'
+                      WHEN (j ->> '$.timestamp') IS NOT NULL AND TRY_CAST(j ->> '$.timestamp' AS TIMESTAMP) IS NULL THEN 'unreadable time' END AS error,
+                 "timestamp" AS failed_at FROM probe WHERE j IS NOT NULL) e WHERE error IS NOT NULL""",
+    views=("probe",),
+)
+def invalid_letter(spark, folder):
+    """Readable messages that fail validation, with the cause."""
+    good, _ = messages.split_faulty(messages.probe(_decoded(spark, folder)))
+    return neutral(messages.dead_letters(good, messages.invalid()))
 
 
 @query(
@@ -293,9 +302,7 @@ def alert_envelope(spark, folder):
     views=("probe",),
 )
 def heat_alerts(spark, folder):
-    machine = messages.domain_rows(
-        _decoded(spark, folder).filter(F.col("topic") == CITY_TOPICS[2]), "industrial"
-    )
+    machine = messages.merged_domains(_decoded(spark, folder).filter(F.col("topic") == CITY_TOPICS[2]))
     rows = machine.select("offset", F.col("machine_celsius").alias("temperature_celsius"))
     (warm,), (hot,) = dimensions.RULES["heat_45"], dimensions.RULES["heat_80"]
     return neutral(
@@ -363,13 +370,117 @@ def retention_filter(spark, folder):
     return neutral(lookups.retained(routed, "ts", AS_OF).select("offset", "target_topic", "ts"))
 
 
-@query("partition_spread")
+@query(
+    "partition_spread",
+    """SELECT CAST(CAST('0x' || substr(md5(coalesce(key, CAST("offset" AS VARCHAR))), 1, 8) AS BIGINT) % 8 AS INT) AS partition,
+              count(DISTINCT key) AS keys, count(*) AS rows FROM envelope GROUP BY 1""",
+    views=("envelope",),
+)
 def partition_spread(spark, folder):
-    """Keys and rows per log partition. The hash is Spark's own, so only its totals are portable."""
+    """Keys and rows per log partition; messages without a key are spread by their offset."""
     keyed = views.envelope(spark, folder).select(
-        "key", message.partition_of(F.coalesce("key", F.lit(""))).alias("partition")
+        "key", message.partition_of(F.coalesce("key", F.col("offset").cast("string"))).alias("partition")
     )
     per_key = keyed.groupBy("partition", "key").agg(F.count(F.lit(1)).alias("rows"))
-    return per_key.groupBy("partition").agg(
-        F.count(F.lit(1)).alias("keys"), F.sum("rows").alias("rows")
+    return per_key.groupBy("partition").agg(F.count("key").alias("keys"), F.sum("rows").alias("rows"))
+
+
+@query(
+    "topic_partitions",
+    f"""SELECT {_TARGET} AS target_topic, count(DISTINCT partition) AS partitions, count(*) AS rows FROM envelope GROUP BY 1""",
+    views=("envelope",),
+)
+def topic_partitions(spark, folder):
+    """Distinct partitions that each topic's messages came from."""
+    routed = lookups.route(_decoded(spark, folder))
+    return routed.groupBy("target_topic").agg(
+        F.count_distinct("partition").alias("partitions"), F.count(F.lit(1)).alias("rows")
+    )
+
+
+@query(
+    "flat_reading_parse",
+    """SELECT event_id, 'SC-' || CAST(user_id AS VARCHAR) AS sensor_id, event_type AS sensor_type, round(value, 6) AS value,
+              CAST(date_trunc('second', ts) AS TIMESTAMP) AS event_ts, 'zone-' || CAST(user_id % 4 AS VARCHAR) AS location FROM events""",
+)
+def flat_reading_parse(spark, folder):
+    """Flat sensor readings as JSON text, parsed into typed columns."""
+    sent = views.events(spark, folder).select(
+        "event_id",
+        F.to_json(
+            F.struct(
+                F.concat(F.lit("SC-"), F.col("user_id").cast("string")).alias("sensor_id"),
+                F.col("event_type").alias("sensor_type"),
+                "value",
+                F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss").alias("timestamp"),
+                F.concat(F.lit("zone-"), (F.col("user_id") % 4).cast("string")).alias("location"),
+            )
+        ).alias("value"),
+    )
+    data = messages.parse(sent, schemas.FLAT_READING)
+    return neutral(
+        data.select(
+            "event_id", "data.sensor_id", "data.sensor_type", "data.value",
+            message.event_time(F.col("data.timestamp")).alias("event_ts"), "data.location",
+        )
+    )
+
+
+@query(
+    "ecg_prefix",
+    """SELECT vec_id, 'Lead_II' AS lead, 250 AS sample_rate_hz, CAST(len(embedding[1:20]) AS INT) AS points,
+              round(list_sum([CAST(x AS DOUBLE) FOR x IN embedding[1:20]]), 6) AS total FROM embeddings""",
+)
+def ecg_prefix(spark, folder):
+    """The first 20 points of each wave, read from ECG messages as JSON text."""
+    wave = F.transform("embedding", lambda x: x.cast("double"))
+    ecg = F.struct(F.lit(250).alias("sample_rate_hz"), F.lit("Lead_II").alias("lead"), wave.alias("waveform"))
+    sent = table(spark, folder, "embeddings").select("vec_id", F.to_json(F.struct(ecg.alias("ecg_data"))).alias("value"))
+    data = messages.parse(sent, schemas.ECG)
+    head = F.slice("data.ecg_data.waveform", 1, 20)
+    return neutral(
+        data.select(
+            "vec_id", "data.ecg_data.lead", "data.ecg_data.sample_rate_hz", F.size(head).alias("points"),
+            F.aggregate(head, F.lit(0.0), lambda a, x: a + x).alias("total"),
+        )
+    )
+
+
+@query(
+    "vitals_nested",
+    """SELECT event_id, patient_id, CAST(heart_rate AS INT) AS heart_rate_bpm, CAST(systolic_bp AS INT) AS systolic,
+              CAST(diastolic_bp AS INT) AS diastolic, round(spo2, 6) AS oxygen_saturation_percent FROM vitals""",
+    views=("vitals",),
+)
+def vitals_nested(spark, folder):
+    """Vital-sign messages with their three levels: message, vitals, blood pressure."""
+    pressure = F.struct(F.col("systolic_bp").cast("int").alias("systolic"), F.col("diastolic_bp").cast("int").alias("diastolic"))
+    block = F.struct(
+        F.col("heart_rate").cast("int").alias("heart_rate_bpm"), pressure.alias("blood_pressure"),
+        F.col("spo2").alias("oxygen_saturation_percent"),
+    )
+    sent = views.vitals(spark, folder).select("event_id", F.to_json(F.struct("patient_id", block.alias("vitals"))).alias("value"))
+    data = messages.parse(sent, schemas.VITAL_SIGNS)
+    return neutral(
+        data.select(
+            "event_id", "data.patient_id", "data.vitals.heart_rate_bpm", "data.vitals.blood_pressure.systolic",
+            "data.vitals.blood_pressure.diastolic", "data.vitals.oxygen_saturation_percent",
+        )
+    )
+
+
+@query(
+    "production_parse",
+    """SELECT event_id, machine_id, CAST(20 + event_id % 80 AS INT) AS units_produced_hour, round(wear_level, 6) AS defect_rate_percent FROM machines""",
+    views=("machines",),
+)
+def production_parse(spark, folder):
+    """Production messages of machines."""
+    block = F.struct(
+        (20 + F.col("event_id") % 80).cast("int").alias("units_produced_hour"), F.col("wear_level").alias("defect_rate_percent")
+    )
+    sent = views.machines(spark, folder).select("event_id", F.to_json(F.struct("machine_id", block.alias("production"))).alias("value"))
+    data = messages.parse(sent, schemas.PRODUCTION)
+    return neutral(
+        data.select("event_id", "data.machine_id", "data.production.units_produced_hour", "data.production.defect_rate_percent")
     )

@@ -37,12 +37,23 @@ def windowed_sensor_agg_30s(spark, folder):
     return neutral(aggregates.windowed_sensors(rows, width="30 seconds", exact_sensors=True))
 
 
-@query("approx_sensors")
+@query(
+    "approx_sensors",
+    """SELECT time_bucket(INTERVAL '1 hour', ts) AS window_start, sensor_type, city, count(DISTINCT sensor_id) AS exact_sensors,
+              TRUE AS within FROM readings GROUP BY ALL""",
+    views=("readings",),
+)
 def approx_sensors(spark, folder):
-    """Estimated distinct sensors per window, type and city."""
+    """Distinct sensors per window, type and city, and whether the estimate is within three times its error of 5 %."""
     rows = aggregates.with_occupancy(views.readings(spark, folder))
-    out = aggregates.windowed_sensors(rows, width="1 hour")
-    return neutral(out.select("window_start", "sensor_type", "city", "unique_sensors"))
+    keys = ["window_start", "sensor_type", "city"]
+    told = aggregates.windowed_sensors(rows, width="1 hour").select(*keys, "unique_sensors")
+    exact = aggregates.windowed_sensors(rows, width="1 hour", exact_sensors=True).select(
+        *keys, F.col("unique_sensors").alias("exact_sensors")
+    )
+    off = F.abs(F.col("unique_sensors") - F.col("exact_sensors"))
+    within = off <= F.greatest(F.lit(1.0), 0.15 * F.col("exact_sensors"))
+    return neutral(exact.join(told, keys).select(*keys, "exact_sensors", within.alias("within")))
 
 
 def raw_columns(rows):
@@ -152,7 +163,7 @@ def latest_per_key(spark, folder):
                      0.5E0 * count(*) / ((epoch_us(TIMESTAMP '{AS_OF}') - epoch_us(min(ts))) / 86.4e9)
                      + 2.0E0 / ((epoch_us(TIMESTAMP '{AS_OF}') - epoch_us(max(ts))) / 3.6e9) AS score,
                      count(*) FILTER (WHERE ts >= TIMESTAMP '{AS_OF}' - INTERVAL 1 DAY) >= 3 AS burst
-              FROM readings GROUP BY sensor_id) s""",
+              FROM readings WHERE ts <= TIMESTAMP '{AS_OF}' GROUP BY sensor_id) s""",
     views=("readings",),
 )
 def temperature_route(spark, folder):
@@ -187,11 +198,12 @@ def waveform_prefix(spark, folder):
     "vitals_clamp",
     """SELECT event_id, greatest(40, least(180, heart_rate)) AS heart_rate, greatest(85, least(100, spo2)) AS spo2,
               greatest(35, least(42, temperature)) AS temperature, greatest(80, least(200, systolic_bp)) AS systolic_bp,
+              greatest(50, least(120, diastolic_bp)) AS diastolic_bp,
               greatest(8, least(30, resp_rate)) AS resp_rate FROM vitals""",
     views=("vitals",),
 )
 def vitals_clamp(spark, folder):
-    names = ["heart_rate", "spo2", "temperature", "systolic_bp", "resp_rate"]
+    names = ["heart_rate", "spo2", "temperature", "systolic_bp", "diastolic_bp", "resp_rate"]
     return neutral(
         views.vitals(spark, folder).select(
             "event_id", *[condition.clamp_vital(n).alias(n) for n in names]
@@ -354,3 +366,21 @@ def edge_asof_join(spark, folder):
             rows, views.signals(spark, folder), ["patient_id"], "ts", ["predicted_load", "burst_alarm"]
         )
     )
+
+
+MID = "2024-01-15 12:00:00"
+
+
+@query(
+    "temperature_midway",
+    f"""SELECT sensor_id, count(*) AS accesses,
+               round(0.5E0 * count(*) / ((epoch_us(TIMESTAMP '{MID}') - epoch_us(min(ts))) / 86.4e9)
+                     + 2.0E0 / ((epoch_us(TIMESTAMP '{MID}') - epoch_us(max(ts))) / 3.6e9), 6) AS score,
+               count(*) FILTER (WHERE ts >= TIMESTAMP '{MID}' - INTERVAL 1 DAY) >= 2 AS burst
+        FROM readings WHERE ts <= TIMESTAMP '{MID}' GROUP BY sensor_id""",
+    views=("readings",),
+)
+def temperature_midway(spark, folder):
+    """Temperatures as of a moment within the table; what comes later has not happened yet."""
+    rows = views.readings(spark, folder)
+    return neutral(aggregates.temperature(rows, "sensor_id", "ts", MID, 0.5, 2.0, burst_reads=2))

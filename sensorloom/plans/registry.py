@@ -50,17 +50,17 @@ VIEW_NEEDS = {
 
 VIEWS = {
     "readings": """
-SELECT event_id, ts, 'SC-' || CAST(user_id AS VARCHAR) AS sensor_id,
-       CASE event_type WHEN 'click' THEN 'traffic' WHEN 'view' THEN 'pollution' ELSE 'parking' END AS sensor_type,
+SELECT event_id, ts, 'SC-' || CAST(user_id AS VARCHAR) AS sensor_id, sensor_type,
        'city_' || CAST(user_id % 4 AS VARCHAR) AS city,
-       CASE WHEN event_type = 'click' THEN CAST(20 + (event_id * 37) % 130 AS INT) END AS vehicle_count,
-       CASE WHEN event_type = 'click' THEN 15 + CAST((event_id * 13) % 500 AS DOUBLE) / 10 END AS average_speed_kmh,
-       CASE WHEN event_type = 'view' THEN CAST(30 + (event_id * 17) % 90 AS INT) END AS aqi,
-       CASE WHEN event_type = 'view' THEN value END AS pm25,
-       CASE WHEN event_type = 'view' THEN value * 2 END AS pm10,
-       CASE WHEN event_type = 'purchase' THEN CAST(50 + (event_id * 7) % 151 AS INT) END AS total_spots,
-       CASE WHEN event_type = 'purchase' THEN CAST((event_id * 11) % (51 + (event_id * 7) % 151) AS INT) END AS occupied_spots
-FROM events WHERE event_type IN ('click', 'view', 'purchase')""",
+       CASE WHEN sensor_type = 'traffic' THEN CAST(20 + (event_id * 37) % 130 AS INT) END AS vehicle_count,
+       CASE WHEN sensor_type = 'traffic' THEN 15 + CAST((event_id * 13) % 500 AS DOUBLE) / 10 END AS average_speed_kmh,
+       CASE WHEN sensor_type = 'pollution' THEN CAST(30 + (event_id * 17) % 90 AS INT) END AS aqi,
+       CASE WHEN sensor_type = 'pollution' THEN value END AS pm25,
+       CASE WHEN sensor_type = 'pollution' THEN value * 2 END AS pm10,
+       CASE WHEN sensor_type = 'parking' THEN CAST(50 + (event_id * 7) % 151 AS INT) END AS total_spots,
+       CASE WHEN sensor_type = 'parking' THEN CAST((event_id * 11) % (51 + (event_id * 7) % 151) AS INT) END AS occupied_spots
+FROM (SELECT *, CASE WHEN event_type IN ('click', 'signup') THEN 'traffic' WHEN event_type = 'view' THEN 'pollution' ELSE 'parking' END AS sensor_type
+      FROM events) e""",
     "vitals": """
 SELECT event_id, ts, 'PT-' || CAST(user_id AS VARCHAR) AS patient_id,
        CASE user_id % 5 WHEN 0 THEN 'ICU' WHEN 1 THEN 'Emergency' WHEN 2 THEN 'Cardiology' WHEN 3 THEN 'Neonatal' ELSE 'General' END AS ward,
@@ -68,6 +68,7 @@ SELECT event_id, ts, 'PT-' || CAST(user_id AS VARCHAR) AS patient_id,
        80 + CAST((event_id * 17) % 200 AS DOUBLE) / 10 AS spo2,
        35 + CAST((event_id * 23) % 60 AS DOUBLE) / 10 AS temperature,
        CAST(70 + (event_id * 29) % 81 AS DOUBLE) AS systolic_bp,
+       CAST(45 + (event_id * 19) % 91 AS DOUBLE) AS diastolic_bp,
        CAST(8 + (event_id * 31) % 25 AS DOUBLE) AS resp_rate
 FROM events""",
     "machines": """
@@ -89,18 +90,20 @@ SELECT event_type, bucket, n AS message_count, workload_rate AS workload, latenc
 FROM rate_hourly""",
     "signals": """
 SELECT 'PT-' || CAST(user_id AS VARCHAR) AS patient_id, ts, value AS predicted_load, event_id % 2 = 0 AS burst_alarm
-FROM events WHERE event_type = 'signup' AND event_id % 5 = 0""",
+FROM events WHERE event_type = 'signup'""",
     "envelope": """
 SELECT CASE WHEN event_type = 'click' THEN 'iot/smartcity/sensors' WHEN event_type = 'view' THEN 'iot/healthcare/vitals'
             WHEN event_type = 'purchase' THEN 'iot/industrial/machines' ELSE 'iot/other/raw' END AS topic,
+       CAST(user_id % 8 AS INT) AS partition,
        CASE WHEN event_id % 11 = 0 THEN NULL ELSE CAST(user_id AS VARCHAR) END AS key,
-       CASE WHEN event_id % 50 = 0 THEN '{bad'
-         WHEN event_type = 'click' THEN '{"sensor_id":"SC-' || CAST(user_id AS VARCHAR) || '","sensor_type":"traffic","city":"city_' || CAST(user_id % 4 AS VARCHAR) || '","timestamp":"2024-01-01T' || lpad(CAST(event_id % 24 AS VARCHAR), 2, '0') || ':00:00","location":{"latitude":40,"longitude":-74},"metrics":{"vehicle_count":' || CAST(20 + (event_id * 37) % 130 AS VARCHAR) || ',"average_speed_kmh":' || CAST(15 + (event_id * 13) % 50 AS VARCHAR) || ',"congestion_level":"LOW"}}'
+       CASE WHEN event_id % 50 = 0 THEN '{bad' WHEN event_id % 50 = 1 THEN '' WHEN event_id % 50 = 2 THEN '   '
+         WHEN event_id % 50 = 3 THEN NULL WHEN event_id % 50 = 4 THEN traffic || ' junk' WHEN event_id % 50 = 5 THEN '{''sensor_id'':''q''}'
+         WHEN event_type = 'click' THEN traffic
          WHEN event_type = 'view' THEN '{"sensor_id":"","device_id":"DEV-' || CAST(user_id AS VARCHAR) || '","device_type":"vital_signs_monitor","timestamp":"2024-01-01T' || lpad(CAST(event_id % 24 AS VARCHAR), 2, '0') || ':30:00","vitals":{"heart_rate_bpm":' || CAST(40 + (event_id * 37) % 141 AS VARCHAR) || ',"oxygen_saturation_percent":' || CAST(85 + event_id % 15 AS VARCHAR) || '}}'
          WHEN event_type = 'purchase' THEN '{"machine_id":"MCH-' || CAST(user_id % 20 AS VARCHAR) || '","machine_type":"Press","timestamp":"not a time","sensors":{"temperature_celsius":' || CAST(60 + event_id % 40 AS VARCHAR) || ',"vibration_mms":' || CAST(event_id % 5 AS VARCHAR) || '}}'
          ELSE '{"note":"unidentified"}' END AS value,
        ts AS timestamp, event_id AS offset
-FROM events""",
+FROM (SELECT *, '{"sensor_id":"SC-' || CAST(user_id AS VARCHAR) || '","sensor_type":"traffic","city":"city_' || CAST(user_id % 4 AS VARCHAR) || '","timestamp":"2024-01-01T' || lpad(CAST(event_id % 24 AS VARCHAR), 2, '0') || ':00:00","location":{"latitude":40,"longitude":-74},"metrics":{"vehicle_count":' || CAST(20 + (event_id * 37) % 130 AS VARCHAR) || ',"average_speed_kmh":' || CAST(15 + (event_id * 13) % 50 AS VARCHAR) || ',"congestion_level":"LOW"}}' AS traffic FROM events) e""",
     "probe": """
 SELECT *, CASE WHEN json_valid(value) THEN value END AS j FROM envelope""",
     "policy_runs": """

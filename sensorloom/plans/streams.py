@@ -1,4 +1,8 @@
-"""The same questions asked of replayed streams. Each must agree with its batch twin."""
+"""The same questions asked of replayed streams. Each must agree with its batch twin.
+
+Each call leaves its log, checkpoint and output in a new folder below ``spark.checkpoint.dir``; the
+returned rows are read from there, so the caller removes the folder when it is done with them.
+"""
 
 from __future__ import annotations
 
@@ -6,27 +10,70 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from .. import schemas
-from ..operators import aggregates
+from .. import dimensions, schemas
+from ..functions import condition
+from ..operators import aggregates, batches, messages
 from ..session import prepare, run_dir
 from ..sinks.files import read_batches
+from ..sinks.topics import SinkConfig, stream_records
 from ..sources import views
-from ..sources.topics import stream_files
+from ..sources.topics import SourceConfig, stream_files, stream_topics
 from ..streaming import batch_log, joins, lifecycle, routing, stateful, windows
-from .readings import _WINDOW_SQL, raw_columns
+from .messages import _IDENTITY, _TARGET
+from .readings import _WINDOW_SQL, _labels_sql, raw_columns
 from .registry import ORACLE, query
 from .shape import neutral
 
+PARTS = 4
+WINDOW_KEYS = ["window_start", "window_end", "sensor_type", "city"]
+
 
-def replay(spark, folder):
-    """The whole events table as a stream, with a zoned event time for watermarks."""
-    rows = stream_files(prepare(spark), f"{folder}/events*.parquet", schemas.EVENTS)
+def zoned(rows):
+    """Event time with a zone, as watermarks need it."""
     return rows.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
-def _run(spark, writer, name, base):
-    with lifecycle.state_width(spark):
-        return lifecycle.run(writer, f"{name}-{uuid.uuid4().hex[:8]}", f"{base}/checkpoint")
+def slices(spark, folder, parts=PARTS):
+    """The whole events table cut into equal spans of time, in order."""
+    ev = views.events(prepare(spark), folder)
+    first, last = ev.agg(F.min("ts"), F.max("ts")).first()
+    if first is None:
+        return [ev] * parts
+    step = (last - first) / parts
+    edges = [first + step * k for k in range(parts)]
+    out = []
+    for k, low in enumerate(edges):
+        part = ev.filter(F.col("ts") >= F.lit(low).cast("timestamp_ntz"))
+        out.append(part.filter(F.col("ts") < F.lit(edges[k + 1]).cast("timestamp_ntz")) if k + 1 < parts else part)
+    return out
+
+
+def append(rows, path):
+    """Files of one more delivery; a stream takes deliveries in the order they were written."""
+    rows.write.mode("append").parquet(path)
+
+
+def deliver(spark, folder, base, parts=PARTS):
+    """The events table as a folder of deliveries in the order of time."""
+    for part in slices(spark, folder, parts):
+        append(part.coalesce(1), f"{base}/in")
+    return f"{base}/in"
+
+
+def replay(spark, path, files_per_trigger=1):
+    return zoned(stream_files(spark, path, schemas.EVENTS, files_per_trigger=files_per_trigger))
+
+
+def _run(writer, name, base):
+    return lifecycle.run(writer, f"{name}-{uuid.uuid4().hex[:8]}", f"{base}/checkpoint")
+
+
+def _windowed(rows, width):
+    return windows.sensor_windows(aggregates.with_occupancy(views.as_readings(rows)), width=width)
+
+
+def _window_table(spark, base, changes, name):
+    return windows.current(spark, f"{base}/out", WINDOW_KEYS, name, changes.schema.toDDL())
 
 
 _STREAM_WINDOW_SQL = (
@@ -34,110 +81,309 @@ _STREAM_WINDOW_SQL = (
 )
 
 
-@query("stream_windowed_agg", _STREAM_WINDOW_SQL, views=("readings",))
+@query(
+    "stream_windowed_agg",
+    _WINDOW_SQL.format(width="1 hour").replace("count(DISTINCT sensor_id) AS unique_sensors", "TRUE AS sensors_within"),
+    views=("readings",),
+)
 def stream_windowed_agg(spark, folder):
-    """Update-mode windows, read back as the newest version of each window."""
+    """Update-mode windows, read back as the newest version of each window; the estimate is checked."""
     base = run_dir(spark, "windowed")
-    rows = aggregates.with_occupancy(views.as_readings(replay(spark, folder)))
-    changes = windows.sensor_windows(rows, width="1 hour")
-    _run(spark, windows.changelog(changes, f"{base}/out", "windowed"), "windowed", base)
-    table = windows.current(spark, f"{base}/out", ["window_start", "window_end", "sensor_type", "city"])
-    return neutral(table.drop("unique_sensors"))
+    changes = _windowed(replay(spark, deliver(spark, folder, base)), "1 hour")
+    _run(windows.changelog(changes, f"{base}/out", "windowed"), "windowed", base)
+    table = _window_table(spark, base, changes, "windowed")
+    counted = zoned(views.readings(spark, folder)).groupBy(F.window("ts", "1 hour").alias("w"), "sensor_type", "city")
+    exact = counted.agg(F.count_distinct("sensor_id").alias("_exact")).select(
+        F.col("w.start").alias("window_start"), "sensor_type", "city", "_exact"
+    )
+    off = F.abs(F.col("unique_sensors") - F.col("_exact"))
+    checked = table.join(exact, ["window_start", "sensor_type", "city"], "left").withColumn(
+        "sensors_within", off <= F.greatest(F.lit(1.0), 0.15 * F.col("_exact"))
+    )
+    return neutral(checked.drop("unique_sensors", "_exact"))
 
 
 @query("stream_raw_view", ORACLE["raw_view"])
 def stream_raw_view(spark, folder):
     """Append-mode raw view."""
     base = run_dir(spark, "raw")
-    view = raw_columns(aggregates.with_occupancy(views.as_readings(replay(spark, folder))))
+    rows = replay(spark, deliver(spark, folder, base))
+    view = raw_columns(aggregates.with_occupancy(views.as_readings(rows)))
     writer = view.writeStream.format("parquet").option("path", f"{base}/out").outputMode("append")
-    _run(spark, writer, "raw", base)
-    return neutral(spark.read.parquet(f"{base}/out"))
+    _run(writer, "raw", base)
+    return neutral(spark.read.schema(view.schema).parquet(f"{base}/out"))
 
 
 @query(
-    "stream_features",
-    """SELECT event_type, bucket, sample_no, round(CASE WHEN warm THEN velocity ELSE 0 END, 6) AS velocity,
+    "stream_append_windows",
+    f"""SELECT * FROM ({_WINDOW_SQL.format(width="30 seconds").replace("count(DISTINCT sensor_id) AS unique_sensors,", "")}) w
+        WHERE window_end <= (SELECT max(ts) FROM events) - INTERVAL 10 SECOND""",
+    views=("readings",),
+)
+def stream_append_windows(spark, folder):
+    """Append mode: 30-second windows that the watermark of 10 seconds has closed."""
+    base = run_dir(spark, "append")
+    out = _windowed(replay(spark, deliver(spark, folder, base)), "30 seconds")
+    writer = out.writeStream.format("parquet").option("path", f"{base}/out").outputMode("append")
+    _run(writer, "append", base)
+    return neutral(spark.read.schema(out.schema).parquet(f"{base}/out").drop("unique_sensors"))
+
+
+@query("stream_late_rows", _STREAM_WINDOW_SQL, views=("readings",))
+def stream_late_rows(spark, folder):
+    """The first delivery comes once more at the end, behind the watermark: nothing is counted twice."""
+    base = run_dir(spark, "late")
+    path = deliver(spark, folder, base)
+    append(slices(spark, folder)[0].coalesce(1), path)
+    changes = _windowed(replay(spark, path), "1 hour")
+    _run(windows.changelog(changes, f"{base}/out", "late"), "late", base)
+    return neutral(_window_table(spark, base, changes, "late").drop("unique_sensors"))
+
+
+@query("stream_restart", _STREAM_WINDOW_SQL, views=("readings",))
+def stream_restart(spark, folder):
+    """Stopped after half of the deliveries and started again on the same checkpoint."""
+    base = run_dir(spark, "restart")
+    parts = slices(spark, folder)
+    for half in (parts[: PARTS // 2], parts[PARTS // 2 :]):
+        for part in half:
+            append(part.coalesce(1), f"{base}/in")
+        changes = _windowed(replay(spark, f"{base}/in"), "1 hour")
+        _run(windows.changelog(changes, f"{base}/out", "restart"), "restart", base)
+    return neutral(_window_table(spark, base, changes, "restart").drop("unique_sensors"))
+
+
+@query(
+    "stream_two_sinks",
+    """SELECT sensor_type, city, count(*) AS raw_rows, CAST(count(*) AS BIGINT) AS counted FROM readings GROUP BY ALL""",
+    views=("readings",),
+)
+def stream_two_sinks(spark, folder):
+    """Two queries over one log at the same time: raw rows appended, windows updated."""
+    base = run_dir(spark, "two")
+    path, tag = deliver(spark, folder, base), uuid.uuid4().hex[:8]
+    view = views.as_readings(replay(spark, path)).select("sensor_type", "city", "ts")
+    raw = view.writeStream.format("parquet").option("path", f"{base}/raw").outputMode("append")
+    changes = _windowed(replay(spark, path), "1 hour")
+    both = [
+        lifecycle.start(raw, f"raw-{tag}", f"{base}/checkpoint-raw"),
+        lifecycle.start(windows.changelog(changes, f"{base}/out", "two"), f"agg-{tag}", f"{base}/checkpoint-agg"),
+    ]
+    lifecycle.await_all(both)
+    keys = ["sensor_type", "city"]
+    rows = spark.read.schema(view.schema).parquet(f"{base}/raw").groupBy(*keys).agg(F.count(F.lit(1)).alias("raw_rows"))
+    counted = _window_table(spark, base, changes, "two").groupBy(*keys).agg(F.sum("message_count").alias("counted"))
+    return rows.join(counted, keys, "full")
+
+
+_FEATURES_SQL = """SELECT event_type, bucket, sample_no, round(CASE WHEN warm THEN velocity ELSE 0 END, 6) AS velocity,
               round(CASE WHEN warm THEN acceleration ELSE 0 END, 6) AS acceleration,
               round(CASE WHEN warm THEN rolling_mean ELSE 0 END, 6) AS rolling_mean,
               round(CASE WHEN warm THEN rolling_std ELSE 0 END, 6) AS rolling_std,
               round(CASE WHEN warm THEN burst_probability ELSE 0 END, 6) AS burst_probability
-       FROM (SELECT *, sample_no >= 5 AS warm FROM features) f""",
-    views=("features",),
-)
+       FROM (SELECT *, sample_no >= 5 AS warm FROM features) f"""
+
+
+def _features(spark, rates, base):
+    with lifecycle.rocksdb(spark):
+        out = stateful.feature_stream(rates, ["event_type"], "bucket", "workload_rate")
+        writer = out.writeStream.format("parquet").option("path", f"{base}/out").outputMode("append")
+        _run(writer, "features", base)
+    found = spark.read.schema(out.schema).parquet(f"{base}/out")
+    return neutral(found.drop("hour_sin", "hour_cos"))
+
+
+@query("stream_features", _FEATURES_SQL, views=("features",))
 def stream_features(spark, folder):
-    """Hourly rates replayed into the per-key state."""
+    """Hourly rates replayed into the per-key state, in several deliveries."""
     base = run_dir(spark, "features")
-    rates = views.rate_hourly(prepare(spark), folder).select(
+    for part in slices(spark, folder):
+        # An hour that two deliveries share is summed when all are in, as a rate is a finished figure.
+        append(part.select("ts", "event_type").coalesce(1), f"{base}/events")
+    rates = views.as_rates(spark.read.parquet(f"{base}/events")).select(
         "event_type", F.col("bucket").cast("timestamp").alias("bucket"), "workload_rate"
     )
-    rates.write.parquet(f"{base}/rates")
-    lifecycle.use_rocksdb(spark)
+    days = rates.agg(F.min("bucket"), F.max("bucket")).first()
+    step = (days[1] - days[0]) / PARTS if days[0] else None
+    for k in range(PARTS if step is not None else 0):
+        low, high = days[0] + step * k, days[0] + step * (k + 1)
+        part = rates.filter(F.col("bucket") >= low)
+        append((part.filter(F.col("bucket") < high) if k + 1 < PARTS else part).coalesce(1), f"{base}/rates")
     stream = stream_files(
-        spark, f"{base}/rates", "event_type string, bucket timestamp, workload_rate double"
+        spark, f"{base}/rates", "event_type string, bucket timestamp, workload_rate double", files_per_trigger=1
     )
-    out = stateful.feature_stream(stream, ["event_type"], "bucket", "workload_rate")
-    writer = out.writeStream.format("parquet").option("path", f"{base}/out").outputMode("append")
-    _run(spark, writer, "features", base)
-    return neutral(spark.read.parquet(f"{base}/out").drop("hour_sin", "hour_cos"))
+    return _features(spark, stream, base)
+
+
+@query(
+    "stream_feature_chain",
+    f"""SELECT * FROM ({_FEATURES_SQL}) f WHERE bucket + INTERVAL 1 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 1 HOUR""",
+    views=("features",),
+)
+def stream_feature_chain(spark, folder):
+    """Windowed counts feed the per-key state inside one streaming query; open windows are held back."""
+    base = run_dir(spark, "chain")
+    rows = replay(spark, deliver(spark, folder, base))
+    rates = windows.rate_windows(rows, ["event_type"], watermark="1 hour")
+    return _features(spark, rates.withColumn("workload_rate", (F.col("n") - 1) * 45.0), base)
 
 
 @query(
     "stream_edge_join",
-    """SELECT event_id, patient_id, ts, heart_rate, signal_ts, predicted_load, burst_alarm
-       FROM (SELECT v.event_id, v.patient_id, v.ts, v.heart_rate, s.ts AS signal_ts, s.predicted_load, s.burst_alarm
-             FROM vitals v ASOF JOIN signals s ON v.patient_id = s.patient_id AND v.ts >= s.ts) j
-       WHERE signal_ts >= ts - INTERVAL 24 HOUR""",
+    """SELECT event_id, patient_id, ts, heart_rate, CASE WHEN near THEN signal_ts END AS signal_ts,
+              CASE WHEN near THEN predicted_load END AS predicted_load, CASE WHEN near THEN burst_alarm END AS burst_alarm
+       FROM (SELECT v.event_id, v.patient_id, v.ts, v.heart_rate, s.ts AS signal_ts, s.predicted_load, s.burst_alarm,
+                    s.ts >= v.ts - INTERVAL 24 HOUR AS near
+             FROM vitals v ASOF LEFT JOIN signals s ON v.patient_id = s.patient_id AND v.ts >= s.ts) j""",
     views=("vitals", "signals"),
 )
 def stream_edge_join(spark, folder):
-    """Stream-stream join over one day, reduced to the newest signal of each reading."""
+    """Stream-stream join over one day: every reading once, with its newest signal or none.
+
+    A last event far ahead moves the watermark past all others.
+    """
     base = run_dir(spark, "edge")
-    lifecycle.use_rocksdb(spark)
-    readings = views.as_vitals(replay(spark, folder)).select("event_id", "patient_id", "ts", "heart_rate")
-    signals = views.as_signals(replay(spark, folder))
-    joined = joins.edge_interval_join(readings, signals, "patient_id", lookback="24 hours", how="inner")
-    writer = joined.writeStream.format("parquet").option("path", f"{base}/out").outputMode("append")
-    _run(spark, writer, "edge", base)
-    matches = spark.read.parquet(f"{base}/out")
-    return neutral(aggregates.latest_per_key(matches, ["event_id"], "signal_ts"))
-
-
-_SINKS_SQL = """
-SELECT sink, topic, count(*) AS records, count(key) AS keyed FROM (
-  SELECT 'routed' AS sink, CASE topic WHEN 'iot/smartcity/sensors' THEN 'iot-smartcity-raw' WHEN 'iot/healthcare/vitals' THEN 'iot-healthcare-raw'
-           WHEN 'iot/industrial/machines' THEN 'iot-industrial-raw' ELSE 'iot-unknown-raw' END AS topic,
-         CASE WHEN topic <> 'iot/other/raw' THEN 'k' END AS key FROM probe WHERE j IS NOT NULL
-  UNION ALL SELECT 'validated', 'iot-validated-data', 'k' FROM probe WHERE j IS NOT NULL AND topic <> 'iot/other/raw'
-  UNION ALL SELECT 'alerts', 'iot-alerts-critical', 'k' FROM probe WHERE CAST(j ->> '$.sensors.temperature_celsius' AS DOUBLE) > 80
-  UNION ALL SELECT 'dead', 'iot-dead-letter', key FROM probe WHERE j IS NULL) s
-GROUP BY sink, topic"""
-
-
-@query("stream_route", _SINKS_SQL, views=("probe",))
+    path = deliver(spark, folder, base)
+    last = views.events(spark, folder).agg(F.max("ts").alias("ts"))
+    beyond = last.filter("ts IS NOT NULL").selectExpr(
+        "-1L AS event_id", "ts + INTERVAL 30 DAYS AS ts", "-1L AS user_id", "'signup' AS event_type", "0D AS value", "'{}' AS props"
+    )
+    append(beyond.coalesce(1), path)
+    readings = views.as_vitals(replay(spark, path)).select("event_id", "patient_id", "ts", "heart_rate")
+    signals = views.as_signals(replay(spark, path))
+    with lifecycle.rocksdb(spark):
+        joined = joins.edge_interval_join(readings, signals, "patient_id", lookback="24 hours")
+        writer = joined.writeStream.format("parquet").option("path", f"{base}/out").outputMode("append")
+        _run(writer, "edge", base)
+    return neutral(spark.read.schema(joined.schema).parquet(f"{base}/out").filter("event_id >= 0"))
+
+
+_VALID = f"""coalesce({_IDENTITY}) IS NOT NULL AND ((j ->> '$.timestamp') IS NULL OR TRY_CAST(j ->> '$.timestamp' AS TIMESTAMP) IS NOT NULL)"""
+_ROUTE_SQL = f"""
+SELECT 'routed' AS sink, {_TARGET} AS topic, coalesce({_IDENTITY}) AS key, value, NULL AS error FROM probe WHERE j IS NOT NULL
+UNION ALL SELECT 'validated', 'iot-validated-data', coalesce({_IDENTITY}), value, NULL FROM probe WHERE j IS NOT NULL AND {_VALID}
+UNION ALL SELECT 'alerts', 'iot-alerts-critical', j ->> '$.machine_id', CAST(CAST(j ->> '$.sensors.temperature_celsius' AS DOUBLE) AS VARCHAR), NULL
+          FROM probe WHERE CAST(j ->> '$.sensors.temperature_celsius' AS DOUBLE) > 80
+UNION ALL SELECT 'dead', 'iot-dead-letter', key, value,
+                 CASE WHEN value IS NULL OR trim(value) = '' THEN 'empty payload' WHEN j IS NULL THEN 'malformed JSON'
+                      WHEN coalesce({_IDENTITY}) IS NULL THEN 'no device identity' ELSE 'unreadable time' END
+          FROM probe WHERE j IS NULL OR NOT ({_VALID})"""
+
+
+def _routed(spark, folder, base):
+    """All records of a replay of envelopes through the fan-out."""
+    envelope = views.as_envelope(replay(spark, deliver(spark, folder, base)))
+    config = SinkConfig(format="parquet", path=f"{base}/out")
+    _run(lifecycle.each_batch(envelope, routing.fan_out(config, "route")), "route", base)
+    return read_batches(spark, f"{base}/out", routing.RECORDS)
+
+
+@query("stream_route", _ROUTE_SQL, views=("probe",))
 def stream_route(spark, folder):
-    """Envelopes fanned out to four sinks; records per sink and topic."""
-    base = run_dir(spark, "route")
-    envelope = views.as_envelope(replay(spark, folder))
-    writer = lifecycle.each_batch(envelope, routing.fan_out(f"{base}/out", "route"))
-    _run(spark, writer, "route", base)
-    sinks = ("routed", "validated", "alerts", "dead")
-    parts = [
-        read_batches(spark, f"{base}/out/{s}").select(F.lit(s).alias("sink"), "topic", "key") for s in sinks
-    ]
-    every = parts[0]
-    for part in parts[1:]:
-        every = every.unionByName(part)
-    return every.groupBy("sink", "topic").agg(
-        F.count(F.lit(1)).alias("records"), F.count("key").alias("keyed")
+    """Envelopes fanned out to their sinks: every record with its topic, key and content."""
+    records = _routed(spark, folder, run_dir(spark, "route")).filter("sink <> 'analytics'")
+    dead = F.from_json("value", "original_data string, error string")
+    alert = F.from_json("value", "celsius double")
+    content = (
+        F.when(F.col("sink") == "dead", dead["original_data"])
+        .when(F.col("sink") == "alerts", alert["celsius"].cast("string"))
+        .otherwise(F.col("value"))
+    )
+    error = F.when(F.col("sink") == "dead", dead["error"])
+    return records.select("sink", "topic", "key", content.alias("value"), error.alias("error"))
+
+
+@query(
+    "stream_analytics",
+    """SELECT 'iot-analytics-results' AS topic, topic AS source, count(*) AS messages,
+              CAST(count(*) FILTER (WHERE j IS NULL) AS BIGINT) AS faulty FROM probe GROUP BY ALL""",
+    views=("probe",),
+)
+def stream_analytics(spark, folder):
+    """What the analytics sink was told, summed over the batches."""
+    records = _routed(spark, folder, run_dir(spark, "analytics")).filter("sink = 'analytics'")
+    told = F.from_json("value", "source string, messages bigint, faulty bigint").alias("v")
+    return records.select("topic", told).groupBy("topic", "v.source").agg(
+        F.sum("v.messages").alias("messages"), F.sum("v.faulty").alias("faulty")
     )
 
 
-@query("stream_batch_log", "SELECT CAST(count(*) AS BIGINT) AS message_count FROM events")
+@query(
+    "stream_vitals_alerts",
+    f"""SELECT 'iot-alerts-critical' AS topic, patient_id AS key, event_id, ward, alerts
+        FROM (SELECT event_id, patient_id, ward, {_labels_sql(45, 130, 88, True)} AS alerts FROM vitals) v WHERE alerts <> ''""",
+    views=("vitals",),
+)
+def stream_vitals_alerts(spark, folder):
+    """Vital signs out of their limits, streamed to the alert topic of a keyed log."""
+    base = run_dir(spark, "vitals")
+    rules = dimensions.RULES["strict"]
+    rows = views.as_vitals(replay(spark, deliver(spark, folder, base)))
+    labels = F.array_join(condition.alert_labels(rules, with_sepsis=True), "|")
+    raised = rows.withColumn("alerts", labels).filter(condition.raised(rules) | condition.sepsis())
+    alerts = messages.as_alert(raised, F.lit("critical"), F.col("ts"))
+    fields = ("event_id", "patient_id", "ward", "alerts", "alert_priority", "alert_time")
+    records = messages.as_records(alerts, F.col("target_topic"), F.col("patient_id"), *fields)
+    _run(stream_records(records, SinkConfig(format="parquet", path=f"{base}/log")), "vitals", base)
+    back = spark.read.schema("key string, value string, topic string").parquet(f"{base}/log")
+    told = F.from_json("value", "event_id bigint, ward string, alerts string")
+    return back.select("topic", "key", told.alias("v")).select("topic", "key", "v.*")
+
+
+@query(
+    "stream_log_read",
+    """SELECT topic, partition, key, value, "timestamp" AS broker_ts, "offset" FROM envelope
+       WHERE topic IN ('iot/smartcity/sensors', 'iot/healthcare/vitals')""",
+    views=("envelope",),
+)
+def stream_log_read(spark, folder):
+    """Two topics of a message log, streamed a few files at a time."""
+    base = run_dir(spark, "log_read")
+    for part in slices(spark, folder):
+        append(views.as_envelope(part).coalesce(1), f"{base}/log")
+    source = SourceConfig(
+        topic_pattern="iot/(smartcity|healthcare)/.*",
+        format="parquet",
+        path=f"{base}/log",
+        schema=schemas.ENVELOPE.replace("timestamp timestamp", "timestamp timestamp_ntz"),
+        max_files_per_trigger=1,
+    )
+    rows = messages.decode(stream_topics(spark, source))
+    writer = rows.writeStream.format("parquet").option("path", f"{base}/out").outputMode("append")
+    _run(writer, "log_read", base)
+    return neutral(spark.read.schema(rows.schema).parquet(f"{base}/out"))
+
+
+def _logged(spark, folder, name, parts):
+    """The batch log of a replay in ``parts`` deliveries."""
+    base = run_dir(spark, name)
+    path = deliver(spark, folder, base, parts)
+    with batch_log.logged(spark, f"{base}/log"):
+        rows = replay(spark, path).select("event_id", "ts")
+        done = _run(rows.writeStream.format("noop").outputMode("append"), name, base)
+    return batch_log.progress_table(spark, f"{base}/log", str(done.id))
+
+
+@query(
+    "stream_batch_log",
+    "SELECT CAST(count(*) AS BIGINT) AS message_count, CAST(12 AS BIGINT) AS batches FROM events",
+)
 def stream_batch_log(spark, folder):
-    """Rows the batch log accounts for, over a replay of the whole table."""
-    base = run_dir(spark, "log")
-    writer = replay(spark, folder).select("event_id", "ts").writeStream.format("noop").outputMode("append")
-    done = _run(spark, writer, "log", base)
-    log = batch_log.progress_table(spark, done)
-    return log.agg(F.sum("message_count").alias("message_count"))
+    """Rows and batches that the written log accounts for, over a replay of the whole table."""
+    log = _logged(spark, folder, "log", 12).filter("message_count > 0")
+    return log.agg(F.sum("message_count").alias("message_count"), F.count(F.lit(1)).alias("batches"))
+
+
+@query(
+    "stream_episodes",
+    """SELECT CAST(e AS BIGINT) AS episode, CAST(2 AS BIGINT) AS steps, 2.0E0 AS total_cost,
+              (SELECT CAST(count(*) AS BIGINT) FROM events) AS total_messages FROM range(1, 4) r(e)""",
+)
+def stream_episodes(spark, folder):
+    """Six batches of a written log as episodes of two, and the messages they account for."""
+    log = batch_log.as_batches(_logged(spark, folder, "episodes", 6), executors=2)
+    found = batches.episodes(log, ["query_id"], "batch_id", length=2)
+    total = batches.cumulative(log, ["query_id"], "batch_id").groupBy("query_id").agg(
+        F.max("total_messages").alias("total_messages")
+    )
+    return neutral(found.join(total, "query_id").select("episode", "steps", "total_cost", "total_messages"))

@@ -5,46 +5,10 @@ from compare import differences
 
 from sensorloom.plans.catalog import ORACLE, QUERIES
 
-ROWS_ONLY = {"partition_spread", "latency_estimate", "approx_sensors"}
-
-
-def test_only_estimates_and_hashes_lack_sql():
-    assert set(QUERIES) - set(ORACLE) == ROWS_ONLY
-    assert set(ORACLE) <= set(QUERIES)
+def test_every_query_has_sql():
+    assert set(QUERIES) == set(ORACLE)
 
 
 @pytest.mark.parametrize("name", sorted(ORACLE))
 def test_query_equals_sql(spark, con, folder, name):
     assert differences(QUERIES[name](spark, folder), con, ORACLE[name]) == []
-
-
-def test_partition_spread_keeps_every_row(spark, con, folder):
-    rows = QUERIES["partition_spread"](spark, folder).collect()
-    total, keys = con.execute("SELECT count(*), count(DISTINCT user_id) FROM events").fetchone()
-    assert sum(r["rows"] for r in rows) == total
-    # NULL keys add one group, and keys seen only without a key text may be absent.
-    assert sum(r["keys"] for r in rows) <= keys + 1
-    assert all(0 <= r["partition"] < 8 for r in rows)
-
-
-def test_estimates_are_close(spark, con, folder):
-    exact = {
-        (r[0], r[1], r[2]): r[3]
-        for r in con.execute(
-            """SELECT time_bucket(INTERVAL '1 hour', ts), event_type, 'city_' || (user_id % 4)::VARCHAR, count(DISTINCT user_id)
-               FROM events WHERE event_type IN ('click', 'view', 'purchase') GROUP BY ALL"""
-        ).fetchall()
-    }
-    kind = {"traffic": "click", "pollution": "view", "parking": "purchase"}
-    for r in QUERIES["approx_sensors"](spark, folder).collect():
-        want = exact[(r["window_start"], kind[r["sensor_type"]], r["city"])]
-        assert abs(r["unique_sensors"] - want) <= max(1, 0.1 * want)
-    sorted_by_policy = {
-        p: xs
-        for p, xs in con.execute(
-            "SELECT l_returnflag, list(l_extendedprice / 100 ORDER BY l_extendedprice) FROM lineitem GROUP BY 1"
-        ).fetchall()
-    }
-    for r in QUERIES["latency_estimate"](spark, folder).collect():
-        xs = sorted_by_policy[r["policy"]]
-        assert xs[int(0.94 * len(xs))] <= r["p95"] <= xs[min(len(xs) - 1, int(0.96 * len(xs)))]

@@ -40,9 +40,8 @@ def test_scan_reads_only_what_is_used(spark, folder, name, columns):
 @pytest.mark.parametrize(
     "name, pushed",
     [
-        ("congestion_level", "EqualTo(event_type,click)"),
-        ("domain_union", "EqualTo(event_type,purchase)"),
-        ("latest_per_key", "In(event_type, [click,purchase,view])"),
+        ("congestion_level", "In(event_type, [click,signup])"),
+        ("temperature_midway", "LessThanOrEqual(ts,2024-01-15T12:00)"),
     ],
 )
 def test_filters_reach_the_scan(spark, folder, name, pushed):
@@ -69,3 +68,8 @@ def test_asof_join_shuffles_left_rows_once(spark, folder):
     assert "Join" not in text
     wide = [line for line in text.splitlines() if "Exchange hashpartitioning" in line and "_salt" in line]
     assert len(wide) == 2  # the rows themselves, and the distinct parts
+
+
+@pytest.mark.parametrize("name, scans", [("domain_union", 1), ("latency_percentiles", 2), ("latency_percentiles_tied", 2)])
+def test_scans(spark, folder, name, scans):
+    assert plan(spark, folder, name).count("FileScan") == scans
