@@ -65,9 +65,8 @@ def features(texts: list[str | None]) -> np.ndarray:
 def codewords(count: int, seed: int = 7) -> np.ndarray:
     """Rows of -1 and 1, one per language: all splits of up to six, else spread-out random ones."""
     if count <= 6:
-        numbers = np.arange(1, 2 ** max(count - 1, 1))
-        code = np.array([[1] * len(numbers)] + [((numbers >> k) & 1) * 2 - 1 for k in range(count - 1)])
-        return code[:count]
+        numbers = np.arange(max(1, 2 ** (count - 1) - 1))  # the split that puts all on one side is left out
+        return np.array([[1] * len(numbers)] + [((numbers >> k) & 1) * 2 - 1 for k in range(count - 1)])
     rng, bits, best = np.random.default_rng(seed), 10 * (count - 1).bit_length(), None
     for _ in range(50):
         code = rng.choice([-1, 1], size=(count, bits))

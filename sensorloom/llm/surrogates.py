@@ -229,7 +229,7 @@ class Surrogates:
         if kind in ("card", "phone", "ssn", "iban"):
             plain = re.sub(r"[^0-9A-Z]", "", found)
             kept = 0
-            if kind == "card" and (not 13 <= len(plain) <= 19 or str(_luhn(plain[:-1])) != plain[-1] or len(set(plain)) < 3):
+            if kind == "card" and (not 13 <= len(plain) <= 19 or str(_luhn(plain[:-1])) != plain[-1] or len(set(plain)) < 2):
                 return None
             if kind == "iban" and (not 15 <= len(plain) <= 34 or _mod97(plain) != 1):
                 return None

@@ -54,15 +54,12 @@ def matched(rules: list[Rule], host_col: Column, path_col: Column) -> Column:
 
 def _grams(host_col: Column, path_col: Column) -> Column:
     """N-grams of both parts; a look-ahead finds the overlapping ones in one pass over the text."""
-    lists = [
-        F.transform(
-            F.regexp_extract_all(F.concat(F.lit("^"), part, F.lit("$")), F.lit(f"(?s)(?=(.{{{n}}}))"), 1),
-            lambda g, tag=tag: F.concat(F.lit(tag), g),
-        )
-        for tag, part in (("h:", host_col), ("p:", path_col))
-        for n in GRAMS
-    ]
-    return F.concat(*lists)
+
+    def found(tag: str, part: Column, n: int) -> Column:
+        grams = F.regexp_extract_all(F.concat(F.lit("^"), part, F.lit("$")), F.lit(f"(?s)(?=(.{{{n}}}))"), 1)
+        return F.transform(grams, lambda gram: F.concat(F.lit(tag), gram))
+
+    return F.concat(*[found(tag, part, n) for tag, part in (("h:", host_col), ("p:", path_col)) for n in GRAMS])
 
 
 def _vectors(df: DataFrame) -> DataFrame:
