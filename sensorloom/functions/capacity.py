@@ -40,7 +40,35 @@ def fixed_capacity(rate: Column, executors: int, per_executor: int = 50) -> dict
     }
 
 
-def _decision(action: str, target: Column, confidence: float) -> Column:
+# Per case of the recommendation its action and confidence.
+CASES = {
+    "idle": ("scale_down", 0.95),
+    "quiet": ("scale_down", 0.85),
+    "burst": ("pre_warm", 0.92),
+    "edge": ("pre_warm", 0.90),
+    "busy": ("scale_up", 0.88),
+    "late": ("scale_up", 0.85),
+    "frugal": ("scale_down", 0.75),
+    "frugal_floor": ("maintain", 0.0),
+    "steady": ("maintain", 0.80),
+}
+# The limits that tell the cases apart, and how many executors a case adds.
+LIMITS = {
+    "idle_cpu": 20,
+    "busy_cpu": 80,
+    "burst_probability": 0.6,
+    "edge_signal": 0.5,
+    "weight": 0.5,
+    "late_ms": 1000,
+    "frugal_share": 0.7,
+    "rate_per_executor": 50,
+}
+ADDED = {"burst": 4, "busy": 2, "late": 3}
+EDGE_FACTOR = 2.5
+
+
+def _decision(case: str, target: Column) -> Column:
+    action, confidence = CASES[case]
     return F.struct(
         F.lit(action).alias("action"),
         target.cast("int").alias("target"),
@@ -64,25 +92,32 @@ def recommendation(
     velocity_over: float = 5.0,
 ) -> Column:
     """First matching case as (action, target, confidence)."""
-    cap = F.lit(max_executors)
+    at = LIMITS
+
+    def more(case: str) -> Column:
+        return current + ADDED[case]
+
+    def capped(target: Column) -> Column:
+        return F.least(F.lit(max_executors), target)
+
     halved = F.greatest(F.lit(1), F.floor(current / 2))
-    needed = F.greatest((rate / 50).cast("int"), current + 2)
     one_less = F.greatest(F.lit(1), current - 1)
-    frugal = (alpha > 0.5) & (rate < high * 0.7)
-    return (
-        F.when((rate < low) & (cpu < 20), _decision("scale_down", F.lit(0), 0.95))
-        .when(rate < low * 2, _decision("scale_down", halved, 0.85))
-        .when(
-            (burst_probability > 0.6) & (velocity > velocity_over),
-            _decision("pre_warm", F.least(cap, current + 4), 0.92),
-        )
-        .when(edge_signal > 0.5, _decision("pre_warm", F.least(cap, (current * 2.5).cast("int")), 0.90))
-        .when((rate > high) | (cpu > 80), _decision("scale_up", F.least(cap, needed), 0.88))
-        .when((beta > 0.5) & (latency_ms > 1000), _decision("scale_up", F.least(cap, current + 3), 0.85))
-        .when(frugal & (one_less < current), _decision("scale_down", one_less, 0.75))
-        .when(frugal, _decision("maintain", current, 0.0))
-        .otherwise(_decision("maintain", current, 0.80))
-    )
+    needed = F.greatest((rate / at["rate_per_executor"]).cast("int"), more("busy"))
+    frugal = (alpha > at["weight"]) & (rate < high * at["frugal_share"])
+    cases = [
+        ("idle", (rate < low) & (cpu < at["idle_cpu"]), F.lit(0)),
+        ("quiet", rate < low * 2, halved),
+        ("burst", (burst_probability > at["burst_probability"]) & (velocity > velocity_over), capped(more("burst"))),
+        ("edge", edge_signal > at["edge_signal"], capped((current * EDGE_FACTOR).cast("int"))),
+        ("busy", (rate > high) | (cpu > at["busy_cpu"]), capped(needed)),
+        ("late", (beta > at["weight"]) & (latency_ms > at["late_ms"]), capped(more("late"))),
+        ("frugal", frugal & (one_less < current), one_less),
+        ("frugal_floor", frugal, current),
+    ]
+    chosen = _decision("steady", current)
+    for case, holds, target in reversed(cases):
+        chosen = F.when(holds, _decision(case, target)).otherwise(chosen)
+    return chosen
 
 
 def mode_target(rate: Column, mode: str, max_executors: int = 50, min_executors: int = 0) -> Column:

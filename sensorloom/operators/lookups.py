@@ -10,6 +10,10 @@ from pyspark.sql import functions as F
 from .. import dimensions
 
 
+# Settings are broadcast, and written into the plan.
+MOST_SCENARIOS = 1000
+
+
 def route(df: DataFrame, topic: str = "topic") -> DataFrame:
     """Adds ``target_topic``; topics that are not mapped go to the unknown topic."""
     dim = dimensions.topic_map(df.sparkSession).withColumnRenamed("topic", "_topic")
@@ -21,7 +25,12 @@ def route(df: DataFrame, topic: str = "topic") -> DataFrame:
 
 
 def with_scenario(df: DataFrame, name: Column, settings: list[tuple] | None = None) -> DataFrame:
-    """Adds ``scenario``, ``alpha``, ``beta``, ``gamma``; an unknown name takes the default."""
+    """Adds ``scenario``, ``alpha``, ``beta``, ``gamma``; an unknown name takes the default.
+
+    ``settings`` is a list in the caller's memory; more names than ``MOST_SCENARIOS`` are refused.
+    """
+    if len(settings or ()) > MOST_SCENARIOS:
+        raise ValueError(f"more than {MOST_SCENARIOS} scenarios")
     dim = dimensions.scenarios(df.sparkSession, settings)
     known = [s[0] for s in settings or dimensions.SCENARIOS]
     chosen = F.when(name.isin(known), name).otherwise(F.lit(dimensions.DEFAULT_SCENARIO))
