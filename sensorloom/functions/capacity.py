@@ -114,10 +114,10 @@ def recommendation(
         ("frugal", frugal & (one_less < current), one_less),
         ("frugal_floor", frugal, current),
     ]
-    chosen = _decision("steady", current)
-    for case, holds, target in reversed(cases):
-        chosen = F.when(holds, _decision(case, target)).otherwise(chosen)
-    return chosen
+    chosen = F
+    for case, holds, target in cases:
+        chosen = chosen.when(holds, _decision(case, target))
+    return chosen.otherwise(_decision("steady", current))
 
 
 def mode_target(rate: Column, mode: str, max_executors: int = 50, min_executors: int = 0) -> Column:

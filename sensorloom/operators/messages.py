@@ -37,8 +37,12 @@ def parsed(value: Column, schema: str) -> Column:
     """
     typed = f"array<struct<{schema.strip()}, _mark: boolean>>"
     text = F.concat(F.lit("["), value, F.lit(',{"_mark":true}]'))
-    both = F.from_json(text, typed, {"allowSingleQuotes": "false"})
-    return F.when((F.size(both) == 2) & F.get(both, F.lit(1))["_mark"], F.get(both, F.lit(0)).dropFields("_mark"))
+
+    def first_of(both: Column) -> Column:
+        return F.when((F.size(both) == 2) & F.get(both, F.lit(1))["_mark"], F.get(both, F.lit(0)).dropFields("_mark"))
+
+    # The lambda names the parsed array, so that it is parsed once however often it is used.
+    return F.get(F.transform(F.array(F.from_json(text, typed, {"allowSingleQuotes": "false"})), first_of), F.lit(0))
 
 
 def parse(df: DataFrame, schema: str, into: str = "data") -> DataFrame:

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 # Cells per unit of the logarithmic scale: neighbouring cells differ by 1 part in CELLS, and values
 # below UNIT are told apart in steps of UNIT / CELLS.
-CELLS = 65_536
+CELLS = 16_384
 UNIT = 1e-6
 # Rank error of an estimate is at most one part in this.
 ACCURACY = 10_000

@@ -24,7 +24,7 @@ from .readings import _WINDOW_SQL, _labels_sql, raw_columns
 from .registry import ORACLE, query
 from .shape import neutral
 
-PARTS = 4
+PARTS = 3
 WINDOW_KEYS = ["window_start", "window_end", "sensor_type", "city"]
 
 
@@ -197,12 +197,11 @@ def _features(spark, rates, base):
 def stream_features(spark, folder):
     """Hourly rates replayed into the per-key state, in several deliveries."""
     base = run_dir(spark, "features")
-    for part in slices(spark, folder):
-        # An hour that two deliveries share is summed when all are in, as a rate is a finished figure.
-        append(part.select("ts", "event_type").coalesce(1), f"{base}/events")
-    rates = views.as_rates(spark.read.parquet(f"{base}/events")).select(
+    hourly = views.rate_hourly(prepare(spark), folder).select(
         "event_type", F.col("bucket").cast("timestamp").alias("bucket"), "workload_rate"
     )
+    hourly.write.parquet(f"{base}/hourly")
+    rates = spark.read.schema(hourly.schema).parquet(f"{base}/hourly")
     days = rates.agg(F.min("bucket"), F.max("bucket")).first()
     step = (days[1] - days[0]) / PARTS if days[0] else None
     for k in range(PARTS if step is not None else 0):
