@@ -146,7 +146,11 @@ def keep_one(docs: DataFrame, words: int = WORDS, id_col: str = "doc_id", text_c
     Rows that repeat a doc_id count as copies, of which one stays. Rows without doc_id can't be
     told apart by name and all stay.
     """
-    found = near_duplicates(docs, id_col, text_col, words)
+    return smallest_stay(docs, near_duplicates(docs, id_col, text_col, words), id_col)
+
+
+def smallest_stay(docs: DataFrame, found: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """The rows of ``docs`` that stay, given (doc_id, component_id)."""
     stay = found.where("doc_id = component_id").select(F.col("doc_id").alias("_stay")).distinct()
     named = docs.join(stay, docs[id_col] == F.col("_stay"), "left_semi").dropDuplicates([id_col])
     return named.union(docs.where(F.col(id_col).isNull()))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 import numpy as np
 
@@ -55,15 +56,17 @@ def _block_words(buf: bytes, stems: tuple[int, ...] = ()) -> tuple[np.ndarray, l
     return starts, out
 
 
-def words(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+def words(texts: list[str | None], prepare: Callable[[str | None], bytes] = plain) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the words of all texts in order, and the first word's index of each text (one more at the end)."""
-    hashes, first = words_and_stems(texts, ())
+    hashes, first = words_and_stems(texts, (), prepare)
     return hashes[0], first
 
 
-def words_and_stems(texts: list[str | None], stems: tuple[int, ...]) -> tuple[list[np.ndarray], np.ndarray]:
+def words_and_stems(
+    texts: list[str | None], stems: tuple[int, ...], prepare: Callable[[str | None], bytes] = plain
+) -> tuple[list[np.ndarray], np.ndarray]:
     """As ``words``, with the hashes of the first n bytes of each word for each n in ``stems`` (0 for shorter words)."""
-    parts = [plain(t) for t in texts]
+    parts = [prepare(t) for t in texts]
     sizes = np.fromiter((len(p) + 1 for p in parts), dtype=np.int64, count=len(parts))
     bounds = np.concatenate(([0], np.cumsum(sizes)))
     buf = b" ".join(parts) + b" "
