@@ -246,8 +246,13 @@ class Surrogates:
                     capitals = [True] * len(new) if all(capitals) else [capitals[0]] + [False] * (len(new) - 1)
                 out.append((small, self._cased(new, capitals)))
             return out
-        if kind == "ip" and max(map(int, found.split("."))) > 255:
-            return None
+        if kind == "ip":
+            octets = found.split(".")
+            if max(map(int, octets)) > 255:
+                return None
+            value = ".".join(str(int(o)) for o in octets)  # 10.0.0.01 is 10.0.0.1
+            new = self.known(kind, value).split(".")
+            return [(value, ".".join(n.zfill(len(o)) if o[0] == "0" else n for n, o in zip(new, octets)))]
         return [(found, self.known(kind, found))]
 
     def rewrite(self, text: str) -> tuple[str, list[tuple[str, int, int, str, str]]]:
@@ -273,6 +278,8 @@ def comparable(kind: str, surrogate: str) -> str:
     """A surrogate without the notation it is written in."""
     if kind in ("card", "phone", "ssn", "iban"):
         return re.sub(r"[^0-9A-Z]", "", surrogate)[-10 if kind == "phone" else 0 :]
+    if kind == "ip":
+        return ".".join(str(int(o)) for o in surrogate.split("."))
     return surrogate.lower() if kind in ("email", "name") else surrogate
 
 
