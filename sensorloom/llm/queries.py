@@ -8,12 +8,15 @@ from pyspark.sql import functions as F
 
 from ..sources.tables import table
 from . import (
+    best_fit,
     bin_packing,
     chat_format,
     cover_tree,
     decontaminate,
     language_id,
+    ranked_search,
     simhash_index,
+    spelling,
     surrogates,
     token_counts,
     toxicity,
@@ -191,3 +194,69 @@ def language(spark: SparkSession, folder: str) -> DataFrame:
     return found.withColumn("held_out", language_id.held_out()).select(
         "doc_id", "held_out", "lang_pred", "score", "ambiguous"
     )
+
+
+@query(
+    "op11_ranked_search",
+    r"""
+WITH dt AS (SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM documents WHERE doc_id IS NOT NULL),
+it AS (SELECT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark WHERE item_id IS NOT NULL),
+q AS (SELECT item_id, term, count(*) AS repeats FROM it GROUP BY ALL),
+sizes AS (SELECT doc_id, count(*) AS n FROM dt GROUP BY doc_id),
+whole AS (SELECT count(*) AS docs, CAST(sum(n) AS BIGINT) AS terms FROM sizes),
+tf AS (SELECT doc_id, term, count(*) AS tf FROM dt GROUP BY ALL),
+w AS (SELECT term, CAST(floor(1000 * ln((2 * max(docs) + 2) / (2 * count(*) + 1))) AS BIGINT) AS w FROM tf, whole GROUP BY term),
+m AS (SELECT doc_id, 100 - 25 + ((25 * n * docs) // terms) AS m FROM sizes, whole),
+scored AS (SELECT item_id, doc_id, CAST(sum(repeats * w * ((1000000000 * tf) // (1000 * tf + 12 * m))) AS BIGINT) AS score
+  FROM q JOIN w USING (term) JOIN tf USING (term) JOIN m USING (doc_id) GROUP BY item_id, doc_id),
+ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INT) AS rank FROM scored WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM ranked WHERE rank <= 20""",
+)
+def ranked_documents(spark: SparkSession, folder: str) -> DataFrame:
+    return ranked_search.ranked(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+@query(
+    "op12_spelling_variants",
+    r"""
+WITH RECURSIVE crc AS (
+  SELECT list(v ORDER BY i) AS t FROM (
+    SELECT i, list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS v FROM range(256) AS r(i))
+), runs AS (
+  SELECT doc_id, run, count(*) AS n FROM (
+    SELECT doc_id, translate(unnest(regexp_extract_all(text, '[A-Za-z\x{C0}-\x{FF}]+')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run FROM documents)
+  GROUP BY ALL
+), points AS (
+  SELECT *, list_transform(string_split(concat(doc_id, ':', run), ''), lambda c: unicode(c)) AS p FROM runs
+), hashed AS (
+  SELECT run, n, xor(4294967295, list_reduce(list_prepend(4294967295, CAST(flatten(list_transform(p, lambda c: CASE WHEN c < 128 THEN [c] ELSE [192 + (c >> 6), 128 + c % 64] END)) AS BIGINT[])),
+    lambda c, b: xor(c >> 8, t[xor(c % 256, b) + 1]))) AS h FROM points, crc
+), words AS (
+  SELECT word, CAST(sum(n) AS BIGINT) AS n FROM (
+    SELECT n, CASE WHEN h % 31 = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word FROM hashed)
+  WHERE length(word) >= 7 GROUP BY word HAVING sum(n) >= 2
+), cuts AS (
+  SELECT word, n, length(word) AS size, i, substr(word, 1, i) || substr(word, i + 2) AS cut FROM (SELECT word, n, unnest(range(length(word))) AS i FROM words)
+), near AS (
+  SELECT a.word, b.word AS other, b.n AS other_n FROM cuts a JOIN cuts b USING (cut, i, size) WHERE a.word <> b.word
+  UNION SELECT c.word, w.word, w.n FROM cuts c JOIN words w ON c.cut = w.word
+  UNION SELECT w.word, c.word, c.n FROM cuts c JOIN words w ON c.cut = w.word
+), tops AS (
+  SELECT word, count(*) AS n_near, arg_min({'form': other, 'n': other_n}, (-other_n, other)) AS top FROM near GROUP BY word
+), formed AS (
+  SELECT w.word, w.n, coalesce(t.n_near, 0) AS n_near, CASE WHEN t.top.n >= 10 * w.n THEN t.top.form END AS form, CASE WHEN t.top.n >= 10 * w.n THEN t.top.n END AS form_n
+  FROM words w LEFT JOIN tops t USING (word)
+), led AS (
+  SELECT word, word AS root FROM formed
+  UNION SELECT led.word, formed.form FROM led JOIN formed ON led.root = formed.word WHERE formed.form IS NOT NULL
+)
+SELECT formed.*, led.root FROM formed JOIN led USING (word) JOIN formed AS last ON led.root = last.word WHERE last.form IS NULL""",
+)
+def spelling_variants(spark: SparkSession, folder: str) -> DataFrame:
+    return spelling.variants(table(spark, folder, "documents"))
+
+
+@query("op13_best_fit_packing")
+def best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
+    found = best_fit.packed(table(spark, folder, "documents"), TOKENIZER)
+    return found.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")

@@ -21,7 +21,7 @@ def test_every_document_has_a_row(spark, con, folder, name):
 
 def test_there_is_one_query_of_each_number():
     numbers = sorted(int(n[2:].split("_")[0]) for n in QUERIES)
-    assert numbers == list(range(1, 11))
+    assert numbers == list(range(1, 14))
 
 
 def test_chat_formatting_stays_in_the_engine(spark, folder):
