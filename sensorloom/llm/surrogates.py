@@ -8,9 +8,12 @@ share one (distinctness), and no table of values has to be kept or joined, howev
 corpus is. The permutation is one cycle, so no value stands for itself either.
 
 Collision checks: inside the permutation a value that falls outside the format's valid set (a
-listed name where a free one is wanted, a special network) is walked on until it is inside, which
-keeps it one-to-one; each document's entities are checked for distinct surrogates while it is
-rewritten; ``collisions`` checks the same over a whole corpus.
+listed name where a free one is wanted, an address of another network) is walked on until it is inside,
+which keeps it one-to-one. Addresses of a special network (private, loopback, documentation, ...) stay
+within it and public ones stay public with their first octet. Two values of a document that should share a surrogate nevertheless
+are marked ``clash`` and never stop a job; ``collisions`` checks the same over a whole corpus.
+
+Names are looked for behind a form of address only; a name without one stays.
 """
 
 from __future__ import annotations
@@ -18,6 +21,7 @@ from __future__ import annotations
 import bisect
 import hashlib
 import hmac
+import ipaddress
 import math
 import re
 from collections.abc import Callable
@@ -41,6 +45,13 @@ ALPHABETS = {
     "greek vowel": "αεηιουω",
     "greek consonant": "βγδζθκλμνξπρστφχψ",
 }
+# All other letters of a script that have both cases: Latin, Greek, Cyrillic and Armenian, by range.
+_LISTED = set("".join(ALPHABETS.values()))
+MORE = {
+    name: "".join(c for c in map(chr, range(*codes)) if c not in _LISTED and c.islower() and len(c.upper()) == 1 and c.upper().lower() == c)
+    for name, codes in {"more latin": (0xDF, 0x250), "more greek": (0x370, 0x400), "more cyrillic": (0x430, 0x530), "more armenian": (0x561, 0x587)}.items()
+}
+CAPITALS = "".join(c for c in map(chr, range(0x41, 0x590)) if c.isupper())
 DIGITS = "0123456789"
 LATIN = "abcdefghijklmnopqrstuvwxyz"
 HEX = "0123456789abcdef"
@@ -57,7 +68,7 @@ _LISTS = {n: (k, i) for k, names in GIVEN.items() for i, n in enumerate(names)}
 # Forms of address that announce a name.
 TITLES = "Mr Mrs Ms Miss Dr Herr Frau Mme Monsieur Madame Señor Señora Господин Госпожа".split()
 
-_NAME = r"[A-ZÀ-ÖØ-ÞА-ЯЁΑ-Ω][^\W\d_]+"
+_NAME = rf"[{CAPITALS}][^\W\d_]+"
 _HOST = r"(?:[A-Za-z0-9](?:[A-Za-z0-9-]{0,61}[A-Za-z0-9])?\.)+[A-Za-z]{2,24}(?![A-Za-z0-9])"
 # Each starts with a character or set, so that a search skips quickly to where one can begin; what
 # may not stand before it is looked at after its first character. Earlier ones win overlaps.
@@ -134,6 +145,31 @@ class Permutation:
         return self._shuffle(tweak, (self._shuffle(tweak, x, n, True) + 1) % n, n, False)
 
 
+# Networks whose addresses stand for something special; none lies in another.
+SPECIAL = [
+    (int(n.network_address), 32 - n.prefixlen)
+    for n in map(
+        ipaddress.ip_network,
+        """0.0.0.0/8 10.0.0.0/8 100.64.0.0/10 127.0.0.0/8 169.254.0.0/16 172.16.0.0/12 192.0.0.0/24 192.0.2.0/24
+        192.88.99.0/24 192.168.0.0/16 198.18.0.0/15 198.51.100.0/24 203.0.113.0/24 224.0.0.0/4 240.0.0.0/4""".split(),
+    )
+]
+
+
+def network(address: int) -> tuple[int, int] | None:
+    """The special network an address lies in: its first address and its host bits."""
+    return next(((first, bits) for first, bits in SPECIAL if address >> bits == first >> bits), None)
+
+
+def alphabet(letter: str) -> str | None:
+    """The letters that may stand for a small letter; letters without case move within 64 code points."""
+    found = next((a for a in (*ALPHABETS.values(), *MORE.values()) if letter in a), None)
+    if found or letter.lower() != letter.upper():
+        return found
+    low = ord(letter) & ~63
+    return "".join(c for c in map(chr, range(low, low + 64)) if c.isalpha() and c.lower() == c.upper())
+
+
 def _luhn(digits: str) -> int:
     """The check digit that follows ``digits``."""
     total = sum(int(d) if i % 2 else sum(divmod(2 * int(d), 10)) for i, d in enumerate(reversed(digits)))
@@ -183,7 +219,7 @@ class Surrogates:
         if small in _LISTS:
             group, i = _LISTS[small]
             return GIVEN[group][self.permutation.step("|".join(group), i, len(GIVEN[group]))]
-        classes = [next((a for a in ALPHABETS.values() if c in a), None) for c in small]
+        classes = [alphabet(c) for c in small]
         if len(small) > 2:
             classes[-1] = None
         return self._letters("name", small, classes, lambda t: t not in _LISTS)
@@ -201,13 +237,14 @@ class Surrogates:
             ]
             return parts[0] + "@" + ".".join([*parts[1:], labels[-1]])
         if kind == "ip":
-            octets = value.split(".")
-            kept = 2 if octets[:2] == ["192", "168"] or octets[:2] == ["169", "254"] or octets[0] == "172" else 1
-            x, n = 0, 256 ** (4 - kept)
-            for o in octets[kept:]:
-                x = x * 256 + int(o)
-            x = self.permutation.step("ip|" + ".".join(octets[:kept]), x, n)
-            return ".".join([*octets[:kept], *(str(x >> 8 * i & 255) for i in reversed(range(4 - kept)))])
+            address = int(ipaddress.IPv4Address(value))
+            own = network(address)
+            first, bits = own or (address >> 24 << 24, 24)
+            x = address - first
+            while True:  # a public address must not become a special one
+                x = self.permutation.step(f"ip|{first}|{bits}", x, 1 << bits)
+                if network(first + x) == own:
+                    return str(ipaddress.IPv4Address(first + x))
         if kind == "card":
             body = self._letters("card", value[:-1], [None, *[DIGITS] * (len(value) - 2)])
             return body + str(_luhn(body))
@@ -231,7 +268,7 @@ class Surrogates:
             kept = 0
             if kind == "card" and (not 13 <= len(plain) <= 19 or str(_luhn(plain[:-1])) != plain[-1] or len(set(plain)) < 2):
                 return None
-            if kind == "iban" and (not 15 <= len(plain) <= 34 or _mod97(plain) != 1):
+            if kind == "iban" and (not 15 <= len(plain) <= 34 or not 2 <= int(plain[2:4]) <= 98 or _mod97(plain) != 1):
                 return None
             if kind == "phone":
                 kept = max(0, len(plain) - 10)  # the country's digits
@@ -257,21 +294,27 @@ class Surrogates:
 
     def rewrite(self, text: str) -> tuple[str, list[tuple[str, int, int, str, str]]]:
         """The text with surrogates, and (kind, start, end in the new text, canonical value, surrogate) of each entity."""
-        out, kept, at, size, taken = [], [], 0, 0, {}
+        new, found, _ = self.checked(text)
+        return new, found
+
+    def checked(self, text: str) -> tuple[str, list[tuple[str, int, int, str, str]], list[bool]]:
+        """As ``rewrite``, and whether each entity's surrogate stands for another value of the text too."""
+        out, kept, at, size, taken, marks = [], [], 0, 0, {}, []
         for kind, low, high in entities(text):
             parts = self.replace(kind, text[low:high])
             if parts is None:
                 continue
             new = " ".join(p[1] for p in parts)
             for value, surrogate in parts:
-                if taken.setdefault((kind, comparable(kind, surrogate)), value) != value:
-                    raise ValueError(f"two values of kind {kind} share a surrogate")
+                taken.setdefault((kind, comparable(kind, surrogate)), set()).add(value)
+            marks.append([(kind, comparable(kind, surrogate)) for _, surrogate in parts])
             out += [text[at:low], new]
             size += low - at
             kept.append((kind, size, size + len(new), " ".join(p[0] for p in parts), new))
             size += len(new)
             at = high
-        return ("".join([*out, text[at:]]) if kept else text), kept
+        clash = [any(len(taken[m]) > 1 for m in mark) for mark in marks]
+        return ("".join([*out, text[at:]]) if kept else text), kept, clash
 
 
 def comparable(kind: str, surrogate: str) -> str:
@@ -283,8 +326,8 @@ def comparable(kind: str, surrogate: str) -> str:
     return surrogate.lower() if kind in ("email", "name") else surrogate
 
 
-ENTITIES = "array<struct<kind:string,start:int,end:int,surrogate:string>>"
-_ENTITY = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("surrogate", pa.string())]))
+ENTITIES = "array<struct<kind:string,start:int,end:int,surrogate:string,clash:boolean>>"
+_ENTITY = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("surrogate", pa.string()), ("clash", pa.bool_())]))
 
 
 def pseudonymise(docs: DataFrame, key: bytes, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -296,8 +339,8 @@ def pseudonymise(docs: DataFrame, key: bytes, id_col: str = "doc_id", text_col:
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
         made = _maker(key)
-        rows = [(None, []) if t is None else made.rewrite(t) for t in batch.column(1).to_pylist()]
-        found = [[{"kind": k, "start": a, "end": b, "surrogate": s} for k, a, b, _, s in r[1]] for r in rows]
+        rows = [(None, [], []) if t is None else made.checked(t) for t in batch.column(1).to_pylist()]
+        found = [[{"kind": k, "start": a, "end": b, "surrogate": s, "clash": c} for (k, a, b, _, s), c in zip(r[1], r[2])] for r in rows]
         return pa.RecordBatch.from_arrays(
             [batch.column(0), pa.array([r[0] for r in rows], pa.string()), pa.array([len(r[1]) for r in rows], pa.int32()), pa.array(found, _ENTITY)],
             ["doc_id", "text", "n_entities", "entities"],
@@ -308,7 +351,10 @@ def pseudonymise(docs: DataFrame, key: bytes, id_col: str = "doc_id", text_col:
 
 
 def rewritten(docs: DataFrame, key: bytes, text_col: str = "text", length_col: str = "n_chars") -> DataFrame:
-    """``docs`` with surrogates in its text and, where it has one, a new length; all columns stay."""
+    """``docs`` with surrogates in its text and, where it has one, a new length; all columns stay.
+
+    Null texts stay null with a null length, empty and clean ones as they are; an empty table stays empty.
+    """
     at, fields = docs.columns.index(text_col), docs.columns
     length = fields.index(length_col) if length_col in fields else None
 

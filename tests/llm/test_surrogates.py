@@ -1,3 +1,5 @@
+import ipaddress
+import random
 import re
 
 import pytest
@@ -138,3 +140,72 @@ def test_trouble(spark, trouble, nothing):
     assert surrogates.pseudonymise(nothing, KEY).count() == 0
     assert surrogates.rewritten(trouble, KEY).schema == trouble.schema
     assert surrogates.entity_table(nothing, KEY).count() == 0
+
+
+def address(made, value):
+    return made.replace("ip", value)[0][1]
+
+
+def test_a_kept_network_and_its_neighbours_stay_distinct(made):
+    inside = {address(made, f"192.168.{a}.{b}") for a in range(256) for b in range(256)}
+    assert len(inside) == 1 << 16 and all(x.startswith("192.168.") for x in inside)
+    r = random.Random(4)
+    outside = {f"192.{r.choice([*range(168), *range(169, 256)])}.{r.randrange(256)}.{r.randrange(256)}" for _ in range(10_000)}
+    found = {address(made, x) for x in outside}
+    assert len(found) == len(outside) and not found & inside
+
+
+@pytest.mark.parametrize("first, bits", surrogates.SPECIAL)
+def test_special_networks_are_closed(made, first, bits):
+    r = random.Random(first)
+    values = {str(ipaddress.IPv4Address(first + r.randrange(1 << bits))) for _ in range(200)}
+    found = {v: address(made, v) for v in values}
+    assert len(set(found.values())) == len(values) and all(v != s for v, s in found.items())
+    assert all(surrogates.network(int(ipaddress.IPv4Address(s))) == (first, bits) for s in found.values())
+
+
+def test_public_addresses_stay_public(made):
+    r = random.Random(9)
+    values = {f"{f}.{r.randrange(256)}.{r.randrange(256)}.{r.randrange(256)}" for f in (8, 100, 172, 169, 198, 203) for _ in range(300)}
+    public = {v for v in values if surrogates.network(int(ipaddress.IPv4Address(v))) is None}
+    found = {address(made, v) for v in public}
+    assert len(found) == len(public) and all(surrogates.network(int(ipaddress.IPv4Address(s))) is None for s in found)
+
+
+def test_a_document_that_holds_both_addresses(made):
+    new, found = made.rewrite("192.125.15.240 and 192.168.108.96")
+    assert len({e[4] for e in found}) == 2 and "192.168." in new
+
+
+def test_a_clash_is_marked_and_stops_nothing(made, monkeypatch):
+    own = Surrogates(KEY)
+    monkeypatch.setattr(own, "known", lambda kind, value: "9.9.9.9")
+    new, found, clash = own.checked("8.8.8.8 and 7.7.7.7, mail")
+    assert new == "9.9.9.9 and 9.9.9.9, mail" and clash == [True, True] and len(found) == 2
+    assert not any(made.checked("8.8.8.8, 8.8.8.8 and 7.7.7.7")[2])
+
+
+def test_ibans_with_impossible_check_digits_stay(made):
+    body = next(b for b in (f"{i:018d}" for i in range(10_000)) if surrogates._mod97("DE00" + b) == 1)
+    assert made.rewrite(f"DE00{body}") == (f"DE00{body}", [])
+    assert made.rewrite(f"DE97{body}")[1][0][0] == "iban"
+
+
+@pytest.mark.parametrize("name", ["Mr Łęż Šžš", "Señora Ñññ", "Господин Чь Ґіє", "Frau Ångström Øre", "Dr Ωραία", "Dr Ճան", "Mme Œuvre"])
+def test_names_of_any_letters_change(made, name):
+    new, found = made.rewrite(name)
+    kept, was = new.split(" ", 1)[1], name.split(" ", 1)[1]
+    assert found and all(a != b for a, b in zip(kept.split(), was.split()))
+    assert [c.isupper() for c in kept] == [c.isupper() for c in was]
+
+
+def test_names_of_one_pattern_stay_distinct(made):
+    names = {a + b + c for a in "łšñґґœ" for b in "aeżžі" for c in "šñz漢"}
+    assert len({made._word(n) for n in names}) == len(names) and not any(made._word(n) == n for n in names)
+
+
+def test_recall_on_names():
+    """With a form of address all are found; without one none are, as the module says."""
+    own, people = Surrogates(KEY), ["John Smith", "Łukasz Żak", "Ирина Петрова", "Zoë Ångström"]
+    assert all(own.rewrite(f"Yesterday {t} {p} came.")[1] for t in surrogates.TITLES for p in people)
+    assert not any(own.rewrite(f"Yesterday {p} came.")[1] for p in people)
