@@ -25,6 +25,7 @@ ROWS_PER_LANGUAGE = 300
 MARGIN = 0.1
 UNKNOWN = "und"
 BLOCK = 1 << 20
+# Finds candidates quickly; signs such as ½ or ① match it too and are no letters.
 _LETTER = re.compile(r"[^\W\d_]")
 # Small letters stay, as do all bytes of letters beyond ASCII; the rest parts words.
 _PLAIN = bytes(b if b > 127 or chr(b).isalpha() else 32 for b in range(256))
@@ -38,6 +39,10 @@ def letters(text: str | None) -> np.ndarray:
     return a[~(gap & np.concatenate(([False], gap[:-1])))]
 
 
+def has_letter(text: str | None) -> bool:
+    return any(m.group().isalpha() for m in _LETTER.finditer(text or ""))
+
+
 def _gram_counts(data: np.ndarray) -> np.ndarray:
     counts = np.zeros(DIMENSIONS, dtype=np.int64)
     for low in range(0, len(data), BLOCK):
@@ -156,7 +161,7 @@ def train(docs: DataFrame, lang_col: str = "lang", id_col: str = "doc_id", text_
 def decide(model: Model | None, texts: list[str | None], margin: float) -> list[tuple[str, float, bool]]:
     """(language, score, ambiguous) of each text; und without a letter or without a model."""
     out = [(UNKNOWN, 0.0, True)] * len(texts)
-    usable = [i for i, t in enumerate(texts) if model and t and _LETTER.search(t)]
+    usable = [i for i, t in enumerate(texts) if model and has_letter(t)]
     if usable:
         best, score, lead = model.decide(features([texts[i] for i in usable]))
         for i, k, s, gap in zip(usable, best, score, lead):
@@ -185,7 +190,10 @@ def identify(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_
 
 
 def accepted(docs: DataFrame, model: Model | None, text_col: str = "text", margin: float = MARGIN) -> DataFrame:
-    """The rows of ``docs`` whose language is told without ambiguity; all columns stay, no row moves."""
+    """The rows of ``docs`` whose language is told without ambiguity; all columns stay, no row moves.
+
+    Null texts and those without a letter go; an empty table stays empty.
+    """
     shared, at = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index(text_col)
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:

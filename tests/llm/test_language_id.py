@@ -74,3 +74,10 @@ def test_the_sample_is_bounded_and_whole_texts_count(spark, monkeypatch):
     assert lang.features([long]).shape == (1, lang.DIMENSIONS)
     a, b = lang.features(["x " * 400_000 + "zzz"]), lang.features(["x " * 400_000])
     assert (a != b).any()
+
+
+def test_signs_that_are_no_letters_have_no_language(spark):
+    docs = spark.createDataFrame([(i, f"{w} {w} the of" if i % 2 else f"{w} {w} der und") for i, w in enumerate("abcdefgh")], "doc_id long, text string")
+    model = lang.train(docs.selectExpr("doc_id", "text", "if(doc_id % 2 = 0, 'de', 'en') as lang"))
+    found = lang.decide(model, ["½ ² ①", "½", "², 3", "½ a", None, "٣"], 0.1)
+    assert [f[0] == "und" for f in found] == [True, True, True, False, True, True]
