@@ -150,7 +150,12 @@ def keep_one(docs: DataFrame, words: int = WORDS, id_col: str = "doc_id", text_c
 
 
 def smallest_stay(docs: DataFrame, found: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """The rows of ``docs`` that stay, given (doc_id, component_id)."""
+    """The rows of ``docs`` that stay, given (doc_id, component_id).
+
+    Of rows that share the id the one whose columns hash lowest stays, in every run the same. Rows
+    without an id all stay; an empty table stays empty.
+    """
     stay = found.where("doc_id = component_id").select(F.col("doc_id").alias("_stay")).distinct()
-    named = docs.join(stay, docs[id_col] == F.col("_stay"), "left_semi").dropDuplicates([id_col])
+    named = docs.join(stay, docs[id_col] == F.col("_stay"), "left_semi").groupBy(F.col(id_col).alias("_stay"))
+    named = named.agg(F.min_by(F.struct(*docs.columns), F.xxhash64(*docs.columns)).alias("_row")).select("_row.*")
     return named.union(docs.where(F.col(id_col).isNull()))

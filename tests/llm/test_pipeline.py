@@ -2,8 +2,9 @@
 
 import corpus_pipeline
 import pytest
+from test_near_copies import slow_components
 
-from sensorloom.llm import decontaminate, language_id, simhash_index, surrogates
+from sensorloom.llm import decontaminate, language_id, surrogates
 from sensorloom.llm.queries import DEMO_KEY
 
 
@@ -18,20 +19,8 @@ def test_pipeline_equals_its_plain_version(spark, folder, docs):
     verdicts = language_id.decide(model, [r["text"] for r in rows], language_id.MARGIN)
     rows = [r for r, v in zip(rows, verdicts) if not v[2]]
 
-    prints = {r["doc_id"]: simhash_index.fingerprint(r["text"]) for r in rows}
-    root = {i: i for i in prints}
-
-    def find(i):
-        while root[i] != i:
-            i = root[i]
-        return i
-
-    for a in prints:
-        for b in prints:
-            if a < b and (prints[a] ^ prints[b]).bit_count() <= 2:
-                x, y = find(a), find(b)
-                root[max(x, y)] = min(x, y)
-    rows = [r for r in rows if find(r["doc_id"]) == r["doc_id"]]
+    first, _ = slow_components([(r["doc_id"], r["text"]) for r in rows])
+    rows = [r for r in rows if first[r["doc_id"]] == r["doc_id"]]
 
     items = decontaminate.Items([tuple(r) for r in spark.read.parquet(f"{folder}/benchmark.parquet").select("item_id", "text").collect()])
     leaking = {d for d, *_ in items.found([r["text"] for r in rows])}
@@ -60,3 +49,10 @@ def test_stages_take_trouble_and_nothing(spark, folder, trouble, nothing):
 
 def test_stages_are_in_order():
     assert [name for name, _ in corpus_pipeline.STAGES] == ["language_id", "simhash_near_dedup", "decontamination", "pii_surrogates", "bin_slack_packing"]
+
+
+def test_of_rows_that_share_an_id_the_same_one_stays(spark, folder):
+    rows = [(1, "first text of its own"), (1, "second text of its own"), (2, "another text altogether")]
+    df = lambda order: spark.createDataFrame([rows[i] for i in order], "doc_id long, text string").repartition(2)
+    stay = [sorted(map(tuple, corpus_pipeline.drop_near_copies(spark, df(o), folder).collect())) for o in ([0, 1, 2], [2, 1, 0], [1, 0, 2])]
+    assert stay[0] == stay[1] == stay[2] and [r[0] for r in stay[0]] == [1, 2]
