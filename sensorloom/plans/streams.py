@@ -24,7 +24,7 @@ from .readings import _WINDOW_SQL, _labels_sql, raw_columns
 from .registry import ORACLE, query
 from .shape import neutral
 
-PARTS = 3
+PARTS = 4
 WINDOW_KEYS = ["window_start", "window_end", "sensor_type", "city"]
 
 
@@ -34,34 +34,41 @@ def zoned(rows):
 
 
 def slices(spark, folder, parts=PARTS):
-    """The whole events table cut into equal spans of time, in order."""
+    """The whole events table cut into equal spans of time, in order; rows without a time come first."""
     ev = views.events(prepare(spark), folder)
     first, last = ev.agg(F.min("ts"), F.max("ts")).first()
     if first is None:
-        return [ev] * parts
+        return [ev]
     step = (last - first) / parts
-    edges = [first + step * k for k in range(parts)]
-    out = []
-    for k, low in enumerate(edges):
-        part = ev.filter(F.col("ts") >= F.lit(low).cast("timestamp_ntz"))
-        out.append(part.filter(F.col("ts") < F.lit(edges[k + 1]).cast("timestamp_ntz")) if k + 1 < parts else part)
-    return out
+    span = F.floor((F.unix_micros(F.col("ts").cast("timestamp")) - F.unix_micros(F.lit(first).cast("timestamp"))) / (step.total_seconds() * 1e6))
+    span = F.coalesce(F.least(span, F.lit(parts - 1)), F.lit(0)) if step else F.lit(0)
+    return [ev.filter(span == k) for k in range(parts)]
 
 
-def append(rows, path):
-    """Files of one more delivery; a stream takes deliveries in the order they were written."""
-    rows.write.mode("append").parquet(path)
+def files_of(parts):
+    """In how many files every delivery can be written: as many as there are cores, if all have the rows."""
+    counts = [n for n in (part.count() for part in parts) if n]
+    return min([parts[0].sparkSession.sparkContext.defaultParallelism, *counts])
 
 
-def deliver(spark, folder, base, parts=PARTS):
-    """The events table as a folder of deliveries in the order of time."""
-    for part in slices(spark, folder, parts):
-        append(part.coalesce(1), f"{base}/in")
-    return f"{base}/in"
+def append(rows, path, files):
+    """One more delivery, in so many files; a stream takes deliveries in the order they were written."""
+    rows.repartition(files).write.mode("append").parquet(path)
 
 
-def replay(spark, path, files_per_trigger=1):
-    return zoned(stream_files(spark, path, schemas.EVENTS, files_per_trigger=files_per_trigger))
+def deliver(spark, folder, base, parts=PARTS, to="in", like=lambda rows: rows):
+    """(path, files of a delivery): the events table as a folder of deliveries in the order of time."""
+    cut = slices(spark, folder, parts)
+    files = files_of(cut)
+    for part in cut:
+        append(like(part), f"{base}/{to}", files)
+    return f"{base}/{to}", files
+
+
+def replay(spark, delivered):
+    """A stream of deliveries, one in each micro-batch."""
+    path, files = delivered
+    return zoned(stream_files(spark, path, schemas.EVENTS, files_per_trigger=files))
 
 
 def _run(writer, name, base):
@@ -133,9 +140,9 @@ def stream_append_windows(spark, folder):
 def stream_late_rows(spark, folder):
     """The first delivery comes once more at the end, behind the watermark: nothing is counted twice."""
     base = run_dir(spark, "late")
-    path = deliver(spark, folder, base)
-    append(slices(spark, folder)[0].coalesce(1), path)
-    changes = _windowed(replay(spark, path), "1 hour")
+    path, files = deliver(spark, folder, base)
+    append(slices(spark, folder)[0], path, files)
+    changes = _windowed(replay(spark, (path, files)), "1 hour")
     _run(windows.changelog(changes, f"{base}/out", "late"), "late", base)
     return neutral(_window_table(spark, base, changes, "late").drop("unique_sensors"))
 
@@ -145,10 +152,11 @@ def stream_restart(spark, folder):
     """Stopped after half of the deliveries and started again on the same checkpoint."""
     base = run_dir(spark, "restart")
     parts = slices(spark, folder)
+    files = files_of(parts)
     for half in (parts[: PARTS // 2], parts[PARTS // 2 :]):
         for part in half:
-            append(part.coalesce(1), f"{base}/in")
-        changes = _windowed(replay(spark, f"{base}/in"), "1 hour")
+            append(part, f"{base}/in", files)
+        changes = _windowed(replay(spark, (f"{base}/in", files)), "1 hour")
         _run(windows.changelog(changes, f"{base}/out", "restart"), "restart", base)
     return neutral(_window_table(spark, base, changes, "restart").drop("unique_sensors"))
 
@@ -207,7 +215,7 @@ def stream_features(spark, folder):
     for k in range(PARTS if step is not None else 0):
         low, high = days[0] + step * k, days[0] + step * (k + 1)
         part = rates.filter(F.col("bucket") >= low)
-        append((part.filter(F.col("bucket") < high) if k + 1 < PARTS else part).coalesce(1), f"{base}/rates")
+        append(part.filter(F.col("bucket") < high) if k + 1 < PARTS else part, f"{base}/rates", 1)
     stream = stream_files(
         spark, f"{base}/rates", "event_type string, bucket timestamp, workload_rate double", files_per_trigger=1
     )
@@ -237,24 +245,46 @@ def stream_feature_chain(spark, folder):
     views=("vitals", "signals"),
 )
 def stream_edge_join(spark, folder):
-    """Stream-stream join over one day: every reading once, with its newest signal or none.
-
-    A last event far ahead moves the watermark past all others.
-    """
+    """Stream-stream join over one day: every reading once, with its newest signal or none."""
     base = run_dir(spark, "edge")
-    path = deliver(spark, folder, base)
+    readings, signals = _beyond(spark, folder, deliver(spark, folder, base), "-1L")
+    joined = joins.edge_interval_join(readings, signals, "patient_id", lookback="24 hours")
+    return _joined(spark, joined, "edge", base)
+
+
+def _beyond(spark, folder, delivered, user="CAST(NULL AS BIGINT)"):
+    """Readings and signals of a replay that ends with a row far ahead, which moves the watermark past all others."""
     last = views.events(spark, folder).agg(F.max("ts").alias("ts"))
     beyond = last.filter("ts IS NOT NULL").selectExpr(
-        "-1L AS event_id", "ts + INTERVAL 30 DAYS AS ts", "-1L AS user_id", "'signup' AS event_type", "0D AS value", "'{}' AS props"
+        "-1L AS event_id", "ts + INTERVAL 30 DAYS AS ts", f"{user} AS user_id", "'signup' AS event_type", "0D AS value", "'{}' AS props"
     )
-    append(beyond.coalesce(1), path)
-    readings = views.as_vitals(replay(spark, path)).select("event_id", "patient_id", "ts", "heart_rate")
-    signals = views.as_signals(replay(spark, path))
+    append(beyond, delivered[0], 1)
+    rows = replay(spark, delivered)
+    return views.as_vitals(rows).select("event_id", "patient_id", "ts", "heart_rate"), views.as_signals(rows)
+
+
+def _joined(spark, joined, name, base):
     with lifecycle.rocksdb(spark):
-        joined = joins.edge_interval_join(readings, signals, "patient_id", lookback="24 hours")
         writer = joined.writeStream.format("parquet").option("path", f"{base}/out").outputMode("append")
-        _run(writer, "edge", base)
-    return neutral(spark.read.schema(joined.schema).parquet(f"{base}/out").filter("event_id >= 0"))
+        _run(writer, name, base)
+    return neutral(spark.read.schema(joined.schema).parquet(f"{base}/out").filter("NOT (event_id = -1 AND coalesce(patient_id, 'PT--1') = 'PT--1')"))
+
+
+@query(
+    "stream_edge_join_repeats",
+    """SELECT event_id, patient_id, ts, heart_rate, CASE WHEN near THEN signal_ts END AS signal_ts,
+              CASE WHEN near THEN predicted_load END AS predicted_load, CASE WHEN near THEN burst_alarm END AS burst_alarm
+       FROM (SELECT v.event_id, v.patient_id, v.ts, v.heart_rate, s.ts AS signal_ts, s.predicted_load, s.burst_alarm,
+                    s.ts >= v.ts - INTERVAL 24 HOUR AS near
+             FROM vitals v ASOF LEFT JOIN signals s ON v.patient_id = s.patient_id AND v.ts >= s.ts) j, range(2)""",
+    views=("vitals", "signals"),
+)
+def stream_edge_join_repeats(spark, folder):
+    """The same with every message delivered twice: every reading comes out as often as it came, by timers."""
+    base = run_dir(spark, "edge_twice")
+    readings, signals = _beyond(spark, folder, deliver(spark, folder, base, like=lambda rows: rows.unionAll(rows)))
+    joined = joins.timed_edge_join(readings, signals, "patient_id", lookback="24 hours", salts=2)
+    return _joined(spark, joined, "edge_twice", base)
 
 
 _VALID = f"""coalesce({_IDENTITY}) IS NOT NULL AND ((j ->> '$.timestamp') IS NULL OR TRY_CAST(j ->> '$.timestamp' AS TIMESTAMP) IS NOT NULL)"""
@@ -338,14 +368,13 @@ def stream_vitals_alerts(spark, folder):
 def stream_log_read(spark, folder):
     """Two topics of a message log, streamed a few files at a time."""
     base = run_dir(spark, "log_read")
-    for part in slices(spark, folder):
-        append(views.as_envelope(part).coalesce(1), f"{base}/log")
+    path, files = deliver(spark, folder, base, to="log", like=views.as_envelope)
     source = SourceConfig(
         topic_pattern="iot/(smartcity|healthcare)/.*",
         format="parquet",
-        path=f"{base}/log",
+        path=path,
         schema=schemas.ENVELOPE.replace("timestamp timestamp", "timestamp timestamp_ntz"),
-        max_files_per_trigger=1,
+        max_files_per_trigger=files,
     )
     rows = messages.decode(stream_topics(spark, source))
     writer = rows.writeStream.format("parquet").option("path", f"{base}/out").outputMode("append")

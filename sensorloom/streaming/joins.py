@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from bisect import bisect_right
+from collections import Counter
+from collections.abc import Iterator
+
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.types import LongType, StructField, StructType
 
 
 def edge_interval_join(
@@ -21,7 +27,8 @@ def edge_interval_join(
     once the interval has passed. Matches of a reading meet in a second state that keeps the newest
     one only; the row comes out when the watermark has passed the reading. Readings of one key
     are spread over ``salts`` state partitions and the few signals are copied to each, so a hot key
-    is shared between tasks. Readings that are equal in all columns come out once.
+    is shared between tasks. Readings that are equal in all columns come out once; ``timed_edge_join``
+    keeps them apart and needs no pair of a reading and each of its signals.
     """
     salt = F.pmod(F.xxhash64(*readings.columns), F.lit(salts)).cast("int")
     copies = F.explode(F.array(*[F.lit(i) for i in range(salts)]))
@@ -43,3 +50,118 @@ def edge_interval_join(
     # Structs compare by their first field, so the greatest is the newest signal.
     newest = matched.groupBy(*readings.columns).agg(F.max("_signal").alias("_signal"))
     return newest.select(*readings.columns, *[F.col(f"_signal.{c}").alias(c) for c in columns])
+
+
+class NewestSignal(StatefulProcessor):
+    """Holds the readings of a key until the watermark has passed them, and the signals they may meet.
+
+    Equal readings are one entry with their count. A timer a second emits what is due and clears
+    what no later reading can meet, so a key that falls silent leaves no state behind.
+    """
+
+    def __init__(self, reading: StructType, signal: StructType, lookback_us: int):
+        self.reading, self.signal, self.lookback_us = reading, signal, lookback_us
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        at = StructField("_us", LongType())
+        self.handle = handle
+        self.waiting = handle.getListState("waiting", StructType([at, StructField("_n", LongType()), *self.reading.fields]))
+        self.signals = handle.getListState("signals", StructType([at, *self.signal.fields]))
+
+    def close(self) -> None:
+        pass
+
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        readings, signals = Counter(), []
+        for row in rows:
+            if row["_signal"] is not None:
+                signals.append((row["_us"], *row["_signal"].values()))
+            else:
+                readings[(row["_us"], *row["_reading"].values())] += 1
+        at_once = {r: n for r, n in readings.items() if r[0] is None or key[0] is None}
+        dated = [(r[0], n, *r[1:]) for r, n in readings.items() if r not in at_once]
+        if dated:
+            self.waiting.appendList(dated)
+        if signals:
+            self.signals.appendList(signals)
+        for us in {r[0] // 1_000_000 for r in dated} | {(s[0] + self.lookback_us) // 1_000_000 for s in signals}:
+            self.handle.registerTimer((us + 1) * 1000)
+        for r, n in at_once.items():
+            yield from self._out(key, n, r, None)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        passed = timerValues.getCurrentWatermarkInMs() * 1000  # rows from here on may still come
+        signals = sorted(map(tuple, self.signals.get()), key=lambda s: s[0]) if self.signals.exists() else []
+        times = [s[0] for s in signals]
+        if self.waiting.exists():
+            rest = []
+            for us, n, *values in self.waiting.get():
+                if us >= passed:
+                    rest.append((us, n, *values))
+                    continue
+                k = bisect_right(times, us) - 1
+                near = k >= 0 and times[k] >= us - self.lookback_us
+                # Of signals at one time the greatest counts, as structs compare.
+                found = max((s for s in signals[: k + 1][::-1] if s[0] == times[k]), key=_comparable) if near else None
+                yield from self._out(key, n, (us, *values), found)
+            self._keep(self.waiting, rest)
+        if signals:
+            self._keep(self.signals, [s for s in signals if s[0] >= passed - self.lookback_us])
+
+    @staticmethod
+    def _keep(state, rows: list[tuple]) -> None:
+        state.put(rows) if rows else state.clear()
+
+    def _out(self, key: tuple, n: int, reading: tuple, signal: tuple | None) -> Iterator[Row]:
+        names = ["_key", "_us", *self.reading.names, "_signal_us", *(f"_s_{name}" for name in self.signal.names)]
+        row = Row(*names)(key[0], *reading, *(signal or [None] * (1 + len(self.signal.fields))))
+        for _ in range(n):
+            yield row
+
+
+def _comparable(values: tuple) -> tuple:
+    return tuple((v is not None, v) if v is not None else (False,) for v in values)
+
+
+def timed_edge_join(
+    readings: DataFrame,
+    signals: DataFrame,
+    key: str,
+    ts: str = "ts",
+    lookback: str = "10 minutes",
+    delay: str = "10 seconds",
+    salts: int = 8,
+) -> DataFrame:
+    """Each reading as often as it came, with the newest signal of its key in the ``lookback`` before it, or NULLs.
+
+    One state per key and salt, no reading is paired with more than one signal, and a reading comes out
+    once the watermark has passed it; then nothing of it is left in the state. Columns hold plain
+    values. A reading without a key or time leaves at once and unmatched, a signal without one is left
+    out, and so are rows behind the watermark. Rows without a key do move the watermark. Needs RocksDB state.
+    """
+    spark = readings.sparkSession
+    lookback_us = spark.sql(f"SELECT unix_micros(timestamp_seconds(0) + INTERVAL {lookback})").first()[0]
+    own = [c for c in readings.columns if c not in (key, ts)]
+    told = [c for c in signals.columns if c not in (key, ts)]
+    salt = F.pmod(F.xxhash64(*readings.columns), F.lit(salts)).cast("int")
+    left = readings.withWatermark(ts, delay).select(
+        key, salt.alias("_salt"), ts, F.unix_micros(ts).alias("_us"), F.struct(*own).alias("_reading")
+    )
+    # The condition names the time, so it is not moved below the watermark.
+    keyed = F.when(F.col(key).isNotNull(), F.col(ts)).isNotNull()
+    right = signals.withWatermark(ts, delay).where(keyed).select(
+        key, F.explode(F.array(*[F.lit(i) for i in range(salts)])).alias("_salt"), ts, F.unix_micros(ts).alias("_us"), F.struct(*told).alias("_signal")
+    )
+    both = left.unionByName(right, allowMissingColumns=True)
+    reading = StructType([readings.schema[c] for c in own])
+    signal = StructType([signals.schema[c] for c in told])
+    at, met = StructField("_us", LongType()), StructField("_signal_us", LongType())
+    found = both.groupBy(key, "_salt").transformWithState(
+        statefulProcessor=NewestSignal(reading, signal, lookback_us),
+        outputStructType=StructType([StructField("_key", readings.schema[key].dataType), at, *reading.fields, met, *(StructField(f"_s_{f.name}", f.dataType) for f in signal.fields)]),
+        outputMode="Append",
+        timeMode="EventTime",
+    )
+    return found.withColumns({key: F.col("_key"), ts: F.timestamp_micros("_us")}).select(
+        *readings.columns, F.timestamp_micros("_signal_us").alias("signal_ts"), *[F.col(f"_s_{c}").alias(c) for c in told]
+    )
