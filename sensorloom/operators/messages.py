@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from .. import dimensions, schemas
 from ..functions import message
@@ -66,12 +67,45 @@ def flatten_city(df: DataFrame) -> DataFrame:
     )
 
 
-def probe(df: DataFrame, payload: bool = False) -> DataFrame:
-    """Adds ``m``: the identity that any message kind may carry, NULL if the payload is unreadable.
+def once(df: DataFrame, value: Column, name: str) -> DataFrame:
+    """Adds a column that is computed once a row, whatever is made of it later.
 
-    With ``payload`` the metric blocks are read too, as maps; without, they are skipped over.
+    A generator of one row: neither filters nor projections above it are moved below, so the
+    optimiser has nothing to copy the computation into.
     """
-    return parse(df, schemas.ANY_MESSAGE if payload else schemas.IDENTITY, "m")
+    return df.select("*", F.explode(F.array(value)).alias(name))
+
+
+def opened(df: DataFrame) -> DataFrame:
+    """Adds ``_payload``, the JSON text as the first element of a VARIANT array, and ``readable``: whether it is one object.
+
+    As in ``parsed`` a mark behind the text makes the parser see where the text ends. Names that
+    occur twice in an object and numbers that JSON lacks (NaN) make it unreadable as well.
+    """
+    text = F.concat(F.lit("["), "value", F.lit(',{"_mark":true}]'))
+    rows = once(df, F.try_parse_json(text), "_payload")
+    marked = F.try_variant_get("_payload", "$[1]._mark", "boolean") & F.try_variant_get("_payload", "$[2]", "variant").isNull()
+    return once(rows, F.coalesce(marked & F.col("value").rlike(r"^\s*\{"), F.lit(False)), "readable")
+
+
+def read(path: str, kind: str) -> Column:
+    """A typed field of an opened payload; NULL if it is absent or of another kind. Whole numbers are not cut from others."""
+    asked = "string" if kind in ("int", "bigint") else kind
+    found = F.try_variant_get("_payload", f"$[0].{path}", asked)
+    return F.when(F.col("readable"), found if asked == kind else found.try_cast(kind))
+
+
+def probe(df: DataFrame, blocks: bool = False, **reads: tuple[str, str]) -> DataFrame:
+    """Adds ``readable`` and ``m``: the identity that any message kind may carry, NULL fields if the payload is unreadable.
+
+    Each payload is parsed once. ``reads`` are further fields of ``m``, each a path in the payload and its type. With
+    ``blocks`` the metric blocks are read too, as maps in message order.
+    """
+    if blocks:
+        return once(df, parsed(F.col("value"), schemas.ANY_MESSAGE), "m").withColumn("readable", F.col("m").isNotNull())
+    fields = {name: (name, kind) for name, kind in (f.split() for f in schemas.IDENTITY.split(","))} | reads
+    own = F.struct(*[read(path, kind).alias(name) for name, (path, kind) in fields.items()])
+    return opened(df).withColumn("m", own).drop("_payload")
 
 
 def identified(probed: DataFrame) -> DataFrame:
@@ -86,7 +120,7 @@ def identified(probed: DataFrame) -> DataFrame:
 def fault() -> Column:
     """Why a probed payload can't be read; NULL if it can."""
     blank = F.col("value").isNull() | (F.trim("value") == "")
-    return F.when(blank, "empty payload").when(F.col("m").isNull(), "malformed JSON")
+    return F.when(blank, "empty payload").when(~F.col("readable"), "malformed JSON")
 
 
 def invalid() -> Column:
@@ -137,32 +171,39 @@ DOMAINS = {
 
 
 def merged_domains(df: DataFrame) -> DataFrame:
-    """The messages of all domains as one table of typed rows, read in one pass.
+    """The messages of all domains as one table of typed rows, each parsed once.
 
-    The topic chooses the schema a payload is parsed with; a measure that a domain lacks is NULL.
+    The topic chooses the schema a payload is read with; a measure that a domain lacks is NULL.
     Other topics are left out.
     """
     domain = F.lit(None).cast("string")
     for name, (topic, *_) in DOMAINS.items():
         domain = F.when(F.col("topic") == topic, name).otherwise(domain)
-    rows = df.withColumn("domain", domain).filter("domain IS NOT NULL")
-    for name, (_, schema, _, _) in DOMAINS.items():
-        rows = rows.withColumn(f"_{name}", F.when(F.col("domain") == name, parsed(F.col("value"), schema)))
-    device = F.coalesce(*[F.col(f"_{name}.{field}") for name, (_, _, field, _) in DOMAINS.items()])
-    at = F.coalesce(*[F.col(f"_{name}.timestamp") for name in DOMAINS])
+    rows = opened(df.withColumn("domain", domain).filter("domain IS NOT NULL"))
+    at = read("timestamp", "string")
+    device = F.lit(None).cast("string")
+    for name, (_, _, field, _) in DOMAINS.items():
+        device = F.when(F.col("domain") == name, read(field, "string")).otherwise(device)
     return rows.select(
         "offset",
         "domain",
         device.alias("device_ref"),
         message.event_time(at).alias("event_ts"),
         *[
-            F.col(f"_{name}.{path}").alias(measure)
-            for name, (_, _, _, measures) in DOMAINS.items()
+            F.when(F.col("domain") == name, read(path, _type_of(schema, path))).alias(measure)
+            for name, (_, schema, _, measures) in DOMAINS.items()
             for measure, path in measures.items()
         ],
     )
 
 
+def _type_of(schema: str, path: str) -> str:
+    kind = StructType.fromDDL(schema)
+    for name in path.split("."):
+        kind = kind[name].dataType
+    return kind.simpleString()
+
+
 def as_records(df: DataFrame, topic: Column, key: Column, *payload: str) -> DataFrame:
     """Rows for a keyed log: topic, key, and the payload columns as JSON text."""
     return df.select(

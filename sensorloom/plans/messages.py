@@ -156,7 +156,7 @@ def canonical_identity(spark, folder):
     views=("probe",),
 )
 def payload_kind(spark, folder):
-    probed = messages.probe(_decoded(spark, folder), payload=True)
+    probed = messages.probe(_decoded(spark, folder), blocks=True)
     return probed.select(
         "offset",
         message.payload_kind("m.").alias("kind"),

@@ -32,8 +32,7 @@ def dead_records(probed: DataFrame) -> DataFrame:
 
 def alert_records(good: DataFrame, limit_celsius: float = 80.0) -> DataFrame:
     """Machines above the heat limit, as alert messages."""
-    celsius = F.col("m.sensors")["temperature_celsius"].try_cast("double")
-    hot = good.withColumn("celsius", celsius).filter(F.col("celsius") > limit_celsius)
+    hot = good.withColumn("celsius", F.col("m.celsius")).filter(F.col("celsius") > limit_celsius)
     named = messages.as_alert(hot, F.lit("critical"), F.col("broker_ts")).withColumn(
         "device", message.device_ref("m.")
     )
@@ -84,7 +83,7 @@ def fan_out(config: SinkConfig, query_id: str) -> Callable[[DataFrame, int], Non
     """
 
     def handle(batch: DataFrame, batch_id: int) -> None:
-        probed = messages.probe(messages.decode(batch), payload=True).persist(StorageLevel.MEMORY_AND_DISK)
+        probed = messages.probe(messages.decode(batch), celsius=("sensors.temperature_celsius", "double")).persist(StorageLevel.MEMORY_AND_DISK)
         try:
             records = all_records(probed)
             if config.format == "kafka":

@@ -81,7 +81,7 @@ def test_payload_kind_takes_the_first_block(spark):
         [('{"vitals":{"a":1},"metrics":{"z":9,"y":8,"x":7,"w":6}}',), ('{"sensors":{"a":1}}',), ("{}",)],
         "value string",
     )
-    got = messages.probe(rows, payload=True).select(
+    got = messages.probe(rows, blocks=True).select(
         message.payload_kind("m.").alias("k"), message.first_entries(F.col("m.metrics")).alias("f")
     )
     assert [tuple(r) for r in got.collect()] == [("metrics", "z=9,y=8,x=7"), ("sensors", None), ("none", None)]

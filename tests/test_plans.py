@@ -73,3 +73,10 @@ def test_asof_join_shuffles_left_rows_once(spark, folder):
 @pytest.mark.parametrize("name, scans", [("domain_union", 1), ("latency_percentiles", 2), ("latency_percentiles_tied", 2)])
 def test_scans(spark, folder, name, scans):
     assert plan(spark, folder, name).count("FileScan") == scans
+
+
+@pytest.mark.parametrize("name", ["dead_letter", "invalid_letter", "route_topics", "heat_alerts", "domain_union", "canonical_identity", "payload_kind"])
+def test_payloads_are_parsed_once(spark, folder, name):
+    text = plan(spark, folder, name)
+    assert text.count("parseJson(") + text.count("from_json(") == 1
+

@@ -116,6 +116,10 @@ FAULTY = {
     '{"sensor_id":"a"}': None,
     ' {"sensor_id":"b"} ': None,
     '{"note":"x"}': None,
+    '{"sensor_id":"a"},{"_mark":true}': "malformed JSON",
+    '{"sensor_id":"a","sensor_id":"b"}': "malformed JSON",
+    '{"value":NaN}': "malformed JSON",
+    '\t\n{"sensor_id":"c"}\n': None,
 }
 
 
@@ -124,7 +128,7 @@ def test_every_fault_has_its_cause(spark):
     probed = messages.probe(rows).withColumn("error", messages.fault())
     assert {r["value"]: r["error"] for r in probed.collect()} == FAULTY
     good, bad = messages.split_faulty(probed)
-    assert (good.count(), bad.count()) == (3, 10)
+    assert (good.count(), bad.count()) == (4, 13)
 
 
 def test_validation_names_what_is_wrong(spark):
@@ -139,6 +143,15 @@ def test_validation_names_what_is_wrong(spark):
     assert {r["value"]: r["error"] for r in found} == texts
 
 
+def test_typed_reads_of_a_payload(spark):
+    text = '{"n":5,"x":1.5,"s":"7","deep":{"b":true,"n":12},"none":null,"list":[1]}'
+    rows = messages.opened(spark.createDataFrame([(text,), (text + text,)], "value string"))
+    reads = [("n", "int"), ("x", "int"), ("s", "int"), ("x", "double"), ("n", "string"), ("deep.b", "boolean"), ("deep.n", "bigint"), ("none", "string"), ("gone", "int"), ("list", "int")]
+    got = rows.select(*[messages.read(path, kind).alias(f"c{i}") for i, (path, kind) in enumerate(reads)]).collect()
+    assert tuple(got[0]) == (5, None, 7, 1.5, "5", True, 12, None, None, None)
+    assert tuple(got[1]) == (None,) * len(reads)
+
+
 def test_every_message_kind_parses(spark):
     samples = {
         schemas.ECG: ('{"ecg_data":{"waveform":[0.1,0.2],"lead":"Lead_II"}}', "ecg_data.waveform"),
