@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..dimensions import CODECS, TIERS
+from ..session import run_dir
 
 
 def write_batch(df: DataFrame, base: str, query_id: str, batch_id: int) -> None:
@@ -29,6 +30,13 @@ def read_batches(spark: SparkSession, base: str, schema: str | None = None) -> D
     return reader.schema(full).parquet(base)
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written once below the shared folder and read from there, so that it is the same wherever it is used."""
+    path = run_dir(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def csv_report(report: DataFrame, path: str, files: int = 1) -> None:
     """A report of a few aggregated rows as one CSV with a header. Not for data-sized results."""
     report.coalesce(files).write.mode("overwrite").csv(path, header=True)
