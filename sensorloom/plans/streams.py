@@ -8,13 +8,15 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.errors import StreamingQueryException
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from .. import dimensions, schemas
 from ..functions import condition
 from ..operators import aggregates, batches, messages
 from ..session import prepare, run_dir
-from ..sinks.files import read_batches
+from ..sinks.files import read_batches, write_batch
 from ..sinks.topics import SinkConfig, stream_records
 from ..sources import views
 from ..sources.topics import SourceConfig, stream_files, stream_topics
@@ -72,6 +74,7 @@ def replay(spark, delivered):
 
 
 def _run(writer, name, base):
+    """Read all there is; on a further call with the same folder the query goes on where it ended."""
     return lifecycle.run(writer, f"{name}-{uuid.uuid4().hex[:8]}", f"{base}/checkpoint")
 
 
@@ -161,6 +164,23 @@ def stream_restart(spark, folder):
     return neutral(_window_table(spark, base, changes, "restart").drop("unique_sensors"))
 
 
+@query("stream_compacted_windows", _STREAM_WINDOW_SQL, views=("readings",))
+def stream_compacted_windows(spark, folder):
+    """The table of newest windows read through two compactions, between which and after which the stream goes on."""
+    base = run_dir(spark, "compacted")
+    parts = slices(spark, folder)
+    files, log = files_of(parts), None
+    for k, part in enumerate(parts):
+        append(part, f"{base}/in", files)
+        changes = _windowed(replay(spark, (f"{base}/in", files)), "1 hour")
+        _run(windows.changelog(changes, f"{base}/out", "compacted"), "compacted", base)
+        log = windows.CompactedLog(spark, f"{base}/out", WINDOW_KEYS, "compacted", changes.schema.toDDL())
+        if k in (1, 2):
+            log.compact()
+            log.expire(keep=1)
+    return neutral(log.current().drop("unique_sensors"))
+
+
 @query(
     "stream_two_sinks",
     """SELECT sensor_type, city, count(*) AS raw_rows, CAST(count(*) AS BIGINT) AS counted FROM readings GROUP BY ALL""",
@@ -382,19 +402,26 @@ def stream_log_read(spark, folder):
     return neutral(spark.read.schema(rows.schema).parquet(f"{base}/out"))
 
 
+_SPANS_SQL = """spans AS (
+  SELECT span, count(*) AS n FROM (
+    SELECT coalesce(least({parts} - 1, CAST(floor((epoch_us(ts) - low) / greatest(1, round((high - low) / {parts}))) AS BIGINT)), 0) AS span
+    FROM events, (SELECT epoch_us(min(ts)) AS low, epoch_us(max(ts)) AS high FROM events) AS ends)
+  GROUP BY span)"""
+
+
 def _logged(spark, folder, name, parts):
     """The batch log of a replay in ``parts`` deliveries."""
     base = run_dir(spark, name)
-    path = deliver(spark, folder, base, parts)
+    delivered = deliver(spark, folder, base, parts)
     with batch_log.logged(spark, f"{base}/log"):
-        rows = replay(spark, path).select("event_id", "ts")
+        rows = replay(spark, delivered).select("event_id", "ts")
         done = _run(rows.writeStream.format("noop").outputMode("append"), name, base)
     return batch_log.progress_table(spark, f"{base}/log", str(done.id))
 
 
 @query(
     "stream_batch_log",
-    "SELECT CAST(count(*) AS BIGINT) AS message_count, CAST(12 AS BIGINT) AS batches FROM events",
+    f"WITH {_SPANS_SQL.format(parts=12)} SELECT CAST(sum(n) AS BIGINT) AS message_count, count(*) AS batches FROM spans",
 )
 def stream_batch_log(spark, folder):
     """Rows and batches that the written log accounts for, over a replay of the whole table."""
@@ -402,14 +429,52 @@ def stream_batch_log(spark, folder):
     return log.agg(F.sum("message_count").alias("message_count"), F.count(F.lit(1)).alias("batches"))
 
 
+def _measured(spark, folder, name, parts, fail_at=()):
+    """The records of a replay that fails behind the write of some batches and is started again each time."""
+    base, failing = run_dir(spark, name), list(fail_at)
+    delivered = deliver(spark, folder, base, parts)
+
+    def write(batch, batch_id):
+        write_batch(batch.select("event_id", "ts"), f"{base}/out", name, batch_id)
+        if batch_id in failing:
+            failing.remove(batch_id)
+            raise RuntimeError("stopped between the rows and their record")
+
+    handle = batch_log.measured(write, f"{base}/log", name, last_ts=F.max("ts"))
+    while True:
+        try:
+            _run(lifecycle.each_batch(replay(spark, delivered), handle), name, base)
+            break
+        except StreamingQueryException:
+            if len(failing) == len(fail_at):
+                raise
+            fail_at = list(failing)
+    return batch_log.measured_table(spark, f"{base}/log", name, "last_ts timestamp"), read_batches(spark, f"{base}/out", "event_id bigint, ts timestamp")
+
+
+@query(
+    "stream_measured_batches",
+    f"""WITH {_SPANS_SQL.format(parts=PARTS)}
+SELECT row_number() OVER (ORDER BY span) AS batch, n AS message_count, n AS written FROM spans""",
+)
+def stream_measured_batches(spark, folder):
+    """Rows by the record of every batch, and rows written, though the replay broke off twice behind a write."""
+    log, rows = _measured(spark, folder, "measured", PARTS, fail_at=(0, 2))
+    written = rows.groupBy("batch_id").agg(F.count(F.lit(1)).alias("written"))
+    number = F.row_number().over(Window.partitionBy("query_id").orderBy("batch_id")).cast("bigint")
+    return log.join(written, "batch_id", "full").select(number.alias("batch"), "message_count", "written")
+
+
 @query(
     "stream_episodes",
-    """SELECT CAST(e AS BIGINT) AS episode, CAST(2 AS BIGINT) AS steps, 2.0E0 AS total_cost,
-              (SELECT CAST(count(*) AS BIGINT) FROM events) AS total_messages FROM range(1, 4) r(e)""",
+    f"""WITH {_SPANS_SQL.format(parts=6)}
+SELECT CAST(e AS BIGINT) AS episode, CAST(2 AS BIGINT) AS steps, sum(1.0E0) AS total_cost,
+       (SELECT CAST(sum(n) AS BIGINT) FROM spans) AS total_messages
+FROM (SELECT (row_number() OVER (ORDER BY span) - 1) // 2 + 1 AS e FROM spans) GROUP BY e HAVING count(*) = 2""",
 )
 def stream_episodes(spark, folder):
-    """Six batches of a written log as episodes of two, and the messages they account for."""
-    log = batch_log.as_batches(_logged(spark, folder, "episodes", 6), executors=2)
+    """Batches as episodes of two, and the messages that they account for, from the records written with them."""
+    log = batch_log.as_batches(_measured(spark, folder, "episodes", 6)[0], executors=2)
     found = batches.episodes(log, ["query_id"], "batch_id", length=2)
     total = batches.cumulative(log, ["query_id"], "batch_id").groupBy("query_id").agg(
         F.max("total_messages").alias("total_messages")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -30,6 +32,47 @@ def read_batches(spark: SparkSession, base: str, schema: str | None = None) -> D
     return reader.schema(full).parquet(base)
 
 
+def _at(spark: SparkSession, path: str):
+    """The path, and the file system that it is on."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where, where.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def names_below(spark: SparkSession, folder: str) -> list[str]:
+    """What a folder holds, sorted; nothing if it is not there."""
+    where, system = _at(spark, folder)
+    return sorted(s.getPath().getName() for s in system.listStatus(where)) if system.exists(where) else []
+
+
+def read_text(spark: SparkSession, path: str) -> str:
+    where, system = _at(spark, path)
+    stream = system.open(where)
+    try:
+        return bytes(stream.readAllBytes()).decode()
+    finally:
+        stream.close()
+
+
+def write_text_once(spark: SparkSession, path: str, text: str) -> bool:
+    """Write a small file that appears whole, by a rename; False if the path is taken."""
+    where, system = _at(spark, path)
+    draft, _ = _at(spark, f"{where.getParent()}/.{where.getName()}-{uuid.uuid4().hex}")
+    stream = system.create(draft)
+    try:
+        stream.write(bytearray(text.encode()))
+    finally:
+        stream.close()
+    if not system.exists(where) and system.rename(draft, where):
+        return True
+    system.delete(draft, False)
+    return False
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    where, system = _at(spark, path)
+    system.delete(where, True)
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """``df`` written once below the shared folder and read from there, so that it is the same wherever it is used."""
     path = run_dir(df.sparkSession, name)

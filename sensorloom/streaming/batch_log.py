@@ -1,12 +1,18 @@
-"""Measured figures of every micro-batch, kept as a table."""
+"""Measured figures of every micro-batch, kept as a table.
+
+``measured`` writes them inside the batch, so a batch that is committed has its record whatever
+fails. ``BatchLog`` listens to the engine's reports, which tell of state and late rows as well, but come
+after the commit.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import time
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
-from datetime import datetime, timedelta
+from datetime import datetime, timedelta, timezone
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQueryListener
 
@@ -36,6 +42,41 @@ def progress_row(progress) -> tuple:
     )
 
 
+def measured(
+    write: Callable[[DataFrame, int], None], base: str, query_id: str, **figures: Column
+) -> Callable[[DataFrame, int], None]:
+    """A batch handler that writes by ``write`` and keeps the batch's figures below ``base``.
+
+    The rows are counted while they are written, not by another job. The record is written before the batch is
+    committed: after a failure or crash in between the batch comes again and replaces both what it wrote and its
+    record. ``figures`` are further aggregates of the rows, by name.
+    """
+
+    def handle(batch: DataFrame, batch_id: int) -> None:
+        began, seen = time.time(), Observation()
+        write(batch.observe(seen, F.count(F.lit(1)).alias("message_count"), *[c.alias(name) for name, c in figures.items()]), batch_id)
+        told = seen.get
+        elapsed = round(1000 * (time.time() - began))
+        rows = told["message_count"]
+        row = (rows, elapsed, rows / (elapsed / 1000.0) if elapsed > 0 else float(rows), datetime.now(timezone.utc).replace(tzinfo=None))
+        kinds = batch.agg(*[c.alias(name) for name, c in figures.items()]).schema if figures else []
+        frame = batch.sparkSession.createDataFrame([row], MEASURED.replace("timestamp", "timestamp_ntz")).withColumns(
+            {"finished_at": F.col("finished_at").cast("timestamp")} | {f.name: F.lit(told[f.name]).cast(f.dataType) for f in kinds}
+        )
+        write_batch(frame.coalesce(1), base, query_id, batch_id)
+
+    return handle
+
+
+MEASURED = "message_count bigint, elapsed_ms bigint, throughput double, finished_at timestamp"
+
+
+def measured_table(spark: SparkSession, base: str, query_id: str | None = None, figures: str = "") -> DataFrame:
+    """Every record that ``measured`` wrote below ``base``; ``figures`` is the schema of further ones."""
+    log = newest_batches(read_batches(spark, base, f"{MEASURED}, {figures}" if figures else MEASURED))
+    return log if query_id is None else log.filter(F.col("query_id") == query_id)
+
+
 def progress_table(spark: SparkSession, base: str, query_id: str | None = None) -> DataFrame:
     """Every batch that a ``BatchLog`` wrote below ``base``, of all queries or of one."""
     kept = ", ".join(c.strip() for c in BATCH_METRICS.split(",") if c.split()[0] not in ("query_id", "batch_id"))

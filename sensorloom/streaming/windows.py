@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
 from ..operators.aggregates import latest_per_key, windowed_sensors
-from ..sinks.files import read_batches, write_batch
+from ..sinks.files import names_below, read_batches, read_text, remove, write_batch, write_text_once
 from .lifecycle import each_batch
 
 
@@ -62,3 +64,71 @@ def compact(spark: SparkSession, base: str, keys: Sequence[str], query_id: str,
     if newest is not None:
         rows = latest_per_key(changes.filter(F.col("batch_id") <= newest), keys, "batch_id")
         write_batch(rows.drop("batch_id", "query_id"), to, query_id, newest)
+
+
+class CompactedLog:
+    """The changelog of one query with snapshots of it, told by a manifest of numbered versions.
+
+    A version names a snapshot folder and the last batch that is in it. Readers take the highest version,
+    its snapshot and newer batches only, so what they scan is bounded by the keys and the batches since. A new
+    version appears by one rename, and nothing that an older one names is touched before ``expire``: a
+    reader that is open meanwhile keeps reading the same rows. One compaction runs at a time.
+    """
+
+    def __init__(self, spark: SparkSession, base: str, keys: Sequence[str], query_id: str, schema: str):
+        self.spark, self.base, self.keys, self.query_id, self.schema = spark, base, list(keys), query_id, schema
+        self.versions = f"{base}/_manifest/{query_id}"
+
+    def version(self) -> tuple[int, int, str | None]:
+        """(number, last batch, snapshot folder) of the newest version; before the first one (0, -1, None)."""
+        found = [n for n in names_below(self.spark, self.versions) if n.isdigit()]
+        if not found:
+            return 0, -1, None
+        told = json.loads(read_text(self.spark, f"{self.versions}/{max(found, key=int)}"))
+        return int(max(found, key=int)), told["upto"], told["snapshot"]
+
+    def _rows(self) -> DataFrame:
+        """The rows of the snapshot and of newer batches, each with its batch."""
+        _, upto, snapshot = self.version()
+        changes = read_batches(self.spark, self.base, self.schema)
+        newer = changes.filter((F.col("query_id") == self.query_id) & (F.col("batch_id") > upto)).drop("query_id")
+        if snapshot is None:
+            return newer
+        kept = self.spark.read.schema(f"{self.schema}, batch_id bigint").parquet(snapshot)
+        return kept.unionByName(newer)
+
+    def current(self) -> DataFrame:
+        """The newest version of every key."""
+        return latest_per_key(self._rows(), self.keys, "batch_id").drop("batch_id")
+
+    def compact(self) -> int:
+        """Write a snapshot of all batches that are complete and make it the next version; its number."""
+        number, upto, _ = self.version()
+        newest = upto
+        folder = f"{self.base}/query_id={self.query_id}"
+        for batch in sorted(int(n.split("=")[1]) for n in names_below(self.spark, folder) if n.startswith("batch_id=")):
+            if batch > upto and "_SUCCESS" not in names_below(self.spark, f"{folder}/batch_id={batch}"):
+                break  # it is still being written
+            newest = max(newest, batch)
+        if newest == upto:
+            return number
+        snapshot = f"{self.base}/_snapshots/{self.query_id}-{uuid.uuid4().hex}"
+        latest_per_key(self._rows().filter(F.col("batch_id") <= newest), self.keys, "batch_id").write.parquet(snapshot)
+        told = json.dumps({"upto": newest, "snapshot": snapshot})
+        if not write_text_once(self.spark, f"{self.versions}/{number + 1}", told):
+            raise RuntimeError(f"another compaction of {self.query_id} made version {number + 1}")
+        return number + 1
+
+    def expire(self, keep: int = 2) -> None:
+        """Remove versions older than the newest ``keep``, their snapshots, and the batches that the oldest one kept has in its snapshot."""
+        numbers = sorted(int(n) for n in names_below(self.spark, self.versions) if n.isdigit())
+        if len(numbers) <= keep:
+            return
+        oldest = json.loads(read_text(self.spark, f"{self.versions}/{numbers[-keep]}"))
+        for number in numbers[:-keep]:
+            remove(self.spark, json.loads(read_text(self.spark, f"{self.versions}/{number}"))["snapshot"])
+            remove(self.spark, f"{self.versions}/{number}")
+        folder = f"{self.base}/query_id={self.query_id}"
+        for name in names_below(self.spark, folder):
+            if name.startswith("batch_id=") and int(name.split("=")[1]) <= oldest["upto"]:
+                remove(self.spark, f"{folder}/{name}")
