@@ -8,12 +8,15 @@ query tree and a data tree is searched together: of a query node with centre a a
 a data node with centre b and radius s, no inner product exceeds a.b + r|b| + s|a| + rs, and the
 pair is left out when that lies below the worst k-th score of the group's queries so far. Ties are
 never left out. The scores found carry over from one data tree to the next in a task, and the best k
-of all tasks are merged by a window per query.
+of all tasks are merged by a window per query. Leaves are scored as one matrix product; what lies below the
+worst kept score of its query is dropped by comparison, and only the rest is ordered.
+
+Whole numbers below 2 ** 53 are exact in doubles. Pairs of trees whose inner products may exceed that are scored in
+integers, of any size; what a long can't hold counts as the largest or smallest long.
 """
 
 from __future__ import annotations
 
-import heapq
 import math
 import pickle
 from dataclasses import dataclass
@@ -28,10 +31,12 @@ from .stores import store
 
 DATA_BLOCK = 4096
 QUERY_BLOCK = 1024
-LEAF = 64
+LEAF = 512
 FANOUT = 32
-TASKS_PER_GROUP = 4
+# Data trees that a task goes through with a query tree.
+TREES_PER_TASK = 4
 EXACT = 2.0**53
+LONG = 2**63 - 1
 
 
 @dataclass
@@ -86,27 +91,44 @@ class Best:
     """The k best of each query so far: higher score first, then smaller id."""
 
     def __init__(self, queries: int, k: int):
-        self.k, self.heaps = k, [[] for _ in range(queries)]
-        self.worst = np.full(queries, -np.inf)
+        self.k = k
+        self.scores, self.ids = [np.zeros(0, dtype=np.int64)] * queries, [np.zeros(0, dtype=np.int64)] * queries
+        self.worst = np.full(queries, -LONG - 1, dtype=np.int64)
 
     def offer(self, row: int, scores: np.ndarray, ids: np.ndarray) -> None:
-        heap = self.heaps[row]
-        for s, i in zip(scores.tolist(), ids.tolist()):
-            if len(heap) < self.k:
-                heapq.heappush(heap, (s, -i))
-            elif (s, -i) > heap[0]:
-                heapq.heapreplace(heap, (s, -i))
-        if len(heap) == self.k:
-            self.worst[row] = heap[0][0]
+        scores = np.concatenate((self.scores[row], np.asarray(scores).astype(np.int64)))
+        ids = np.concatenate((self.ids[row], ids))
+        if len(scores) > 4 * self.k:  # all that ties with the k-th stays for the order by id
+            least = np.partition(scores, len(scores) - self.k)[len(scores) - self.k]
+            kept = scores >= least
+            scores, ids = scores[kept], ids[kept]
+        order = np.lexsort((ids, ~scores))[: self.k]
+        self.scores[row], self.ids[row] = scores[order], ids[order]
+        if len(order) == self.k:
+            self.worst[row] = self.scores[row][-1]
+
+    @property
+    def heaps(self) -> list[list[tuple[int, int]]]:
+        """(score, negative id) of each query's best."""
+        return [list(zip(s.tolist(), (-i).tolist())) for s, i in zip(self.scores, self.ids)]
+
+
+def scored(mine: np.ndarray, theirs: np.ndarray, exact: bool) -> np.ndarray:
+    """Inner products as longs; ``exact`` tells that doubles hold them."""
+    if exact:
+        return (mine @ theirs.T).astype(np.int64)
+    whole = [np.array([[int(x) for x in row] for row in part], dtype=object).reshape(part.shape) for part in (mine, theirs)]
+    return np.clip(whole[0] @ whole[1].T, -LONG - 1, LONG).astype(np.int64)
 
 
 def _bound(q: Node, d: Node) -> float:
     top = float(q.centre @ d.centre) + q.radius * d.norm + d.radius * q.norm + q.radius * d.radius
-    return top + 1e-9 * abs(top) + 1e-6
+    return top + 1e-9 * (q.norm + q.radius) * (d.norm + d.radius) + 1e-6
 
 
 def search(queries: Tree, data: Tree, best: Best) -> None:
     """Offer every data point that can be among the best of a query, never the query's own id."""
+    exact = math.prod(t.root.norm + t.root.radius for t in (queries, data)) < EXACT / 2
     stack = [(_bound(queries.root, data.root), queries.root, data.root)]
     while stack:
         top, q, d = stack.pop()
@@ -114,7 +136,7 @@ def search(queries: Tree, data: Tree, best: Best) -> None:
             continue
         if not q.children and not d.children:
             mine, theirs = queries.points[q.low : q.high], data.points[d.low : d.high]
-            scores, ids = mine @ theirs.T, data.ids[d.low : d.high]
+            scores, ids = scored(mine, theirs, exact), data.ids[d.low : d.high]
             good = (scores >= best.worst[q.low : q.high, None]) & (ids[None, :] != queries.ids[q.low : q.high, None])
             for row in np.flatnonzero(good.any(axis=1)):
                 best.offer(q.low + row, scores[row, good[row]], ids[good[row]])
@@ -179,25 +201,18 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_
     vector or id take no part. Shorter vectors count as if zeros followed. Ties go to the smaller id.
     A query's own row is told by its id, so rows repeating that id are left out with it, and
     further rows repeating a candidate's id each count. Fewer candidates than k are all
-    returned; without queries or rows the result is empty. Inner products must stay below
-    2 ** 53, beyond which doubles are not exact; larger vectors raise an error. ``is_query`` reads
-    the columns of ``vectors``.
+    returned; without queries or rows the result is empty. Of query rows that repeat an id the one whose
+    vector hashes lowest asks. Scores beyond a long count as its ends. ``is_query`` reads the columns of ``vectors``.
     """
     rows = store(
         vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).alias("vector"), is_query.alias("asks"))
         .where("vec_id is not null and vector is not null"),
         "vectors",
     )
-    total, asking, longest = rows.agg(
-        F.count(F.lit(1)),
-        F.count_if("asks"),
-        F.max(F.aggregate("vector", F.lit(0.0), lambda a, x: a + x * x)),
-    ).first()
-    if (longest or 0) >= EXACT:
-        raise ValueError("inner products of these vectors are too large to be exact")
+    total, asking = rows.agg(F.count(F.lit(1)), F.count_if("asks")).first()
     data = store(_trees(rows, data_block, total), "data_trees")
     blocks = max(1, math.ceil(total / data_block))
-    asked = rows.where("asks").dropDuplicates(["vec_id"])
+    asked = rows.where("asks").groupBy("vec_id").agg(F.min_by("vector", F.xxhash64("vector")).alias("vector"))
     queries = _trees(asked, query_block, asking).select(F.col("block").alias("group"), F.col("tree").alias("asked"))
     pairs = queries.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).join(data, "block")
 
@@ -205,8 +220,8 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_
         group, tree, best = None, None, None
 
         def found():
-            triples = [(int(tree.ids[r]), -i, int(s)) for r, heap in enumerate(best.heaps) for s, i in heap]
-            columns = [pa.array([t[c] for t in triples], pa.int64()) for c in range(3)]
+            asked_ids = np.repeat(tree.ids, [len(i) for i in best.ids])
+            columns = [pa.array(c) for c in (asked_ids, np.concatenate(best.ids), np.concatenate(best.scores))]
             return pa.RecordBatch.from_arrays(columns, ["query_id", "vec_id", "score"])
 
         for batch in batches:
@@ -224,7 +239,7 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_
             yield found()
 
     # A task keeps a query tree while it goes through some of the data trees.
-    tasks = pairs.repartition(F.col("group"), F.col("block") % TASKS_PER_GROUP).sortWithinPartitions("group")
+    tasks = pairs.repartition(F.col("group"), F.floor(F.col("block") / TREES_PER_TASK)).sortWithinPartitions("group")
     near = tasks.select("group", "asked", "tree").mapInArrow(searched, "query_id long, vec_id long, score long")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     ranked = near.withColumn("rank", F.row_number().over(order))

@@ -52,9 +52,32 @@ def test_repeated_rows_each_count_as_candidates(spark):
     assert got == [(0, 1, 1, 64 * 128), (0, 2, 1, 64 * 128), (0, 3, 2, 64 * 64)]
 
 
-def test_vectors_beyond_exact_numbers_are_refused(spark):
-    with pytest.raises(ValueError, match="too large"):
-        found(spark, [(0, [1e30]), (1, [1.0])])
+def test_large_vectors_are_scored_in_whole_numbers(spark):
+    big = [1.5e6, 3.25e6, 2.0**26]
+    rows = [(20 * i, [b + i, 0.5 * i, -b]) for i, b in enumerate(big)] + [(7 + i, [b, 1.0 + i / 64, b + 1]) for i, b in enumerate(big)] + [(41, [1.0, 2.0, 3.0])]
+    got = {tuple(r) for r in found(spark, rows, 5).collect()}
+    assert got == slow(rows, 5) and max(abs(g[3]) for g in got) > 2**53
+
+
+def test_scores_beyond_a_long_count_as_its_ends(spark):
+    got = sorted(tuple(r) for r in found(spark, [(0, [1e30]), (1, [1.0]), (2, [1e30]), (3, [-1e30])], 3).collect())
+    assert got == [(0, 1, 1, 2**63 - 1), (0, 2, 2, 2**63 - 1), (0, 3, 3, -(2**63))]
+
+
+def test_pairs_of_far_clusters_are_not_scored(monkeypatch):
+    """Counted on clustered vectors: most pairs of leaves are left out by their bounds."""
+    r, made = np.random.default_rng(5), []
+    centres = 100 * r.normal(size=(40, 8))
+    points = np.floor(64 * (centres[r.integers(0, 40, 8000)] + r.normal(size=(8000, 8))))
+    whole = ct.scored
+    monkeypatch.setattr(ct, "scored", lambda mine, theirs, exact: made.append(len(mine) * len(theirs)) or whole(mine, theirs, exact))
+    data, queries = ct.build(np.arange(8000), points), ct.build(np.arange(9000, 9100), points[:100], leaf=8)
+    best = ct.Best(100, 10)
+    ct.search(queries, data, best)
+    assert sum(made) < 0.5 * 100 * 8000
+    for row in range(100):
+        scores = (data.points @ queries.points[row]).astype(int)
+        assert best.scores[row].tolist() == sorted(scores.tolist(), reverse=True)[:10]
 
 
 def test_tree_covers_its_points_with_separated_centres():
