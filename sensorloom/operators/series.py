@@ -220,6 +220,30 @@ def idle_runs(
     )
 
 
+def idle_timeouts(
+    df: DataFrame, keys: Sequence[str], ts: str, x: str, until: Column, step: str = "1 minute", timeout: int = 60, below: float = 20.0
+) -> DataFrame:
+    """(keys, run_start, nth, fired_at): every ``timeout`` steps that a key stays idle, up to the moment ``until``.
+
+    A step is idle if its sample is below the level or if there is none. Only busy samples and
+    the first one bound a run, so the window sees these and no step is made up.
+    """
+    keys, width = list(keys), F.expr(f"INTERVAL {step}")
+    span = F.expr(f"unix_micros(timestamp_seconds(0) + INTERVAL {step}) * {timeout}")
+    busy = ~F.coalesce(F.col(x) < below, F.lit(False))
+    dated = df.filter(F.col(ts).isNotNull() & (F.col(ts) <= until)).withColumn(ts, F.col(ts).cast("timestamp"))
+    bounds = dated.filter(busy).select(*keys, (F.col(ts) + width).alias("run_start"), F.col(ts).alias("_end"))
+    first = dated.groupBy(*keys).agg(F.min(ts).alias("run_start")).withColumn("_end", F.lit(None).cast("timestamp"))
+    runs = bounds.unionByName(first)
+    of_key = Window.partitionBy(*keys).orderBy("run_start", F.col("_end").isNotNull())
+    end = F.coalesce(F.lead("_end").over(of_key), until.cast("timestamp"))
+    times = F.floor((F.unix_micros(end) - F.unix_micros("run_start")) / span)
+    counted = runs.withColumn("_times", times).filter("_times > 0")
+    fired = counted.withColumn("nth", F.explode(F.sequence(F.lit(1).cast("bigint"), "_times")))
+    at = F.timestamp_micros(F.unix_micros("run_start") + F.col("nth") * span)
+    return fired.select(*keys, "run_start", "nth", at.alias("fired_at"))
+
+
 def ma_crossover(
     df: DataFrame, keys: Sequence[str], ts: str, x: str, short_s: int = 5, long_s: int = 60, factor: float = 1.5
 ) -> DataFrame:

@@ -14,13 +14,13 @@ from pyspark.sql import functions as F
 
 from .. import dimensions, schemas
 from ..functions import condition
-from ..operators import aggregates, batches, messages
+from ..operators import aggregates, batches, messages, series
 from ..session import prepare, run_dir
-from ..sinks.files import read_batches, write_batch
+from ..sinks.files import read_batches, stored, write_batch
 from ..sinks.topics import SinkConfig, stream_records
 from ..sources import views
 from ..sources.topics import SourceConfig, stream_files, stream_topics
-from ..streaming import batch_log, joins, lifecycle, routing, stateful, windows
+from ..streaming import batch_log, idle, joins, lifecycle, routing, stateful, windows
 from .messages import _IDENTITY, _TARGET
 from .readings import _WINDOW_SQL, _labels_sql, raw_columns
 from .registry import ORACLE, query
@@ -242,6 +242,52 @@ def stream_features(spark, folder):
     return _features(spark, stream, base)
 
 
+_IDLE_SQL = """
+WITH_RATES runs AS (
+  SELECT event_type, bucket + INTERVAL 1 HOUR AS run_start, bucket AS bound FROM rate_hourly WHERE NOT workload_rate < 20
+  UNION ALL SELECT event_type, min(bucket), NULL FROM rate_hourly GROUP BY event_type
+), ended AS (
+  SELECT event_type, run_start,
+         coalesce(lead(bound) OVER (PARTITION BY event_type ORDER BY run_start, bound NULLS FIRST),
+                  (SELECT max(bucket) FROM rate_hourly) + INTERVAL 3 DAY) AS run_end FROM runs
+), counted AS (
+  SELECT *, CAST(floor((epoch_us(run_end) - epoch_us(run_start)) / 7.2e9) AS BIGINT) AS times FROM ended
+)
+SELECT event_type, run_start, nth, run_start + INTERVAL 2 HOUR * nth AS fired_at
+FROM (SELECT event_type, run_start, unnest(range(1, times + 1)) AS nth FROM counted WHERE times > 0) f"""
+
+
+@query("stream_idle_timeouts", _IDLE_SQL.replace("WITH_RATES", "+"), views=("rate_hourly",))
+def stream_idle_timeouts(spark, folder):
+    """Every two idle hours of each type fire, also in the three days behind the last row, by timers alone."""
+    base = run_dir(spark, "idle")
+    hourly = views.rate_hourly(prepare(spark), folder).filter("bucket IS NOT NULL").select(
+        "event_type", F.col("bucket").cast("timestamp").alias("bucket"), "workload_rate"
+    )
+    rates = stored(hourly, "idle_rates")
+    half = rates.agg(F.timestamp_micros(((F.unix_micros(F.min("bucket")) + F.unix_micros(F.max("bucket"))) / 2).cast("bigint"))).first()[0]
+    for part in (rates.filter(F.col("bucket") <= half), rates.filter(F.col("bucket") > half)):
+        append(part, f"{base}/rates", 1)
+    # A row of no type half an hour further on: what is due by then fires.
+    ahead = rates.agg(F.max("bucket").alias("last")).filter("last IS NOT NULL")
+    append(ahead.selectExpr("CAST(NULL AS STRING) AS event_type", "last + INTERVAL 3 DAYS 90 MINUTES AS bucket", "0D AS workload_rate"), f"{base}/rates", 1)
+    stream = stream_files(spark, f"{base}/rates", "event_type string, bucket timestamp, workload_rate double", files_per_trigger=1)
+    fired = idle.idle_timeouts(stream, "event_type", "bucket", "workload_rate", "1 hour", timeout=2, delay="1 hour")
+    with lifecycle.rocksdb(spark):
+        writer = fired.writeStream.format("parquet").option("path", f"{base}/out").outputMode("append")
+        _run(writer, "idle", base)
+    return neutral(spark.read.schema(fired.schema).parquet(f"{base}/out").filter("event_type IS NOT NULL"))
+
+
+@query("idle_timeouts", _IDLE_SQL.replace("WITH_RATES", "+"), views=("rate_hourly",))
+def idle_timeouts(spark, folder):
+    """The same from the table, up to three days behind its last hour."""
+    rates = stored(views.rate_hourly(prepare(spark), folder).filter("bucket IS NOT NULL"), "idle_rates")
+    last = rates.agg(F.max("bucket")).first()[0]
+    until = F.lit(last).cast("timestamp") + F.expr("INTERVAL 3 DAYS")
+    return neutral(series.idle_timeouts(rates, ["event_type"], "bucket", "workload_rate", until, "1 hour", timeout=2))
+
+
 @query(
     "stream_feature_chain",
     f"""SELECT * FROM ({_FEATURES_SQL}) f WHERE bucket + INTERVAL 1 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 1 HOUR""",
