@@ -20,7 +20,7 @@ from ..sinks.files import read_batches, stored, write_batch
 from ..sinks.topics import SinkConfig, stream_records
 from ..sources import views
 from ..sources.topics import SourceConfig, stream_files, stream_topics
-from ..streaming import batch_log, idle, joins, lifecycle, routing, stateful, windows
+from ..streaming import batch_log, idle, joins, lifecycle, routing, state, stateful, windows
 from .messages import _IDENTITY, _TARGET
 from .readings import _WINDOW_SQL, _labels_sql, raw_columns
 from .registry import ORACLE, query
@@ -164,6 +164,26 @@ def stream_restart(spark, folder):
     return neutral(_window_table(spark, base, changes, "restart").drop("unique_sensors"))
 
 
+@query(
+    "stream_state_totals",
+    """SELECT event_type, count(*) AS messages, round(sum(value), 6) AS value_sum, max(event_id) AS last_id FROM events GROUP BY event_type""",
+)
+def stream_state_totals(spark, folder):
+    """Totals per type read from the state of a query that was stopped half-way and started again; it has no other output."""
+    base = run_dir(spark, "state")
+    parts = slices(spark, folder)
+    files = files_of(parts)
+    for half in (parts[: PARTS // 2], parts[PARTS // 2 :]):
+        for part in half:
+            append(part, f"{base}/in", files)
+        totals = state.running_totals(
+            replay(spark, (f"{base}/in", files)), ["event_type"], messages=F.count(F.lit(1)), value_sum=F.sum("value"), last_id=F.max("event_id")
+        )
+        _run(totals.writeStream.format("noop").outputMode("update"), "state", base)
+    held = state.state_table(spark, f"{base}/checkpoint")
+    return neutral(held.toDF("event_type", "messages", "value_sum", "last_id"))
+
+
 @query("stream_compacted_windows", _STREAM_WINDOW_SQL, views=("readings",))
 def stream_compacted_windows(spark, folder):
     """The table of newest windows read through two compactions, between which and after which the stream goes on."""
