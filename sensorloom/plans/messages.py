@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from .. import dimensions, schemas
 from ..functions import condition, message
 from ..operators import lookups, messages
-from ..sources import views
+from ..sources import ranges, views
 from ..sources.tables import table
 from .registry import query
 from .shape import neutral
@@ -60,6 +60,32 @@ def bounded_read(spark, folder):
     return _decoded(spark, folder).select("offset", "topic", "key", "value").orderBy("offset").limit(100)
 
 
+# Two topics, each partition from its own offset to its own end.
+_RANGES = [
+    ranges.OffsetRange(topic, p, 40 * p, 700 + 90 * p) for topic in ("iot/smartcity/sensors", "iot/healthcare/vitals") for p in range(8)
+]
+_IN_RANGES = """topic IN ('iot/smartcity/sensors', 'iot/healthcare/vitals') AND "offset" >= 40 * partition AND "offset" < 700 + 90 * partition"""
+
+
+@query("bounded_read_ranges", f'SELECT "offset", topic, partition, key FROM envelope WHERE {_IN_RANGES}', views=("envelope",))
+def bounded_read_ranges(spark, folder):
+    return _decoded(spark, folder).filter(ranges.within(_RANGES)).select("offset", "topic", "partition", "key")
+
+
+@query(
+    "range_losses",
+    f"""SELECT r.topic, r.partition, r.last - r.first AS expected, count(DISTINCT e."offset") AS found, r.last - r.first - count(DISTINCT e."offset") AS missing
+        FROM (SELECT t.topic, CAST(p AS INT) AS partition, 40 * p AS first, 700 + 90 * p AS last
+              FROM (VALUES ('iot/smartcity/sensors'), ('iot/healthcare/vitals')) t(topic), range(8) r(p)) r
+        LEFT JOIN (SELECT * FROM envelope WHERE {_IN_RANGES}) e ON e.topic = r.topic AND e.partition = r.partition
+        GROUP BY r.topic, r.partition, r.first, r.last""",
+    views=("envelope",),
+)
+def range_losses(spark, folder):
+    """How many offsets of each range the log holds; its topics share one count, so most are missing."""
+    return ranges.losses(_decoded(spark, folder), _RANGES)
+
+
 @query(
     "json_parse",
     """SELECT "offset", j ->> '$.sensor_id' AS sensor_id, j ->> '$.sensor_type' AS sensor_type, j ->> '$.city' AS city,

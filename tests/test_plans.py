@@ -42,6 +42,7 @@ def test_scan_reads_only_what_is_used(spark, folder, name, columns):
     [
         ("congestion_level", "In(event_type, [click,signup])"),
         ("temperature_midway", "LessThanOrEqual(ts,2024-01-15T12:00)"),
+        ("bounded_read_ranges", "GreaterThanOrEqual(event_id,0), LessThan(event_id,1330)"),
     ],
 )
 def test_filters_reach_the_scan(spark, folder, name, pushed):
