@@ -7,9 +7,10 @@ returned rows are read from there, so the caller removes the folder when it is d
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
 from pyspark.errors import StreamingQueryException
-from pyspark.sql import Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import dimensions, schemas
@@ -49,7 +50,8 @@ def slices(spark, folder, parts=PARTS):
 
 def files_of(parts):
     """In how many files every delivery can be written: as many as there are cores, if all have the rows."""
-    counts = [n for n in (part.count() for part in parts) if n]
+    counted = reduce(DataFrame.unionAll, [part.agg(F.count(F.lit(1)).alias("n")) for part in parts])
+    counts = [r.n for r in counted.collect() if r.n]
     return min([parts[0].sparkSession.sparkContext.defaultParallelism, *counts])
 
 
