@@ -117,17 +117,11 @@ def histogram(df: DataFrame, keys: Sequence[str], x: str, bins: int = 10) -> Dat
         .groupBy(*keys, "_lo", "_hi", slot.cast("int").alias("bin"))
         .agg(F.count(F.lit(1)).alias("rows"))
     )
-    every = limits.select(
-        *[F.col(f"_{k}").alias(k) for k in keys],
-        "_lo",
-        "_hi",
-        F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin"),
-        F.lit(0).cast("bigint").alias("rows"),
-    )
+    # A key has at most ``bins`` counts; they meet in one row, which is spread over all bins.
+    counts = filled.groupBy(*keys, "_lo", "_hi").agg(F.map_from_entries(F.collect_list(F.struct("bin", "rows"))).alias("_counts"))
     return (
-        filled.unionByName(every)
-        .groupBy(*keys, "_lo", "_hi", "bin")
-        .agg(F.sum("rows").alias("rows"))
+        counts.withColumn("bin", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))))
+        .withColumn("rows", F.coalesce(F.try_element_at("_counts", F.col("bin")), F.lit(0).cast("bigint")))
         .select(
             *keys,
             "bin",

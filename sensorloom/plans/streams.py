@@ -126,6 +126,21 @@ def stream_raw_view(spark, folder):
     return neutral(spark.read.schema(view.schema).parquet(f"{base}/out"))
 
 
+@query("stream_interval_trigger", ORACLE["raw_view"])
+def stream_interval_trigger(spark, folder):
+    """The raw view by a query that runs every second until it is stopped, having read all there is."""
+    base = run_dir(spark, "interval")
+    rows = replay(spark, deliver(spark, folder, base))
+    view = raw_columns(aggregates.with_occupancy(views.as_readings(rows)))
+    writer = view.writeStream.format("parquet").option("path", f"{base}/out").outputMode("append")
+    running = lifecycle.start(writer, f"interval-{uuid.uuid4().hex[:8]}", f"{base}/checkpoint", every="1 second")
+    try:
+        running.processAllAvailable()
+    finally:
+        running.stop()
+    return neutral(spark.read.schema(view.schema).parquet(f"{base}/out"))
+
+
 @query(
     "stream_append_windows",
     f"""SELECT * FROM ({_WINDOW_SQL.format(width="30 seconds").replace("count(DISTINCT sensor_id) AS unique_sensors,", "")}) w

@@ -71,7 +71,7 @@ def test_asof_join_shuffles_left_rows_once(spark, folder):
     assert len(wide) == 2  # the rows themselves, and the distinct parts
 
 
-@pytest.mark.parametrize("name, scans", [("domain_union", 1), ("latency_percentiles", 2), ("latency_percentiles_tied", 2)])
+@pytest.mark.parametrize("name, scans", [("domain_union", 1), ("latency_percentiles", 2), ("latency_percentiles_tied", 2), ("value_histogram", 2)])
 def test_scans(spark, folder, name, scans):
     assert plan(spark, folder, name).count("FileScan") == scans
 
