@@ -78,3 +78,45 @@ def test_grades_without_spread_become_one(spark):
     model = toxicity.train(docs, spark.createDataFrame([(r[0], r[2]) for r in rows], "doc_id long, toxic int"))
     assert len(model.thresholds) == 1
     assert {r["toxic"] for r in toxicity.severity(docs, model).where("doc_id % 2 = 1").collect()} == {True}
+
+
+def plain_probabilities(model, text):
+    """From the definition: the sum of the weights of the text's distinct features, each word taken by itself."""
+    words = "".join(c if c.isalnum() or c == "_" else " " for c in (text or "").lower()).split()
+    found = {int(h) for w in words for h in toxicity.text_features([w])[0]}
+    weight = dict(zip(map(int, model.keys), model.weights))
+    score = sum(weight[h] for h in found if h in weight)
+    below = [0.0, *(1 / (1 + np.exp(-(t - score))) for t in model.thresholds), 1.0]
+    return [b - a for a, b in zip(below, below[1:])]
+
+
+def test_severity_equals_its_plain_version(spark, trouble):
+    rows = corpus(4)
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    model = toxicity.train(docs, spark.createDataFrame([(r[0], r[2]) for r in rows], "doc_id long, toxic int"))
+    assert len(model.keys) and len(model.thresholds) == 2 and model.thresholds[0] < model.thresholds[1]
+    for df in (docs, trouble):
+        texts = [r["text"] for r in df.collect()]
+        got = toxicity.severity(df.coalesce(1), model).collect()
+        for text, row in zip(texts, got):
+            p = plain_probabilities(model, text)
+            assert abs(row["severity"] - sum(j * x for j, x in enumerate(p))) < 1e-9
+            assert row["grade"] == int(np.argmax(p)) and row["toxic"] == (p[0] <= 0.5)
+
+
+def test_marks_and_grades_equal_their_plain_version():
+    r = random.Random(9)
+    texts = [({r.randrange(12) for _ in range(r.randint(0, 6))} | ({12, 13} if k % 3 == 0 and r.random() < 0.7 else {12} if k % 3 == 0 else set()), k % 3 == 0) for k in range(90)]
+    toxic = np.array([t for _, t in texts])
+    owner = np.array([k for k, (f, _) in enumerate(texts) for _ in f])
+    feature = np.array([x for f, _ in texts for x in f])
+    marked = toxicity.marks(toxic, owner, feature, 14)
+    bad, good = sum(t for _, t in texts), sum(not t for _, t in texts)
+    for x in range(14):
+        a, b = (sum(x in f for f, t in texts if t == kind) + 0.5 for kind in (True, False))
+        assert marked[x] == (a / (bad + 1) >= 8 * b / (good + 1))
+    assert marked[12] and marked[13]
+    held = [sum(marked[x] for x in f) for f, _ in texts]
+    middle = float(np.median([h for h, (_, t) in zip(held, texts) if t]))
+    want = [0 if not t else 2 if h > middle else 1 for h, (_, t) in zip(held, texts)]
+    assert toxicity.graded(toxic, marked, owner, feature).tolist() == want
