@@ -48,31 +48,33 @@ def velocity(df: DataFrame, keys: Sequence[str], ts: str, x: str) -> DataFrame:
     A step needs time to have passed; on equal times the newest velocity persists.
     """
     w, upto = in_order(keys, ts), so_far(keys, ts)
-    at = timeparts.micros(F.col(ts))
-    seconds = timeparts.seconds_between(at, F.lag(at).over(w))
+    seconds = timeparts.seconds_between(timeparts.micros(F.col(ts)), timeparts.micros(F.lag(ts).over(w)))
     change = F.col(x) - F.lag(x).over(w)
     before = in_order(keys, ts).rowsBetween(Window.unboundedPreceding, -1)
+    of_step = in_order(keys, "step_no").rangeBetween(Window.currentRow, Window.currentRow)
     return (
         df.withColumns({"sample_no": F.row_number().over(w), "step": F.when(seconds > 0, change / seconds)})
         .withColumns(
             {
                 "step_no": F.count("step").over(upto),
+                "velocity": F.coalesce(F.last("step", ignorenulls=True).over(upto), F.lit(0.0)),
                 "_turn": F.when(
                     F.col("step").isNotNull(), F.col("step") - F.last("step", ignorenulls=True).over(before)
                 ),
             }
         )
-        .withColumns(
-            {
-                "velocity": F.coalesce(F.last("step", ignorenulls=True).over(upto), F.lit(0.0)),
-                "acceleration": F.coalesce(F.last("_turn", ignorenulls=True).over(upto), F.lit(0.0)),
-                "_rise": (F.col("_turn") > 0).cast("int"),
-            }
-        )
-        .drop("_turn")
+        .withColumn("_rise", (F.col("_turn") > 0).cast("int"))
+        .withColumn("acceleration", F.coalesce(F.max("_turn").over(of_step), F.lit(0.0)))
     )
 
 
+def rising(moves: DataFrame, keys: Sequence[str], span: int = TREND_SPAN) -> DataFrame:
+    """Adds ``rising_share`` to the output of ``velocity``: rising steps among the last ``span`` velocities."""
+    recent = in_order(keys, "step_no").rangeBetween(-(span - 2), 0)
+    rises = F.coalesce(F.sum("_rise").over(recent), F.lit(0))
+    return moves.withColumn("rising_share", rises / F.nullif(F.least(F.col("step_no"), F.lit(span)) - 1, F.lit(0)))
+
+
 def rolling(df: DataFrame, keys: Sequence[str], ts: str, x: str, rows: int = HISTORY) -> DataFrame:
     """Adds mean and population deviation of the last ``rows`` samples."""
     w = last_rows(keys, ts, rows)
@@ -82,7 +84,6 @@ def rolling(df: DataFrame, keys: Sequence[str], ts: str, x: str, rows: int = HIS
 def threshold(
     moves: DataFrame,
     keys: Sequence[str],
-    ts: str,
     percentile: float = 0.9,
     history: int = HISTORY,
     every: int = REFRESH_EVERY,
@@ -91,18 +92,33 @@ def threshold(
 
     The threshold is a percentile of the newest ``history`` velocities. It is taken when
     the fifth velocity arrives and again at every ``every``-th sample, and holds in
-    between. The frame only gathers; sorting and interpolation run on the refresh rows.
+    between. Blocks of ``every`` samples begin with such a sample, so a block's rows share one
+    threshold, and it is the blocks that look back, not the rows.
     """
-    first = F.col("step").isNotNull() & (F.col("step_no") == MIN_SAMPLES)
-    due = (F.col("step_no") >= MIN_SAMPLES) & (first | (F.col("sample_no") % every == 0))
-    newest = Window.partitionBy(*keys).orderBy("step_no").rangeBetween(-(history - 1), 0)
-    level = F.when(due, sorted_percentile(F.sort_array("_recent"), percentile))
+    step_no, is_step = F.col("step_no"), F.col("step").isNotNull()
+    others = [c for c in moves.columns if c not in keys]
+    blocks = moves.groupBy(*keys, F.floor(F.col("sample_no") / every).alias("_block")).agg(
+        F.collect_list(F.struct(*others)).alias("_rows"),
+        F.collect_list(F.when(is_step, F.struct("step_no", "step"))).alias("_steps"),
+        F.min("step_no").alias("_first"),
+        F.max("step_no").alias("_last"),
+        F.min(F.when(is_step & (step_no == MIN_SAMPLES), F.col("sample_no"))).alias("_warm_at"),
+    )
+    # Up to which step the block's threshold looks: its first row's, or the fifth if that comes within the block.
+    begins_due = F.col("_first") >= MIN_SAMPLES
+    upto = F.when(begins_due, F.col("_first")).when(F.col("_warm_at").isNotNull(), MIN_SAMPLES)
+    near = in_order(keys, "_last").rangeBetween(-(history + every), 0)
+    recent = F.flatten(F.collect_list(F.when(F.size("_steps") > 0, F.col("_steps"))).over(near))
+    newest = F.filter("_recent", lambda s: s["step_no"].between(F.col("_upto") - history + 1, F.col("_upto")))
+    ordered = F.sort_array(F.transform(newest, lambda s: s["step"]))
+    # An array of one, so that the list is sorted once.
+    level = F.transform(F.array(ordered), lambda v: sorted_percentile(v, percentile))[0]
+    holds = begins_due | (F.col("sample_no") >= F.col("_warm_at"))
     return (
-        moves.withColumn("_recent", F.collect_list("step").over(newest))
-        .withColumn("_level", level)
-        .drop("_recent")
-        .withColumn("burst_threshold", F.last("_level", ignorenulls=True).over(so_far(keys, ts)))
-        .drop("_level")
+        blocks.withColumns({"_recent": recent, "_upto": upto})
+        .withColumn("_level", F.when(F.col("_upto").isNotNull(), level))
+        .select(*keys, "_first", "_warm_at", "_level", F.inline("_rows"))
+        .select(*moves.columns, F.when(holds, F.col("_level")).alias("burst_threshold"))
     )
 
 
@@ -115,18 +131,14 @@ def sorted_percentile(values: Column, p: float) -> Column:
     return below + (above - below) * (at - low)
 
 
-def burst_probability(moves: DataFrame, keys: Sequence[str], span: int = TREND_SPAN) -> DataFrame:
-    """Adds ``burst_probability`` to the output of ``threshold``.
+def burst_probability(moves: DataFrame) -> DataFrame:
+    """Adds ``burst_probability`` to the output of ``rising`` and ``threshold``.
 
-    A logistic of velocity over threshold, blended with the share of rising steps among
-    the last ``span`` velocities.
+    A logistic of velocity over threshold, blended with the share of rising steps.
     """
-    recent = Window.partitionBy(*keys).orderBy("step_no").rangeBetween(-(span - 2), 0)
-    rises = F.coalesce(F.sum("_rise").over(recent), F.lit(0))
-    share = rises / (F.least(F.col("step_no"), F.lit(span)) - 1)
     ratio = F.col("velocity") / F.col("burst_threshold")
     logistic = 1 / (1 + F.exp(-5 * (ratio - 1)))
-    blended = F.greatest(F.lit(0.0), F.least(F.lit(1.0), 0.6 * logistic + 0.4 * share))
+    blended = F.greatest(F.lit(0.0), F.least(F.lit(1.0), 0.6 * logistic + 0.4 * F.col("rising_share")))
     ready = (F.col("step_no") >= MIN_SAMPLES) & (F.col("burst_threshold") > 0)
     return moves.withColumn("burst_probability", F.when(ready, blended).otherwise(0.0))
 
@@ -135,8 +147,8 @@ def traffic_features(
     df: DataFrame, keys: Sequence[str], ts: str, x: str, history: int = HISTORY
 ) -> DataFrame:
     """The seven features of every sample; all zero until a key has five samples."""
-    moves = threshold(velocity(df, keys, ts, x), keys, ts, history=history)
-    full = rolling(burst_probability(moves, keys), keys, ts, x, history)
+    moves = velocity(rolling(df, keys, ts, x, history), keys, ts, x)
+    full = burst_probability(threshold(rising(moves, keys), keys, history=history))
     sin, cos = timeparts.hour_cycle(F.col(ts))
     warm = F.col("sample_no") >= MIN_SAMPLES
     names = ["velocity", "acceleration", "rolling_mean", "rolling_std", "burst_probability"]
@@ -261,7 +273,7 @@ def ma_crossover(
 def series_diagnostics(df: DataFrame, keys: Sequence[str], ts: str, x: str) -> DataFrame:
     """State of each key's history at its newest sample."""
     keys = list(keys)
-    moves = threshold(velocity(df, keys, ts, x), keys, ts)
+    moves = threshold(velocity(df, keys, ts, x), keys)
     oldest = F.first(ts).over(last_rows(keys, ts, HISTORY))
     newest = moves.withColumn("_oldest", oldest)
     picked = F.max_by(F.struct(ts, "_oldest", "sample_no", "step_no", "burst_threshold"), F.col("sample_no"))

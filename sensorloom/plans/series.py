@@ -48,8 +48,8 @@ def rolling_stats(spark, folder):
     views=("features",),
 )
 def burst_probability(spark, folder):
-    moves = series.threshold(series.velocity(_rates(spark, folder), KEYS, TS, RATE), KEYS, TS)
-    out = series.burst_probability(moves, KEYS)
+    moves = series.rising(series.velocity(_rates(spark, folder), KEYS, TS, RATE), KEYS)
+    out = series.burst_probability(series.threshold(moves, KEYS))
     return neutral(out.select(*KEYS, TS, "burst_threshold", "burst_probability"))
 
 

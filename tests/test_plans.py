@@ -57,6 +57,16 @@ def test_features_read_the_table_once(spark, folder, name):
     assert text.count("FileScan") == 1 and "SortMergeJoin" not in text
 
 
+@pytest.mark.parametrize("name", ["traffic_features", "burst_probability"])
+def test_thresholds_are_taken_per_block(spark, folder, name):
+    lines = plan(spark, folder, name).splitlines()
+    windows = [line for line in lines if "- Window [" in line]
+    gathering = [line for line in windows if "collect_list" in line]
+    assert len(windows) <= 4 and len(gathering) == 1
+    grouped = [i for i, line in enumerate(lines) if "collect_list(struct(" in line]
+    assert lines.index(gathering[0]) < min(grouped)  # above the grouping: on blocks, not rows
+
+
 @pytest.mark.parametrize("name", ["windowed_sensor_agg", "rolling_stats", "sla_report", "batch_volume"])
 def test_raw_rows_are_counted_before_the_shuffle(spark, folder, name):
     text = plan(spark, folder, name)

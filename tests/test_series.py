@@ -78,6 +78,16 @@ def test_falling_series_has_no_positive_threshold(spark):
     assert got.agg(F.max("burst_probability")).first()[0] == 0.0
 
 
+def test_thresholds_look_past_long_ties(spark):
+    a = [(t, x) for i, (t, x) in enumerate(walk(8, 400)) for _ in range(500 if i == 330 else 3 if i % 9 == 0 else 1)]
+    data = {"a": a, "b": [(START, 5.0)] * 120, None: walk(9, 130)}
+    rows = {}
+    for r in series.traffic_features(make(spark, data), ["k"], "ts", "x").orderBy("k", "ts", "sample_no").collect():
+        rows.setdefault(r["k"], []).append([r[n] for n in NAMES])
+    for key, samples in data.items():
+        assert np.allclose(rows[key], expected_features(samples), atol=1e-9), key
+
+
 def test_equal_times_keep_the_velocity(spark):
     data = {"a": [(START, 0.0), (START + timedelta(seconds=2), 10.0), (START + timedelta(seconds=2), 10.0)]}
     got = series.velocity(make(spark, data), ["k"], "ts", "x").orderBy("sample_no").collect()
