@@ -124,7 +124,11 @@ def format_chats(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "t
 
 
 def read_back(formatted: Column) -> Column:
-    """The turns (role, text) of a formatted conversation, unescaped; placeholders stay."""
+    """The turns (role, text) of a formatted conversation, unescaped; placeholders stay.
+
+    A role ends at its first line break: what a role with a line break holds behind it comes back
+    at the head of the text, with a line break after it, so role, line break and text joined are the same.
+    """
     marked = F.filter(F.split(formatted, r"<\|im_end\|>\n"), lambda t: t != "")
 
     def turn(text: Column) -> Column:

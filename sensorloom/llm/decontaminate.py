@@ -154,7 +154,11 @@ def contained_items(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", t
 
 def without_leaks(docs: DataFrame, items: DataFrame, text_col: str = "text", width: int = WIDTH,
                   threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of ``docs`` that contain no item; all columns stay and no row moves."""
+    """The rows of ``docs`` that contain no item; all columns stay and no row moves.
+
+    Null and empty texts hold nothing and stay; repeated rows share their fate. Without items
+    every row stays, and an empty table stays empty.
+    """
     at = docs.columns.index(text_col)
     for block in item_blocks(items, width=width, threshold=threshold):
 

@@ -38,10 +38,30 @@ RULES = [
     url_filter.Rule("com", "/de/", "block"),
 ]
 
-# The labelled URL table: words of hosts that are to be blocked, and of ordinary ones.
-BLOCKED_WORDS = "spam-farm casino-win cheap-pills free-bets adult-x ads-track poker-bonus replica-watch".split()
-ALLOWED_WORDS = """garden library weather museum recipes bicycle history science village harbor theatre
-    teaching northern reading mountain station engine painter kitchen orchard gathering interior nation other""".split()
+# The labelled URL table: names of hosts that are to be blocked, and of ordinary ones.
+BLOCKED_NAMES = """
+    casino-win lucky-casino casinoroyal online-casino-club spin-slots megaslots-bonus free-slots-spin poker-bonus
+    royalpoker pokerstars-bonus free-bets best-bets-today sportbets24 bet-and-win livebetting jackpot-daily
+    jackpot-lotto-win cheap-pills buy-pills-online pillstore-rx rx-meds-cheap cheap-meds-online diet-pills-fast
+    weightloss-miracle miracle-diet-now replica-watch replica-bags-outlet cheap-replica luxury-replica-shop
+    adult-x adult-chat-live xxx-adult-tube hot-adult-cams xxx-cams-free sexy-cams-live ads-track click-ads-network
+    adserver-click popunder-ads track-click-pixel clicktracker spam-farm link-farm-seo buy-backlinks-seo
+    seo-spam-links free-followers-buy payday-loan-fast instant-loan-cash fast-cash-loan quick-cash-win
+    crypto-double-win free-crypto-giveaway prize-giveaway-win free-iphone-giveaway warez-crack-keygen
+    crack-serial-free torrent-warez free-keygen-download login-verify-account secure-account-verify
+    verify-login-bank""".split()
+ALLOWED_NAMES = """
+    garden gardening-society library city-library national-library weather weather-service museum museum-of-science
+    history-museum recipes family-recipes bread-recipes bicycle bicycle-club history local-history science
+    science-daily open-science village village-news harbor harbor-master theatre theatre-review youth-theatre teaching
+    teaching-physics northern northern-lights reading reading-room mountain mountain-rescue station radio-station
+    engine engineering steam-engine painter painting-school kitchen kitchen-table orchard orchard-press gathering
+    interior interior-design nation national-archive other another-view university state-university college-press
+    medicine hospital clinic-research astronomy biology chemistry mathematics geology linguistics philosophy
+    poetry-journal literature newspaper morning-news evening-post tribune gazette football-club athletics chess-club
+    sailing railway transport-office council parliament ministry court-records open-data software-docs
+    python-tutorial code-notes database-manual music-school orchestra choir-festival film-archive photo-journal
+    travel-notes hiking-trails farm-market bakery tea-house forest-trust wildlife bird-watch""".split()
 
 
 def query(name: str, sql: str | None = None):
@@ -55,13 +75,14 @@ def query(name: str, sql: str | None = None):
 
 
 def labelled_urls(spark: SparkSession) -> DataFrame:
-    """(url, blocked): each word on hosts of several kinds and below several paths."""
-    words = [(w, 1) for w in BLOCKED_WORDS] + [(w, 0) for w in ALLOWED_WORDS]
-    prefixes, ends, langs = ("", "www.", "m.", "blog."), ("com", "net", "org"), ("en", "fr", "de", "es")
+    """(url, blocked): each name on hosts of several kinds and below several paths; those tell nothing of the label."""
+    names = [(n, 1) for n in BLOCKED_NAMES] + [(n, 0) for n in ALLOWED_NAMES]
+    schemes, prefixes, ends = ("https", "http"), ("", "www.", "m.", "blog.", "shop."), ("com", "net", "org")
+    paths = ("/en/7340", "/fr/218.html", "/de/4951/", "/es/86?page=2", "/articles/1527", "/3069/index.html", "/")
     rows = [
-        (f"https://{prefixes[(i + k) % 4]}{word}.example.{ends[k]}/{langs[(i + 2 * k) % 4]}/{97 * i + k}", blocked)
-        for i, (word, blocked) in enumerate(words)
-        for k in range(3)
+        (f"{schemes[(i + k) % 2]}://{prefixes[(i + k) % 5]}{name}.example.{ends[(i + k) % 3]}{paths[(i + 2 * k) % 7]}", blocked)
+        for i, (name, blocked) in enumerate(names)
+        for k in range(7)
     ]
     return spark.createDataFrame(rows, "url string, blocked int")
 

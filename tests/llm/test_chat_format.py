@@ -30,6 +30,11 @@ def test_reading_back_gives_what_went_in(spark):
         assert r["formatted"].count(chat.START) == r["formatted"].count(chat.END) == 3
 
 
+def test_a_role_ends_at_its_first_line_break(spark):
+    got = formatted(spark, [(1, 0, "a\nb", [text("t\nu")])]).select(chat.read_back(F.col("formatted")).alias("turns")).first()
+    assert [tuple(x) for x in got["turns"]] == [("a", "b\nt\nu")]
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.text(alphabet="<|\\ab\n", max_size=12))
 def test_escape_is_reversible_and_safe(spark, t):

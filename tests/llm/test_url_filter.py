@@ -1,6 +1,9 @@
+import math
 import re
 
 import pytest
+from pyspark.ml.feature import HashingTF
+from pyspark.sql import functions as F
 
 from sensorloom.llm import queries, url_filter
 
@@ -43,6 +46,33 @@ def test_the_model_tells_unseen_hosts(spark):
     assert got == {0: "block", 1: "block", 2: "allow", 3: "allow"}
 
 
+def test_precision_and_recall_on_names_held_out(spark):
+    """Each name is judged by a model that has seen none of its URLs."""
+    names = F.regexp_extract("url", r"([^/.]+)\.example", 1)
+    rows = queries.labelled_urls(spark).withColumn("fold", F.pmod(F.crc32(names), F.lit(4))).withColumn("page_id", F.monotonically_increasing_id()).cache()
+    hits = wrong = missed = 0
+    for fold in range(4):
+        model = url_filter.train(rows.where(F.col("fold") != fold))
+        judged = url_filter.judge(rows.where(F.col("fold") == fold), [], model).join(rows.select("page_id", "blocked"), "page_id")
+        got = {(r["blocked"], r["verdict"]): r["count"] for r in judged.groupBy("blocked", "verdict").count().collect()}
+        hits, wrong, missed = hits + got.get((1, "block"), 0), wrong + got.get((0, "block"), 0), missed + got.get((1, "allow"), 0)
+    # Measured: precision 0.97, recall 0.67; a third of the blocked names share too little with the others.
+    assert hits / (hits + wrong) >= 0.9 and hits / (hits + missed) >= 0.6
+
+
+def test_probability_equals_the_definition(spark):
+    """N-grams hashed in plain Python with the model's own hash, weights summed by hand."""
+    model = url_filter.train(queries.labelled_urls(spark))
+    hashing = HashingTF(numFeatures=url_filter.FEATURES)
+    for r in url_filter.judge(spark.createDataFrame(list(enumerate(URLS)), "page_id long, url string"), [], model).collect():
+        grams = set()
+        for tag, part in zip("hp", parts(URLS[r["page_id"]])):
+            closed = f"^{part}$"
+            grams |= {f"{tag}:{closed[i : i + n]}" for n in url_filter.GRAMS for i in range(len(closed) - n + 1)}
+        score = model.intercept + sum(model.coefficients[i] for i in {hashing.indexOf(g) for g in grams})
+        assert r["p_block"] == pytest.approx(1 / (1 + math.exp(-score)), abs=1e-9)
+
+
 @pytest.mark.parametrize("rows, share", [([], 0.0), ([("http://a/b", 1)], 1.0), ([(None, 1), ("http://a/b", 0)], 0.0)])
 def test_without_both_labels_there_is_only_a_share(spark, rows, share):
     assert url_filter.train(spark.createDataFrame(rows, "url string, blocked int")) == share
