@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from bisect import bisect_right
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, Row
@@ -53,71 +53,91 @@ def edge_interval_join(
 
 
 class NewestSignal(StatefulProcessor):
-    """Holds the readings of a key until the watermark has passed them, and the signals they may meet.
+    """Holds the readings of a group of keys until the watermark has passed them, and the signals they may meet.
 
-    Equal readings are one entry with their count. A timer a second emits what is due and clears
-    what no later reading can meet, so a key that falls silent leaves no state behind.
+    Equal readings are one entry with their count. One timer a group is enough: it is set for what is due first,
+    emits all that is due by then and clears what no later reading can meet, so keys that fall silent leave no
+    state behind.
     """
 
-    def __init__(self, reading: StructType, signal: StructType, lookback_us: int):
-        self.reading, self.signal, self.lookback_us = reading, signal, lookback_us
+    BLOCK = 10_000
+
+    def __init__(self, key: StructField, reading: StructType, signal: StructType, lookback_us: int):
+        self.key, self.reading, self.signal, self.lookback_us = key, reading, signal, lookback_us
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        at = StructField("_us", LongType())
+        key, at = StructField("_key", self.key.dataType), StructField("_us", LongType())
         self.handle = handle
-        self.waiting = handle.getListState("waiting", StructType([at, StructField("_n", LongType()), *self.reading.fields]))
-        self.signals = handle.getListState("signals", StructType([at, *self.signal.fields]))
+        self.waiting = handle.getListState("waiting", StructType([key, at, StructField("_n", LongType()), *self.reading.fields]))
+        self.signals = handle.getListState("signals", StructType([key, at, *self.signal.fields]))
+        self.row = Row("_key", "_us", *self.reading.names, "_signal_us", *(f"_s_{name}" for name in self.signal.names))
+        self.unmet = (None,) * (1 + len(self.signal.fields))
 
     def close(self) -> None:
         pass
 
     def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
-        readings, signals = Counter(), []
+        readings, signals, due = Counter(), [], []
         for row in rows:
             if row["_signal"] is not None:
-                signals.append((row["_us"], *row["_signal"].values()))
+                signals.append((row["_key"], row["_us"], *row["_signal"].values()))
+            elif row["_key"] is None or row["_us"] is None:
+                yield self.row(row["_key"], row["_us"], *row["_reading"].values(), *self.unmet)
             else:
-                readings[(row["_us"], *row["_reading"].values())] += 1
-        at_once = {r: n for r, n in readings.items() if r[0] is None or key[0] is None}
-        dated = [(r[0], n, *r[1:]) for r, n in readings.items() if r not in at_once]
-        if dated:
-            self.waiting.appendList(dated)
+                readings[(row["_key"], row["_us"], *row["_reading"].values())] += 1
+            if len(readings) + len(signals) >= self.BLOCK:
+                due.append(self._hold(readings, signals))
+                readings, signals = Counter(), []
+        if readings or signals:
+            due.append(self._hold(readings, signals))
+        if due:
+            self._wake(min(due))
+
+    def _hold(self, readings: Counter, signals: list[tuple]) -> int:
+        """Add to the state; when the first of these is due."""
+        if readings:
+            self.waiting.appendList([(*r[:2], n, *r[2:]) for r, n in readings.items()])
         if signals:
             self.signals.appendList(signals)
-        for us in {r[0] // 1_000_000 for r in dated} | {(s[0] + self.lookback_us) // 1_000_000 for s in signals}:
-            self.handle.registerTimer((us + 1) * 1000)
-        for r, n in at_once.items():
-            yield from self._out(key, n, r, None)
+        return min([r[1] for r in readings] + [s[1] + self.lookback_us for s in signals])
+
+    def _wake(self, us: int) -> None:
+        self.handle.registerTimer((us // 1_000_000 + 1) * 1000)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         passed = timerValues.getCurrentWatermarkInMs() * 1000  # rows from here on may still come
-        signals = sorted(map(tuple, self.signals.get()), key=lambda s: s[0]) if self.signals.exists() else []
-        times = [s[0] for s in signals]
+        signals = list(map(tuple, self.signals.get())) if self.signals.exists() else []
+        told = defaultdict(list)
+        for s in signals:
+            told[s[0]].append(s[1:])
+        for of_key in told.values():
+            # Of signals at one time the greatest counts, as structs compare.
+            of_key.sort(key=_comparable)
+        times = {k: [s[0] for s in of_key] for k, of_key in told.items()}
+        rest, due = [], []
         if self.waiting.exists():
-            rest = []
-            for us, n, *values in self.waiting.get():
+            for k, us, n, *values in self.waiting.get():
                 if us >= passed:
-                    rest.append((us, n, *values))
+                    rest.append((k, us, n, *values))
                     continue
-                k = bisect_right(times, us) - 1
-                near = k >= 0 and times[k] >= us - self.lookback_us
-                # Of signals at one time the greatest counts, as structs compare.
-                found = max((s for s in signals[: k + 1][::-1] if s[0] == times[k]), key=_comparable) if near else None
-                yield from self._out(key, n, (us, *values), found)
+                last = bisect_right(times.get(k, ()), us) - 1
+                near = last >= 0 and times[k][last] >= us - self.lookback_us
+                row = self.row(k, us, *values, *(told[k][last] if near else self.unmet))
+                for _ in range(n):
+                    yield row
             self._keep(self.waiting, rest)
-        if signals:
-            self._keep(self.signals, [s for s in signals if s[0] >= passed - self.lookback_us])
+            due += [r[1] for r in rest]
+        kept = [s for s in signals if s[1] >= passed - self.lookback_us]
+        if len(kept) < len(signals):
+            self._keep(self.signals, kept)
+        due += [s[1] + self.lookback_us for s in kept]
+        if due:
+            self._wake(min(due))
 
     @staticmethod
     def _keep(state, rows: list[tuple]) -> None:
         state.put(rows) if rows else state.clear()
 
-    def _out(self, key: tuple, n: int, reading: tuple, signal: tuple | None) -> Iterator[Row]:
-        names = ["_key", "_us", *self.reading.names, "_signal_us", *(f"_s_{name}" for name in self.signal.names)]
-        row = Row(*names)(key[0], *reading, *(signal or [None] * (1 + len(self.signal.fields))))
-        for _ in range(n):
-            yield row
-
 
 def _comparable(values: tuple) -> tuple:
     return tuple((v is not None, v) if v is not None else (False,) for v in values)
@@ -131,12 +151,13 @@ def timed_edge_join(
     lookback: str = "10 minutes",
     delay: str = "10 seconds",
     salts: int = 8,
+    groups: int = 1024,
 ) -> DataFrame:
     """Each reading as often as it came, with the newest signal of its key in the ``lookback`` before it, or NULLs.
 
-    One state per key and salt, no reading is paired with more than one signal, and a reading comes out
-    once the watermark has passed it; then nothing of it is left in the state. Columns hold plain
-    values. A reading without a key or time leaves at once and unmatched, a signal without one is left
+    Keys share ``groups`` states by their hash, so that what a state costs does not grow with the number of keys, and
+    each is dealt to ``salts`` of them. No reading is paired with more than one signal, and a reading comes out once
+    the watermark has passed it; then nothing of it is left in the state. Columns hold plain values. A reading without a key or time leaves at once and unmatched, a signal without one is left
     out, and so are rows behind the watermark. Rows without a key do move the watermark. Needs RocksDB state.
     """
     spark = readings.sparkSession
@@ -144,20 +165,21 @@ def timed_edge_join(
     own = [c for c in readings.columns if c not in (key, ts)]
     told = [c for c in signals.columns if c not in (key, ts)]
     salt = F.pmod(F.xxhash64(*readings.columns), F.lit(salts)).cast("int")
+    group = F.pmod(F.xxhash64(key), F.lit(groups)).cast("int").alias("_group")
     left = readings.withWatermark(ts, delay).select(
-        key, salt.alias("_salt"), ts, F.unix_micros(ts).alias("_us"), F.struct(*own).alias("_reading")
+        group, salt.alias("_salt"), F.col(key).alias("_key"), ts, F.unix_micros(ts).alias("_us"), F.struct(*own).alias("_reading")
     )
     # The condition names the time, so it is not moved below the watermark.
     keyed = F.when(F.col(key).isNotNull(), F.col(ts)).isNotNull()
     right = signals.withWatermark(ts, delay).where(keyed).select(
-        key, F.explode(F.array(*[F.lit(i) for i in range(salts)])).alias("_salt"), ts, F.unix_micros(ts).alias("_us"), F.struct(*told).alias("_signal")
+        group, F.explode(F.array(*[F.lit(i) for i in range(salts)])).alias("_salt"), F.col(key).alias("_key"), ts, F.unix_micros(ts).alias("_us"), F.struct(*told).alias("_signal")
     )
     both = left.unionByName(right, allowMissingColumns=True)
     reading = StructType([readings.schema[c] for c in own])
     signal = StructType([signals.schema[c] for c in told])
     at, met = StructField("_us", LongType()), StructField("_signal_us", LongType())
-    found = both.groupBy(key, "_salt").transformWithState(
-        statefulProcessor=NewestSignal(reading, signal, lookback_us),
+    found = both.groupBy("_group", "_salt").transformWithState(
+        statefulProcessor=NewestSignal(readings.schema[key], reading, signal, lookback_us),
         outputStructType=StructType([StructField("_key", readings.schema[key].dataType), at, *reading.fields, met, *(StructField(f"_s_{f.name}", f.dataType) for f in signal.fields)]),
         outputMode="Append",
         timeMode="EventTime",
