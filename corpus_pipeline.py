@@ -26,7 +26,8 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of every group of near-copies (five-word Jaccard similarity of 0.8 or more) stays.
 
-    Texts without words, null ones too, are one group. Of rows that share a doc_id one stays; rows
+    SimHash fingerprints pair the texts, an exact check decides, and prefix filtering adds the links that lie too far
+    apart for the fingerprints. Texts without words, null ones too, are one group. Of rows that share a doc_id one stays; rows
     without a doc_id all stay. An empty table stays empty.
     """
     return simhash_index.smallest_stay(docs, near_copies.near_copies(docs))

@@ -1,4 +1,7 @@
-"""Near-copies by exact Jaccard similarity of five-word shingles, found by prefix filtering.
+"""Near-copies by SimHash, checked by exact Jaccard similarity of five-word shingles, completed by prefix filtering.
+
+Sets whose SimHash fingerprints lie within two bits are paired by the index of ``simhash_index``, and each pair is
+verified on the complete sets. Two bits reach only part of the similar sets; prefix filtering finds all others.
 
 Order all shingles in any fixed way. Of two sets with similarity t or more, each has one of the
 other's among its first n - ceil(t n) + 1, so the documents are paired over these alone and no
@@ -24,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import text_hash
+from . import simhash_index, text_hash
 from .stores import components, over_rows, store
 
 WORDS = 5
@@ -167,6 +170,18 @@ def _shared(marked: DataFrame) -> DataFrame:
     return store(entries.join(hubs, "hash").select("hash", "place", "node", "n", "hub"), "shared_entries")
 
 
+def _alike(marked: DataFrame) -> DataFrame:
+    """(x, y): sets whose fingerprints lie within two bits; of sets that share one the smallest stands for it."""
+    named = store(marked.select("node", "bits").distinct(), "fingerprints")
+    firsts = store(named.groupBy("bits").agg(F.min("node").alias("first")), "values")
+    same = named.join(firsts, "bits").where("node <> first").select(F.col("first").alias("x"), F.col("node").alias("y"))
+    near = simhash_index.links(firsts.select("bits"))
+    near = near.join(firsts.select(F.col("bits").alias("a"), F.col("first").alias("x")), "a").join(
+        firsts.select(F.col("bits").alias("b"), F.col("first").alias("y")), "b"
+    )
+    return same.union(near.select("x", "y"))
+
+
 def _maybe(pairs: DataFrame, marked: DataFrame, least: tuple[int, int]) -> DataFrame:
     """The pairs (a, b) whose parities don't rule out that they are similar."""
     most = least[1] - least[0], least[1] + least[0]
@@ -234,13 +249,14 @@ def near_copies(
                 pa.array([node(s) for s in found], pa.int64()),
                 pa.array([len(s) for s in found], pa.int64()),
                 pa.array([typical(s, common, counts) for s in found], pa.int64()),
+                pa.array(np.array([simhash_index.of_hashes(s) for s in found], dtype=np.uint64).view(np.int64)),
                 pa.array([parity(s) for s in found], pa.binary()),
                 pa.array(firsts, pa.list_(pa.int64())),
             ],
-            ["doc_id", "node", "n", "typical", "parity", "prefix"],
+            ["doc_id", "node", "n", "typical", "bits", "parity", "prefix"],
         )
 
-    marked = store(texts.mapInArrow(over_rows(work), "doc_id long, node long, n long, typical long, parity binary, prefix array<long>"), "shingle_prefixes")
+    marked = store(texts.mapInArrow(over_rows(work), "doc_id long, node long, n long, typical long, bits long, parity binary, prefix array<long>"), "shingle_prefixes")
     shared = _shared(marked)
 
     def may(m: str, i: str, n: str, j: str):
@@ -251,10 +267,10 @@ def near_copies(
         return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
     stars = shared.where("node <> hub.node").where(may("n", "place", "hub.n", "hub.place")).select(F.col("hub.node").alias("x"), F.col("node").alias("y"))
-    links = _verified(store(ordered(stars), "pairs"), marked, texts, words, least)
+    links = _verified(store(ordered(_alike(marked).union(stars)), "pairs"), marked, texts, words, least)
     joined = components(spark, links)
 
-    # What its hub does not reach may still be near another one of the shingle's sets.
+    # What its fingerprint and its hub do not reach may still be near another one of the shingle's sets.
     roots = joined.select(F.col("node").alias("of"), F.col("root").alias("its"))
     placed = shared.select("hash", "place", "node", "n", F.col("hub.node").alias("hub"))
     placed = placed.join(roots, F.col("node") == F.col("of"), "left").select("hash", "place", "node", "n", "hub", F.coalesce("its", "node").alias("root"))

@@ -29,7 +29,7 @@ BLOCK = 1 << 15
 CROWD = 64
 
 
-def _bit_counts(hashes: list[int]) -> np.ndarray:
+def _bit_counts(hashes: list[int] | np.ndarray) -> np.ndarray:
     values = np.array(hashes, dtype="<u8").view(np.uint8).reshape(-1, 8)
     return np.unpackbits(values, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
 
@@ -58,6 +58,14 @@ def fingerprint(text: str | None, words: int = WORDS) -> int:
     return int(np.packbits(counts * 2 > total, bitorder="little").view("<u8")[0])
 
 
+def of_hashes(hashes: np.ndarray) -> int:
+    """SimHash of features given by their 64-bit hashes; zero without any."""
+    counts = np.zeros(64, dtype=np.int64)
+    for low in range(0, len(hashes), BLOCK):
+        counts += _bit_counts(hashes[low : low + BLOCK])
+    return int(np.packbits(counts * 2 > len(hashes), bitorder="little").view("<u8")[0])
+
+
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS) -> DataFrame:
     """(doc_id, bits): one row per row of ``docs``, the fingerprint as a signed long."""
 
