@@ -5,7 +5,7 @@ verified on the complete sets. Two bits reach only part of the similar sets; pre
 
 Order all shingles in any fixed way. Of two sets with similarity t or more, each has one of the
 other's among its first n - ceil(t n) + 1, so the documents are paired over these alone and no
-link is lost. Shingles that are common in a sample come last in the order, so that a passage many
+link is lost. Shingles that are common in a share of the texts come last in the order, so that a passage many
 documents quote pairs none of them. If the first shingle that two sets share stands at places i and j of theirs,
 they share at most min(m - i, n - j): pairs that this, their sizes or their parities rule out go, the others
 are verified on their complete sets.
@@ -33,7 +33,11 @@ from .stores import components, over_rows, store
 WORDS = 5
 # Similarity of a link, as a fraction of whole numbers.
 LEAST = (4, 5)
+# The order of shingles is taken from one text in so many, at least from a sample of this size; of what is common there
+# the most frequent ones are told to every task. A fixed sample would miss ever larger groups as the corpus grows.
+SHARE = 8
 SAMPLE = 4_000
+MOST = 1_000_000
 FILTER_BITS = 1 << 25
 
 
@@ -86,17 +90,17 @@ def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def common_shingles(texts: DataFrame, words: int, sample: int) -> tuple[np.ndarray, np.ndarray]:
-    """Shingles that several sets of a hash-chosen sample hold, sorted, and in how many; only the order depends on it."""
+    """Shingles that several sets of a hash-chosen share of the texts hold, sorted, and in how many; only the order depends on it."""
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
         found = shingle_sets(batch.column(0).to_pylist(), words)
         return pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64))], ["hash"])
 
     rows = texts.count()
-    chosen = texts.select("text").where(F.pmod(F.xxhash64("text"), F.lit(10**6)) < int(10**6 * min(1, sample / max(1, rows)))).distinct()
+    share = min(1, max(1 / SHARE, sample / max(1, rows)))
+    chosen = texts.select("text").where(F.pmod(F.xxhash64("text"), F.lit(10**6)) < int(10**6 * share)).distinct()
     several = chosen.mapInArrow(over_rows(work), "hash long").groupBy("hash").count().where("count > 2")
-    # A sample of bounded size: the most frequent are enough.
-    got = several.orderBy(F.desc("count"), "hash").limit(100_000).toArrow()
+    got = several.orderBy(F.desc("count"), "hash").limit(MOST).toArrow()
     hashes, counts = (got.column(i).to_numpy() for i in range(2))
     order = np.argsort(hashes.view(np.uint64))
     return hashes.view(np.uint64)[order], counts[order]

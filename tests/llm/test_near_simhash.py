@@ -1,4 +1,4 @@
-"""The near-copy stage pairs texts by their fingerprints."""
+"""The near-copy stage pairs texts by their fingerprints, and its order of shingles follows the corpus."""
 
 import random
 
@@ -29,3 +29,11 @@ def test_fingerprint_of_a_set(spark):
     assert simhash_index.of_hashes(found) == want
     assert simhash_index.of_hashes(found[:0]) == 0
 
+
+def test_the_share_of_texts_that_tells_the_order_grows_with_them(spark):
+    quote = "one two three four five six"
+    rows = [(f"{made(k, 6)} {quote}" if k % 60 == 0 else made(k, 12),) for k in range(6000)]
+    texts = spark.createDataFrame(rows, "text string")
+    common, _ = near.common_shingles(texts, 5, sample=40)
+    (found,) = near.shingle_sets([quote])
+    assert set(found) <= set(common)
